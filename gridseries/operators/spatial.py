@@ -107,26 +107,34 @@ def healpix_pool(df: DataFrame, keys: list[str], value: str, nside_hi: int, nsid
 
 
 def coarsen(df: DataFrame, keys: list[str], value: str, step: float = 0.5, factor: int = 2, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """cos(lat)-weighted mean of factor x factor blocks of a regular grid.
+    """cos(lat)-weighted block mean of a regular grid.
 
-    Blocks are counted from the smallest coordinate; blocks that miss a row or a
-    column of the grid are trimmed. Block centres are rounded to six digits.
+    Blocks are counted from the smallest coordinate and incomplete blocks at the
+    far edges are trimmed. A missing value counts as zero: the weight of every
+    cell of the block divides. Block centres are rounded half-even to integers.
     """
     origin = df.agg(F.min(lat).alias("_lat0"), F.min(lon).alias("_lon0"), F.max(lat).alias("_lat1"), F.max(lon).alias("_lon1"))
     gridded = df.join(F.broadcast(origin))  # one row
+
     def index(c, c0):
         return F.round((F.col(c) - F.col(c0)) / step).cast("bigint")
 
-    i, j = index(lat, "_lat0"), index(lon, "_lon0")
-    ni, nj = index("_lat1", "_lat0") + 1, index("_lon1", "_lon0") + 1
-    bi, bj = F.floor(i / factor), F.floor(j / factor)
-    kept = gridded.withColumns({"_bi": bi, "_bj": bj, "_ni": F.floor(ni / factor), "_nj": F.floor(nj / factor)}).where(
-        (F.col("_bi") < F.col("_ni")) & (F.col("_bj") < F.col("_nj"))
+    staged = gridded.withColumns({
+        "_bi": F.floor(index(lat, "_lat0") / factor), "_bj": F.floor(index(lon, "_lon0") / factor),
+        "_ni": F.floor((index("_lat1", "_lat0") + 1) / factor), "_nj": F.floor((index("_lon1", "_lon0") + 1) / factor),
+    })
+    kept = staged.where((F.col("_bi") < F.col("_ni")) & (F.col("_bj") < F.col("_nj")))
+    sums = kept.groupBy(*keys, "_bi", "_bj", "_lat0", "_lon0").agg(
+        F.sum(F.coalesce(F.col(value), F.lit(0.0)) * cos_lat(F.col(lat))).alias("_num")
     )
+    south = F.col("_lat0") + F.col("_bi") * (factor * step)
+    west = F.col("_lon0") + F.col("_bj") * (factor * step)
+    weight = sum((cos_lat(south + r * step) for r in range(factor)), F.lit(0.0)) * factor
     half = (factor - 1) * step / 2.0
-    clat = F.round(F.col("_lat0") + F.col("_bi") * (factor * step) + half, 6)
-    clon = F.round(F.col("_lon0") + F.col("_bj") * (factor * step) + half, 6)
-    return kept.groupBy(*keys, clat.alias(lat), clon.alias(lon)).agg(weighted_mean(F.col(value), cos_lat(F.col(lat))).alias(value))
+    return sums.select(
+        *keys, F.bround(south + half).alias(lat), F.bround(west + half).alias(lon),
+        F.when(weight > 0, F.col("_num") / weight).alias(value),
+    )
 
 
 def regrid(df: DataFrame, weights: DataFrame, keys: list[str], value: str, src: str = "src", dst: str = "dst", w: str = "w", normalise: bool = False) -> DataFrame:
@@ -284,7 +292,7 @@ def polygon_mask(points: DataFrame, edges: DataFrame, min_cells: int = 1) -> Dat
     banded = edges.where("y1 <> y2").withColumn(
         "_band", F.explode(F.sequence(F.floor(lo).cast("int"), F.floor(hi).cast("int")))
     )
-    tested = points.withColumn("_band", F.floor("lat").cast("int")).join(broadcast_if_small(banded), "_band").where(
+    tested = points.select("point_id", "lat", "lon").withColumn("_band", F.floor("lat").cast("int")).join(broadcast_if_small(banded), "_band").where(
         (F.col("lat") >= lo) & (F.col("lat") < hi)
     )
     cross = F.col("x1") + (F.col("lat") - F.col("y1")) * (F.col("x2") - F.col("x1")) / (F.col("y2") - F.col("y1"))
