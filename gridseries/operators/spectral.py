@@ -35,6 +35,15 @@ def _power(times, values, lo: int, hi: int, period_min: int, period_max: int | N
     return (spec / max(spec.sum(), 1e-12)).tolist()
 
 
+def power_udf(period_min: int, period_max: int | None):
+    """Vectorised spectrum of (times, values, first month, last month)."""
+    @F.pandas_udf("array<double>")
+    def power(t: pd.Series, v: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
+        return pd.Series([_power(a, b, c, d, period_min, period_max) for a, b, c, d in zip(t, v, lo, hi, strict=True)])
+
+    return power
+
+
 def periodogram(df: DataFrame, cell: list[str], value: str, period_min: int = 2, period_max: int | None = 120) -> DataFrame:
     """(cell, n, kmin, power[]) on the time axis of the whole table.
 
@@ -46,10 +55,7 @@ def periodogram(df: DataFrame, cell: list[str], value: str, period_min: int = 2,
         F.collect_list("month_idx").alias("_t"), F.collect_list(value).alias("_v")
     )
 
-    @F.pandas_udf("array<double>")
-    def power(t: pd.Series, v: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([_power(a, b, c, d, period_min, period_max) for a, b, c, d in zip(t, v, lo, hi, strict=True)])
-
+    power = power_udf(period_min, period_max)
     joined = rows.join(F.broadcast(axis))  # one row
     n = F.col("_hi") - F.col("_lo") + 1
     longest = F.greatest(F.lit(2), F.least(F.lit(period_max) if period_max else F.floor(n / 2), F.floor(n / 2)))

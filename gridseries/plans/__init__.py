@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ["index_plans", "grid_plans", "series_plans", "ensemble_plans", "score_plans"]
+MODULES = ["index_plans", "grid_plans", "series_plans", "ensemble_plans", "score_plans", "catalog_plans", "store_plans"]
 
 
 def load_all() -> None:

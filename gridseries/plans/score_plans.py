@@ -256,8 +256,7 @@ recipe("agg_38_global_timeseries", "SELECT 'GlobalTimeseries' AS recipe, variabl
 recipe("agg_38_histograms", f"SELECT 'Histograms' AS recipe, variable AS label, unnest(range(0, 50)) AS idx, unnest(quantile_cont(value, {probs_sql(np.linspace(0.01, 0.99, 50))})) AS value FROM fld GROUP BY variable", sc.histograms)
 recipe("agg_38_seasonal_cycle", "SELECT 'SeasonalCycle' AS recipe, variable AS label, t % 12 AS idx, avg(value) AS value FROM gm GROUP BY 2, 3", sc.seasonal_cycle)
 recipe("agg_38_zonal_means", """, f AS (SELECT variable, pix, lat, avg(value) AS v FROM fld GROUP BY 1, 2, 3), z AS (SELECT variable, CAST(floor((lat + 90) / 7.2) AS BIGINT) AS b, avg(v) AS v FROM f GROUP BY 1, 2)
-SELECT 'ZonalMeans' AS recipe, variable AS label, i AS idx, coalesce(v, 0) AS value FROM (SELECT DISTINCT variable FROM z), (SELECT unnest(range(0, 25)) AS i) LEFT JOIN z USING (variable) WHERE false
-UNION ALL SELECT 'ZonalMeans', d.variable, i, coalesce(z.v, 0) FROM (SELECT variable, unnest(range(0, 25)) AS i FROM (SELECT DISTINCT variable FROM f)) d LEFT JOIN z ON z.variable = d.variable AND z.b = d.i""",
+SELECT 'ZonalMeans' AS recipe, d.variable AS label, i AS idx, coalesce(z.v, 0) AS value FROM (SELECT variable, unnest(range(0, 25)) AS i FROM (SELECT DISTINCT variable FROM f)) d LEFT JOIN z ON z.variable = d.variable AND z.b = d.i""",
        lambda df, run: sc.zonal_profiles(df, run, 25))
 recipe("agg_38_variability", """, a AS (SELECT variable, t, value - avg(value) OVER (PARTITION BY variable, t % 12) AS v FROM gm), f AS (SELECT variable, regr_slope(v, t) AS s, regr_intercept(v, t) AS i FROM a GROUP BY 1)
 SELECT 'Variability' AS recipe, variable AS label, t AS idx, v - s * t - i AS value FROM a JOIN f USING (variable)""", sc.variability)
