@@ -60,11 +60,13 @@ def glo_cdf(x: Column, xi: Column, alpha: Column, kappa: Column, support: float
 def pwm(rank0: Column, x: Column, n: Column) -> tuple[Column, Column, Column]:
     """Summands of the unbiased weighted moments b0, b1, b2 (sum them per group).
 
-    ``rank0`` is the zero-based rank of x, ``n`` the group size.
+    ``rank0`` is the zero-based rank of x, ``n`` the group size; b1 and b2 need
+    three values.
     """
+    enough = n >= 3
     b0 = x / n
-    b1 = x * rank0 / (n * (n - 1))
-    b2 = x * rank0 * (rank0 - 1) / (n * (n - 1) * (n - 2))
+    b1 = F.when(enough, x * rank0 / (n * (n - 1)))
+    b2 = F.when(enough, x * rank0 * (rank0 - 1) / (n * (n - 1) * (n - 2)))
     return b0, b1, b2
 
 

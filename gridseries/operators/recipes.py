@@ -21,6 +21,7 @@ from gridseries.operators.metrics import CENTILES
 from gridseries.operators.predictors import apply_offsets, radiation_offsets
 from gridseries.operators.spatial import weighted_mean
 from gridseries.operators.spectral import power_udf
+from gridseries.session import cut_lineage
 
 RECIPES: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {}
 
@@ -168,6 +169,7 @@ def member_index(reference: DataFrame, members: DataFrame, weights: DataFrame, c
         one = radiation_offsets(reference, factual.where(F.col("source") == source), "rsds", period, *cfg.get("smoothing", (21, 10, 11)))
         one = one.withColumn("source", F.lit(source))
         offsets = one if offsets is None else offsets.unionByName(one)
+    offsets = cut_lineage(offsets)
     year0, year1 = period
     clipped = F.when(F.col("forcing") == "natural", F.lit(year0)).otherwise(F.least(F.greatest(F.col("year"), F.lit(year0)), F.lit(year1)))
     shifted = members.withColumn("_year", clipped).join(
@@ -176,7 +178,8 @@ def member_index(reference: DataFrame, members: DataFrame, weights: DataFrame, c
     treated = shifted.withColumn("treatment", F.lit("adjusted")).unionByName(members.withColumn("treatment", F.lit("unadjusted")))
 
     series = ["source", "forcing", "member", "treatment"]
-    dec = event_balance(treated, series, weights, methods, scale)
+    # One row per member, lane and year: kept because fits and targets both read it.
+    dec = cut_lineage(event_balance(treated, series, weights, methods, scale))
     dec = common_years(dec, ["source", "forcing"], "member")
     # The four lanes of the protocol.
     lanes = _with_baselines(dec, baselines)
@@ -209,8 +212,9 @@ def summarise_protocol(reference: DataFrame, members: DataFrame, weights: DataFr
     groups = [*lane, "forcing"]
     unit = ["method", "aggregation", "baseline_start", "baseline_end"]
     inside = complete_window(values, [*groups, "member"], window).join(broadcast_if_small(thresholds), unit)
+    inside = cut_lineage(inside)  # member-years of the window, used by counts and draws
     events = inside.withColumn("event", F.when(F.col("value") <= F.col("threshold"), 1).otherwise(0))
-    draws = at.bootstrap(events, groups, cfg.get("replicates", at.REPLICATES), cfg.get("seed", at.SEED), block)
+    draws = cut_lineage(at.bootstrap(events, groups, cfg.get("replicates", at.REPLICATES), cfg.get("seed", at.SEED), block))
     rows = at.probability_rows(inside, draws, groups, "value", F.col("threshold"), block)
     ratios = at.ratio_rows(rows, draws, groups)
     left = rows.withColumns({"record_type": F.lit("probability"), "window_start": F.lit(window[0]), "window_end": F.lit(window[1])})

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ from gridseries.plans.views import (
 )
 from gridseries.sources import readers as rd
 from gridseries.sources import store as st
+from gridseries.session import scratch_folder
 from gridseries.streaming import ingest as ig
 
 
@@ -307,7 +306,8 @@ def agg_21(spark, sf_dir):
     return pd_.sum_and_count(li, ["point_id"], "l_quantity", (1996, 2000))
 
 
-FORCING = ENSEMBLE + """, frc AS (SELECT experiment_id AS scenario, source_id AS variable, year, CASE WHEN (year + length(source_id)) % 3 = 0 AND experiment_id = 'F' THEN NULL ELSE avg(value) END AS value FROM ens WHERE member_id < 5 GROUP BY ALL)"""
+FORCING = ENSEMBLE + """, frc0 AS (SELECT experiment_id AS scenario, source_id AS variable, year, avg(value) AS v FROM ens WHERE member_id < 5 GROUP BY 1, 2, 3),
+frc AS (SELECT scenario, variable, year, CASE WHEN (year + length(variable)) % 3 = 0 AND scenario = 'F' THEN NULL ELSE v END AS value FROM frc0)"""
 
 
 def forcing(spark, sf_dir):
@@ -448,31 +448,18 @@ def udf_05(spark, sf_dir):
 # --- streams -------------------------------------------------------------------------
 
 
-def _scratch(spark) -> str:
-    """Folder for stream tables: the shared one of the cluster, a local one in tests."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return tempfile.mkdtemp(prefix="stream-", dir=shared if shared and "://" not in shared else None) if not shared or "://" not in shared else f"{shared}/stream-{pd.Timestamp.now().value}"
-
-
 def event_stream(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return stream.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("str_s1_stream_upsert", "row_key:s value:d", f"""
 WITH {KEYED} SELECT row_key, value FROM (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY event_id DESC) AS k FROM keyed) WHERE k = 1""")
 def str_s1(spark, sf_dir):
     """File stream upserted batch by batch; the last row of a key wins."""
-    from gridseries.plans import views
-
-    original = views.table
-    stream = event_stream(spark, sf_dir)
-    views.table = lambda s, d, n: stream
-    try:
-        rows = metric_rows(spark, sf_dir)
-    finally:
-        views.table = original
-    base = _scratch(spark)
+    rows = metric_rows(spark, sf_dir, event_stream(spark, sf_dir))
+    base = scratch_folder(spark, "stream")
     job = ig.start_upsert(rows, f"{base}/table", f"{base}/checkpoint", ["event_id"], overwrite=True)
     job.awaitTermination()
     last = job.lastProgress["batchId"] if job.lastProgress else 0
@@ -483,7 +470,7 @@ def str_s1(spark, sf_dir):
 SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, sum(value) AS total, count(value) AS n FROM events GROUP BY 1, 2""")
 def str_s2(spark, sf_dir):
     """Running daily sums and counts per key as streaming state."""
-    base = _scratch(spark)
+    base = scratch_folder(spark, "stream")
     sums = ig.running_sums(event_stream(spark, sf_dir), ["event_type"], "value")
 
     def keep(batch, batch_id):

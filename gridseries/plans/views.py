@@ -158,9 +158,9 @@ PREDICTIONS = """pred AS (
   FROM lineitem GROUP BY 1, 2, 3, 4)"""
 
 
-def metric_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Metric rows from the event stream; repeated keys exercise the upsert."""
-    e = table(spark, sf_dir, "events")
+def metric_rows(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Metric rows from the events, or from a stream of them; keys repeat."""
+    e = table(spark, sf_dir, "events") if events is None else events
     return e.select(
         F.lit("gofnc").alias("metrickey"),
         F.col("event_type").alias("metricdomain"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,3 +42,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, prefix: str) -> str:
+    """New folder below the cluster's shared folder; a local one where none is named."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared}/{prefix}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"{prefix}-")
