@@ -77,6 +77,8 @@ def grouped_percentiles(
     if hot.isEmpty():
         return direct(clean)
     hot = cut_lineage(hot)
+    if not keys:
+        return _select_ranks(clean, hot, keys, probs, names, hot_rows)
     # At most total_rows / hot_rows groups can be hot, which bounds this broadcast.
     cold_rows = clean.alias("l").join(F.broadcast(hot.alias("r")), _same(keys), "left_anti")
     return direct(cold_rows).unionByName(_select_ranks(clean, hot, keys, probs, names, hot_rows))

@@ -192,7 +192,7 @@ def median_anchored(runs: DataFrame, group: list[str], run: str, value: str, siz
     pool = Window.partitionBy(*group, "_side")
     staged = staged.withColumns({"_m": F.count(F.lit(1)).over(pool), "_i": F.row_number().over(pool.orderBy("_r")) - 1})
     short = (F.col("_n") < size) | ((F.col("_side") != 0) & (F.col("_m") < k))
-    staged = staged.withColumn("_m", F.when(short, F.raise_error(F.lit("not enough runs around the median")).cast("bigint")).otherwise(F.col("_m")))
+    enough = F.when(short, F.raise_error(F.lit("not enough runs around the median")).cast("boolean")).otherwise(True)
     if strategy == "random":
         key = hash32(key_text(seed, *[F.col(g) for g in group], F.col(run)))
         staged = staged.withColumn("_h", F.row_number().over(pool.orderBy(key, run)))
@@ -204,7 +204,7 @@ def median_anchored(runs: DataFrame, group: list[str], run: str, value: str, siz
     else:
         picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_m") - 1) / F.lit(k - 1)))
         drawn = F.array_contains(picks, F.col("_i").cast("double"))
-    return staged.where((F.col("_side") == 0) | drawn).select(*runs.columns)
+    return staged.where(enough & ((F.col("_side") == 0) | drawn)).select(*runs.columns)
 
 
 def random_search(runs: DataFrame, group: list[str], run: str, value: str, size: int, attempts: int, seed: str = "0") -> DataFrame:

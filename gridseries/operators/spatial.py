@@ -241,41 +241,58 @@ def nearest_on_sphere(points: DataFrame, k: int, cell_deg: float) -> DataFrame:
     """k nearest points of each point on the sphere, itself included.
 
     Points are hashed to lat/lon cells and compared with the cells around their
-    own; ``cell_deg`` must be at least the distance to the k-th neighbour. A
-    point with fewer than k candidates inside that distance raises an error.
+    own. A point with fewer than k others within ``cell_deg`` is tried again
+    with twice the distance, so the answer is exact for any spacing; a good
+    first guess keeps the comparisons local.
     """
-    n_lon = int(360 // cell_deg)
-    unit = points.withColumns(
-        {
-            "_x": F.cos(F.radians("lat")) * F.cos(F.radians("lon")),
-            "_y": F.cos(F.radians("lat")) * F.sin(F.radians("lon")),
-            "_z": F.sin(F.radians("lat")),
-            "_ci": F.floor((F.col("lat") + 90.0) / cell_deg).cast("bigint"),
-            "_cj": F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / (360.0 / n_lon)).cast("bigint"),
-        }
-    )
-    # Near the poles a cap of cell_deg spans many meridians.
-    polar = F.abs(F.col("lat")) + cell_deg >= 90.0
-    reach = F.when(polar, F.lit(n_lon // 2 + 1)).otherwise(
-        F.least(F.ceil(cell_deg / F.cos(F.radians(F.abs(F.col("lat")) + cell_deg)) / (360.0 / n_lon)).cast("int") + 1, F.lit(n_lon // 2 + 1))
-    )
+    out, open_, radius = None, points, float(cell_deg)
+    while True:
+        near = _neighbours_within(open_, points, k, radius)
+        done = near.where((F.col("_n") >= k) | F.lit(radius >= 180.0))
+        out = done if out is None else out.unionByName(done)
+        if radius >= 180.0:
+            break
+        open_ = open_.join(done.select("point_id").distinct(), "point_id", "left_anti")
+        if open_.isEmpty():
+            break
+        radius = min(2.0 * radius, 180.0)
+    return out.drop("_n")
+
+
+def _on_cells(points: DataFrame, cell_deg: float) -> tuple[DataFrame, int]:
+    n_lon = max(int(360 // cell_deg), 1)
+    return points.withColumns({
+        "_x": F.cos(F.radians("lat")) * F.cos(F.radians("lon")), "_y": F.cos(F.radians("lat")) * F.sin(F.radians("lon")), "_z": F.sin(F.radians("lat")),
+        "_ci": F.floor((F.col("lat") + 90.0) / cell_deg).cast("bigint"),
+        "_cj": F.floor(F.pmod(F.col("lon"), F.lit(360.0)) / (360.0 / n_lon)).cast("bigint"),
+    }), n_lon
+
+
+def _neighbours_within(seekers: DataFrame, points: DataFrame, k: int, cell_deg: float) -> DataFrame:
+    """k nearest within ``cell_deg`` of each seeker, with the number found there."""
+    cells, n_lon = _on_cells(points, cell_deg)
+    mine, _ = _on_cells(seekers, cell_deg)
+    # A cap of cell_deg spans more meridians towards the poles, and all of them at a pole.
+    every = F.lit(n_lon // 2 + 1)
+    south = F.abs(F.col("lat")) + cell_deg
+    span = F.ceil(cell_deg / F.greatest(F.cos(F.radians(F.least(south, F.lit(89.0)))), F.lit(1e-3)) / (360.0 / n_lon)).cast("int") + 1
+    reach = F.when(south >= 89.0, every).otherwise(F.least(span, every))
     seek = (
-        unit.withColumn("_di", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
+        mine.withColumn("_di", F.explode(F.array(F.lit(-1), F.lit(0), F.lit(1))))
         .withColumn("_dj", F.explode(F.sequence(-reach, reach)))
         .select(
             F.col("point_id").alias("_p"), F.col("_x").alias("_px"), F.col("_y").alias("_py"), F.col("_z").alias("_pz"),
-            (F.col("_ci") + F.col("_di")).alias("_ci"), F.pmod(F.col("_cj") + F.col("_dj"), F.lit(n_lon)).alias("_cj"),
+            (F.col("_ci") + F.col("_di")).alias("_ci"), F.pmod(F.col("_cj") + F.col("_dj"), F.lit(n_lon)).cast("bigint").alias("_cj"),
         )
         .distinct()
     )
-    pairs = seek.join(unit.select("point_id", "_x", "_y", "_z", "_ci", "_cj"), ["_ci", "_cj"])
+    pairs = seek.join(cells.select("point_id", "_x", "_y", "_z", "_ci", "_cj"), ["_ci", "_cj"])
     dot = F.col("_x") * F.col("_px") + F.col("_y") * F.col("_py") + F.col("_z") * F.col("_pz")
     near = pairs.withColumn("_d", F.round(1.0 - dot, 12)).where(F.col("_d") <= 1.0 - math.cos(math.radians(cell_deg)) + 1e-12)
-    w = Window.partitionBy("_p").orderBy("_d", "point_id")
-    ranked = near.withColumns({"rank": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy("_p"))})
-    guard = F.when(F.col("_n") < k, F.raise_error(F.lit("cell_deg is too small for k neighbours"))).otherwise(F.col("rank"))
-    return ranked.withColumn("rank", guard).where(F.col("rank") <= k).select(
-        F.col("_p").alias("point_id"), F.col("point_id").alias("neighbour_id"), "rank", F.col("_d").alias("distance")
+    w = Window.partitionBy("_p")
+    ranked = near.withColumns({"rank": F.row_number().over(w.orderBy("_d", "point_id")), "_n": F.count(F.lit(1)).over(w)})
+    return ranked.where(F.col("rank") <= k).select(
+        F.col("_p").alias("point_id"), F.col("point_id").alias("neighbour_id"), "rank", F.col("_d").alias("distance"), "_n"
     )
 
 

@@ -246,7 +246,7 @@ SELECT * FROM r WHERE rank <= 4""")
 def join_13(spark, sf_dir):
     """Four nearest points of each distinct position."""
     u = points(spark, sf_dir).groupBy("lat", "lon").agg(F.min("point_id").alias("point_id"))
-    return sp.nearest_on_sphere(u, 4, 45.0)
+    return sp.nearest_on_sphere(u, 4, 20.0)
 
 
 @query("join_19_regional_subset", "region_id:s point_id:i year:i month:i tas:d", f"""

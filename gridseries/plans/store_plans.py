@@ -103,6 +103,17 @@ def src_08(spark, sf_dir):
     return both.groupBy("metrickey", "version_tag").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk_05_summary_csv", "n:i rmse:d scenario:s variable:s", f"""
+WITH {PREDICTIONS}, u AS (SELECT scenario, variable, count(*) AS n, sqrt(avg((pred_mean - obs) ** 2)) AS rmse FROM pred GROUP BY 1, 2) SELECT * FROM u""")
+def snk_05(spark, sf_dir):
+    """Summary written as CSV with sorted columns and read back."""
+    err = F.col("pred_mean") - F.col("obs")
+    s = predictions(spark, sf_dir).groupBy("variable", "scenario").agg(F.sqrt(F.avg(err * err)).alias("rmse"), F.count(F.lit(1)).alias("n"))
+    path = scratch_folder(spark, "summary")
+    st.write_summary_csv(s, f"{path}/csv")
+    return spark.read.option("header", True).schema("n bigint, rmse double, scenario string, variable string").csv(f"{path}/csv")
+
+
 @query("snk_06_csv_structure", "line_no:i fields:i expected:i", """
 WITH t AS (SELECT doc_id AS line_no, replace(regexp_replace(text, '[\\n\\r]+', ' ', 'g'), '""', '') AS x FROM documents),
 c AS (SELECT line_no, x, len(string_split(regexp_replace(x, '"[^"]*"', '', 'g'), ',')) AS fields FROM t WHERE trim(x) <> '')
