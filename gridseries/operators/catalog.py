@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.hashing import hash32, hash_mod, key_text
 from gridseries.functions.quantiles import broadcast_if_small
+from gridseries.functions.ranks import row_numbers
 
 # Variables a member file must hold for the drought protocol
 PROTOCOL_VARIABLES = ["pr", "tas", "tasmin", "tasmax", "rsds", "sfcWind", "hurs", "psl"]
@@ -417,8 +418,7 @@ def oldest_run(df: DataFrame, group: list[str], path: str = "path", modified: st
 
 def even_stride(df: DataFrame, group: list[str], order: str, max_rows: int) -> DataFrame:
     """At most ``max_rows`` evenly spaced rows per group."""
-    w = Window.partitionBy(*group)
-    staged = df.withColumns({"_r": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count(F.lit(1)).over(w)})
+    staged = row_numbers(df, group, [order], "_r", "_n")
     step = F.greatest(F.ceil(F.col("_n") / max_rows), F.lit(1))
     return staged.where(F.col("_r") % step == 0).drop("_r", "_n")
 

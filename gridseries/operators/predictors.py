@@ -80,16 +80,27 @@ def sum_and_count(df: DataFrame, keys: list[str], value: str, period: tuple[int,
     )
 
 
-def radiation_offsets(reference: DataFrame, models: DataFrame, value: str, period: tuple[int, int], window: int = 21, fit_years: int = 10, extension: int = 11) -> DataFrame:
-    """Smoothed reference minus smoothed model mean per (point, month, year), gaps filled."""
-    def smooth(df, name):
-        mean = sum_and_count(df, ["point_id"], value, period).select("point_id", "month", "year", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("m"))
-        full = mean.select("point_id", "month").distinct().withColumn("year", F.explode(F.sequence(F.lit(period[0]), F.lit(period[1]))))
-        filled = full.join(mean, ["point_id", "month", "year"], "left")
-        return edge_trend_mean(filled, ["point_id", "month"], "m", name, window, fit_years, extension).drop("m")
-
-    both = smooth(reference, "_r").join(smooth(models, "_m"), ["point_id", "month", "year"], "full").withColumn("_d", F.col("_r") - F.col("_m"))
-    return fill_gaps(both, ["point_id", "month"], "year", "_d", "offset").select("point_id", "month", "year", "offset")
+def radiation_offsets(
+    reference: DataFrame, models: DataFrame, value: str, period: tuple[int, int], window: int = 21, fit_years: int = 10, extension: int = 11,
+    keys: list[str] | None = None,
+) -> DataFrame:
+    """Smoothed reference minus smoothed model mean per (keys, point, month, year).
+
+    ``keys`` (the model source) separates the models; members are summed before
+    anything is smoothed. Gaps are filled along the years.
+    """
+    keys = keys or []
+    cell = ["point_id", "month"]
+
+    def smooth(df, by, name):
+        mean = sum_and_count(df, [*by, "point_id"], value, period).select(*by, *cell, "year", F.when(F.col("n") > 0, F.col("total") / F.col("n")).alias("m"))
+        full = mean.select(*by, *cell).distinct().withColumn("year", F.explode(F.sequence(F.lit(period[0]), F.lit(period[1]))))
+        filled = full.join(mean, [*by, *cell, "year"], "left")
+        return edge_trend_mean(filled, [*by, *cell], "m", name, window, fit_years, extension).drop("m")
+
+    ref = smooth(reference, [], "_r")
+    both = smooth(models, keys, "_m").join(ref, [*cell, "year"], "left").withColumn("_d", F.col("_r") - F.col("_m"))
+    return fill_gaps(both, [*keys, *cell], "year", "_d", "offset").select(*keys, *cell, "year", "offset")
 
 
 def apply_offsets(df: DataFrame, offsets: DataFrame, value: str, period: tuple[int, int], natural: Column, out: str) -> DataFrame:

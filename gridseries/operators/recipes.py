@@ -164,12 +164,8 @@ def member_index(reference: DataFrame, members: DataFrame, weights: DataFrame, c
     thresholds = ref_idx.where(F.col("year") == cfg["event_year"]).groupBy(*unit).agg(weighted_mean(F.col("z"), F.col("weight")).alias("threshold"))
 
     factual = members.where("forcing = 'factual'")
-    offsets = None
-    for (source,) in factual.select("source").distinct().collect():  # a handful of models
-        one = radiation_offsets(reference, factual.where(F.col("source") == source), "rsds", period, *cfg.get("smoothing", (21, 10, 11)))
-        one = one.withColumn("source", F.lit(source))
-        offsets = one if offsets is None else offsets.unionByName(one)
-    offsets = cut_lineage(offsets)
+    smoothing = cfg.get("smoothing", (21, 10, 11))
+    offsets = cut_lineage(radiation_offsets(reference, factual, "rsds", period, *smoothing, keys=["source"]))
     year0, year1 = period
     clipped = F.when(F.col("forcing") == "natural", F.lit(year0)).otherwise(F.least(F.greatest(F.col("year"), F.lit(year0)), F.lit(year1)))
     shifted = members.withColumn("_year", clipped).join(

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.calendar import month_of, year_of
 from gridseries.functions.quantiles import broadcast_if_small
+from gridseries.functions.ranks import row_numbers
 
 
 def centred_mean(df: DataFrame, series: list[str], time: str, value: str, before: int, after: int, out: str, min_count: int = 1) -> DataFrame:
@@ -284,12 +285,8 @@ def autocorrelation(df: DataFrame, series: list[str], time: str, value: str, lag
 
 
 def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
-    """Zero-based index within a group, and the size of the group.
-
-    For groups of versions of one metric, which are few.
-    """
-    w = Window.partitionBy(*group)
-    return df.withColumns({"index_in_group": F.row_number().over(w.orderBy(*order)) - 1, "group_size": F.count(F.lit(1)).over(w)})
+    """Zero-based index within a group, and the size of the group."""
+    return row_numbers(df, group, order, "index_in_group", "group_size")
 
 
 def time_windows(spans: DataFrame, keys: list[str], years: int = 20, mode: str = "triple", cap: int = 2100, forced=None) -> DataFrame:

@@ -473,8 +473,7 @@ def str_s1(spark, sf_dir):
     base = scratch_folder(spark, "stream")
     job = ig.start_upsert(rows, f"{base}/table", f"{base}/checkpoint", ["event_id"], overwrite=True)
     job.awaitTermination()
-    last = job.lastProgress["batchId"] if job.lastProgress else 0
-    return ig.current_table(spark, f"{base}/table", last)
+    return ig.current_table(spark, f"{base}/table", overwrite=True)
 
 
 @query("str_s2_stream_sums", "start:s event_type:s total:d n:i", """

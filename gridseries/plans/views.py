@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridseries.functions.calendar import month_index
+from gridseries.functions.quantiles import broadcast_if_small
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -235,7 +236,7 @@ def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vector draws: per label the lowest vec_id is the truth, the others are draws."""
     e = table(spark, sf_dir, "embeddings")
     first = e.groupBy("label").agg(F.min("vec_id").alias("_first"))
-    return e.join(F.broadcast(first), "label").select(  # one row per label class
+    return e.join(broadcast_if_small(first), "label").select(
         "label", "vec_id", F.col("embedding").cast("array<double>").alias("vec"), (F.col("vec_id") == F.col("_first")).alias("is_truth")
     )
 

@@ -25,37 +25,28 @@ def first_wins(stream: DataFrame, delay: str = "1 hour", time: str = "timestamp"
 
 
 def upsert_batch(path: str, order: list[str], overwrite: bool):
-    """``foreachBatch`` function that upserts into a versioned table folder.
+    """``foreachBatch`` function that stores a batch reduced to one row per key.
 
-    The table is written as a new numbered folder and the ledger of folders
-    names the current one, so a batch never reads what it overwrites and a
-    repeated batch writes its own folder again.
+    Each batch writes only its own rows to its own folder, so the cost does not
+    grow with the table and a repeated batch replaces itself. Which batch wins
+    is decided on reading, by :func:`current_table`.
     """
-    from gridseries.sources.store import upsert
-
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = with_identity(batch)
-        previous = None
-        if batch_id > 0:
-            previous = current_table(spark, path, batch_id - 1)
-        if previous is None:
-            merged = deduplicate(new, "row_key", order, "last" if overwrite else "first")
-        else:
-            merged = upsert(previous, new, "row_key", order, overwrite)
-        merged.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        rows = deduplicate(with_identity(batch), "row_key", order, "last" if overwrite else "first")
+        rows.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     return run
 
 
-def current_table(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
-    """Table after the given batch, None if it was never written."""
-    try:
-        return spark.read.parquet(f"{path}/batch={batch_id}")
-    except Exception as exc:
-        if "PATH_NOT_FOUND" in str(exc):
-            return None
-        raise
+def current_table(spark: SparkSession, path: str, overwrite: bool = False) -> DataFrame:
+    """One row per key over all batches: the first batch wins, or the last."""
+    rows = spark.read.option("basePath", path).parquet(path)
+    return deduplicate(rows, "row_key", ["batch"], "last" if overwrite else "first").drop("batch")
+
+
+def compact(spark: SparkSession, path: str, target: str, overwrite: bool = False) -> None:
+    """Write the current table as the only batch of a new folder."""
+    current_table(spark, path, overwrite).write.mode("overwrite").parquet(f"{target}/batch=-1")
 
 
 def start_upsert(stream: DataFrame, path: str, checkpoint: str, order: list[str], overwrite: bool = False):

@@ -52,15 +52,18 @@ def test_stream_upsert_is_idempotent(spark, tmp_path):
     rows.coalesce(1).write.parquet(str(src / "p1"))
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1).parquet(str(src))
     ig.start_upsert(stream, table, str(tmp_path / "c1"), ["i"]).awaitTermination()
-    assert {r["metrictype"]: r["value"] for r in ig.current_table(spark, table, 0).collect()} == {"a": 1.0, "b": 3.0}
+    assert {r["metrictype"]: r["value"] for r in ig.current_table(spark, table).collect()} == {"a": 1.0, "b": 3.0}
     metric(spark, [("a", 7, "v1", 5), ("c", 8, "v1", 6)]).coalesce(1).write.parquet(str(src / "p2"))
     stream = spark.readStream.schema(rows.schema).option("recursiveFileLookup", True).parquet(str(src))
     ig.start_upsert(stream, table, str(tmp_path / "c1"), ["i"]).awaitTermination()
-    got = {r["metrictype"]: r["value"] for r in ig.current_table(spark, table, 1).collect()}
+    got = {r["metrictype"]: r["value"] for r in ig.current_table(spark, table).collect()}
     assert got == {"a": 1.0, "b": 3.0, "c": 8.0}
     run = ig.upsert_batch(table, ["i"], False)
     run(metric(spark, [("a", 7, "v1", 5), ("c", 8, "v1", 6)]), 1)
-    assert {r["metrictype"]: r["value"] for r in ig.current_table(spark, table, 1).collect()} == got
+    assert {r["metrictype"]: r["value"] for r in ig.current_table(spark, table).collect()} == got
+    assert {r["metrictype"]: r["value"] for r in ig.current_table(spark, table, overwrite=True).collect()} == {"a": 7.0, "b": 3.0, "c": 8.0}
+    ig.compact(spark, table, str(tmp_path / "small"))
+    assert {r["metrictype"]: r["value"] for r in ig.current_table(spark, str(tmp_path / "small")).collect()} == got
 
 
 def test_stream_first_wins_within_watermark(spark, tmp_path):

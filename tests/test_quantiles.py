@@ -3,6 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gridseries.functions.quantiles import grouped_percentiles
+from gridseries.functions.ranks import row_numbers
 
 PROBS = [0.0, 0.05, 0.33, 0.5, 0.95, 1.0]
 NAMES = [f"q{i}" for i in range(len(PROBS))]
@@ -43,3 +44,14 @@ def test_no_keys_and_nulls(spark):
     row = grouped_percentiles(df, [], "v", [0.5], ["m"], hot_rows=50, small_bytes=0).collect()[0]
     want = [i for i in range(1000) if i % 10]
     assert row["n"] == len(want) and row["m"] == pytest.approx(np.median(want))
+
+
+def test_row_numbers_of_hot_groups_in_bins(spark):
+    df = spark.range(2000).select(
+        F.when(F.col("id") % 3 > 0, "hot").otherwise((F.col("id") % 7).cast("string")).alias("g"), (F.col("id") * F.col("id") % 997).alias("v"), "id",
+        F.timestamp_seconds(F.col("id") % 50).alias("t"),
+    )
+    for order in (["v", "id"], ["t", "id"]):
+        plain = {tuple(r) for r in row_numbers(df, ["g"], order, "i", "n").select("id", "i", "n").collect()}
+        binned = {tuple(r) for r in row_numbers(df, ["g"], order, "i", "n", bins=16, small_bytes=0).select("id", "i", "n").collect()}
+        assert plain == binned and len(plain) == 2000
