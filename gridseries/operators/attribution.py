@@ -49,7 +49,10 @@ def bootstrap(events: DataFrame, groups: list[str], replicates: int = REPLICATES
     before slots and blocks are unfolded; the block counts are the only join.
     """
     blocks = event_blocks(events, groups, block_years)
-    sizes = blocks.groupBy(*groups).agg(F.max("n_members").alias("_m"), F.max("n_years").alias("_y"), F.min("n_years").alias("_y0"))
+    per_member = events.groupBy(*groups, "member").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = per_member.groupBy(*groups).agg(
+        F.count(F.lit(1)).alias("_m"), F.max("_n").cast("int").alias("_y"), F.min("_n").cast("int").alias("_y0")
+    )
     uneven = F.when(F.col("_y") != F.col("_y0"), F.raise_error(F.lit("members differ in length")).cast("int")).otherwise(F.col("_y"))
     sizes = sizes.withColumn("_y", uneven)
     reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*groups, "rep")

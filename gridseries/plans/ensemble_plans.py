@@ -10,6 +10,7 @@ from gridseries.operators import ensemble as en
 from gridseries.operators.filters import complete_window
 from gridseries.plans.registry import query
 from gridseries.plans.sqlparts import hash32
+from gridseries.session import cut_lineage
 from gridseries.plans.views import CELLS, ENSEMBLE, ENSEMBLE_MONTH, POINTS, cells, ensemble_month, ensemble_year, points, table
 
 SEM = ["source_id", "experiment_id", "member_id"]
@@ -284,6 +285,7 @@ SELECT source_id, p1 AS factual_probability, p0 AS natural_probability, CASE WHE
 def agg_33(spark, sf_dir):
     """Probability ratios; one of them unbounded."""
     v, d = drawn(spark, sf_dir)
+    d = cut_lineage(d)  # read by both probability rows and the ratios
     rows = at.probability_rows(v, d, GROUPS, "value", F.lit(THRESHOLD))
     return at.ratio_rows(rows, d, GROUPS)
 

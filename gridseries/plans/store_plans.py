@@ -12,8 +12,9 @@ from gridseries.operators import recipes as rc
 from gridseries.operators import timeseries as ts
 from gridseries.operators.spatial import cos_lat, region_weights
 from gridseries.plans.registry import query
+from gridseries.plans.sqlparts import glo_index
 from gridseries.plans.views import (
-    CELLS, ENSEMBLE, METRICS, PREDICTIONS, cells, ensemble_year, hp_map, metric_rows, points, predictions, series_month, table, HP_MAP, SERIES_MONTH,
+    CELLS, ENSEMBLE, METRICS, PREDICTIONS, cells, ensemble_year, hp_map, metric_rows, points, predictions, series_month, table, HP_MAP, REGION_POINT, SERIES_MONTH,
 )
 from gridseries.sources import readers as rd
 from gridseries.sources import store as st
@@ -379,7 +380,45 @@ def two_models(spark, sf_dir):
     return model(li.where("l_orderkey % 2 = 1")), model(li.where("l_orderkey % 2 = 0"))
 
 
-@query("udf_04_index_comparison", "metrictype:s value:d")
+def _compare_sql(name, rows, keys):
+    """Quantile and spectral distances of the aligned z_a, z_b per ``keys``."""
+    cents = "[" + ", ".join(f"{i / 100}" for i in range(1, 100)) + "]"
+    using = ", ".join(keys)
+    return f"""
+{name}_al AS (SELECT {using}, w0, w1, scale, z_a, z_b, greatest(23940, w0 * 12) + scale - 1 AS lo, least(24022, w1 * 12 + 11) AS hi, month_idx FROM {rows} WHERE z_a IS NOT NULL AND z_b IS NOT NULL),
+{name}_q AS (SELECT {using}, w0, w1, scale, sqrt(list_sum([(x[1] - x[2]) ** 2 for x in list_zip(qa, qb)]) / 99) AS distq FROM (
+  SELECT {using}, w0, w1, scale, quantile_cont(z_a, {cents}) AS qa, quantile_cont(z_b, {cents}) AS qb FROM {name}_al GROUP BY ALL)),
+{name}_x AS (SELECT {using}, w0, w1, scale, month_idx - lo AS t, hi - lo + 1 AS n, z_a - avg(z_a) OVER g AS xa, z_b - avg(z_b) OVER g AS xb FROM {name}_al WINDOW g AS (PARTITION BY {using}, w0, w1, scale)),
+{name}_b AS (SELECT *, greatest(1, n // greatest(2, least(40, n // 2))) AS k0, greatest(greatest(1, n // greatest(2, least(40, n // 2))), n // 2) AS k1, 0.5 - 0.5 * cos(2 * pi() * t / (n - 1)) AS w FROM {name}_x),
+{name}_k AS (SELECT *, unnest(range(k0, k1 + 1)) AS k FROM {name}_b),
+{name}_p AS (SELECT {using}, w0, w1, scale, k, sum(xa * w * cos(2 * pi() * k * t / n)) ** 2 + sum(xa * w * sin(2 * pi() * k * t / n)) ** 2 AS pa,
+  sum(xb * w * cos(2 * pi() * k * t / n)) ** 2 + sum(xb * w * sin(2 * pi() * k * t / n)) ** 2 AS pb FROM {name}_k GROUP BY ALL),
+{name}_s AS (SELECT {using}, w0, w1, scale, sqrt(avg((a - b) ** 2)) AS spec FROM (SELECT *, pa / sum(pa) OVER g AS a, pb / sum(pb) OVER g AS b FROM {name}_p WINDOW g AS (PARTITION BY {using}, w0, w1, scale)) GROUP BY ALL),
+{name} AS (SELECT * FROM {name}_q JOIN {name}_s USING ({using}, w0, w1, scale))"""
+
+
+COMPARE = f"""
+WITH src AS (SELECT CASE WHEN l_orderkey % 2 = 1 THEN 'a' ELSE 'b' END AS side, l_suppkey AS point_id, year(l_shipdate) AS year, month(l_shipdate) AS month,
+  year(l_shipdate) * 12 + month(l_shipdate) - 1 AS month_idx, sum(l_quantity) - sum(l_extendedprice * (1 - l_discount)) / 1500 AS wb FROM lineitem GROUP BY ALL),
+win AS (SELECT * FROM src JOIN (VALUES (1995, 1998), (1998, 2001)) AS v(w0, w1) ON year BETWEEN w0 AND w1),
+sc AS (SELECT *, 1 AS scale, wb AS acc FROM win UNION ALL SELECT *, 3, CASE WHEN count(wb) OVER f = 3 THEN sum(wb) OVER f END FROM win
+  WINDOW f AS (PARTITION BY side, w0, w1, point_id ORDER BY month_idx RANGE BETWEEN 2 PRECEDING AND CURRENT ROW)),
+ro AS (SELECT * FROM sc WHERE acc IS NOT NULL),
+{glo_index("ro", "side, w0, w1, scale, point_id, month", "acc", "z")},
+pm AS (SELECT w0, w1, scale, point_id, month_idx, max(z) FILTER (side = 'a') AS z_a, max(z) FILTER (side = 'b') AS z_b, max(acc) FILTER (side = 'a') AS acc_a, max(acc) FILTER (side = 'b') AS acc_b FROM idx GROUP BY ALL),
+{_compare_sql("pt", "pm", ["point_id"])},
+mp AS (SELECT w0, w1, scale, point_id, max(z_a) - max(z_b) AS dx, avg(acc_a) - avg(acc_b) AS dm, stddev_pop(acc_a) - stddev_pop(acc_b) AS ds FROM pm GROUP BY ALL),
+tt AS (SELECT w0, w1, scale, sqrt(avg(dx * dx)) AS a, sqrt(avg(dm * dm)) AS b, avg(dm) AS c, sqrt(avg(ds * ds)) AS d, avg(ds) AS e, sqrt(avg(distq * distq)) AS f, sqrt(avg(spec * spec)) AS g
+  FROM mp LEFT JOIN pt USING (w0, w1, scale, point_id) GROUP BY ALL),
+{REGION_POINT},
+rm AS (SELECT region_id, w0, w1, scale, month_idx, sum(z_a * weight) / sum(CASE WHEN z_a IS NOT NULL THEN weight END) AS z_a, sum(z_b * weight) / sum(CASE WHEN z_b IS NOT NULL THEN weight END) AS z_b FROM pm JOIN region_point USING (point_id) GROUP BY ALL),
+{_compare_sql("rg", "rm", ["region_id"])}
+SELECT 'Map_' || k || '_SPEI' || scale || s || '_' || w0 || 'to' || w1 AS metrictype, v AS value FROM (SELECT w0, w1, scale, unnest(['RMSE', 'RMSE', 'Dev', 'RMSE', 'Dev', 'RMSE', 'RMSE']) AS k,
+  unnest(['MAX', 'MU', 'MU', 'SD', 'SD', 'DISTQ', 'SPEC']) AS s, unnest([a, b, c, d, e, f, g]) AS v FROM tt)
+UNION ALL SELECT 'Reg_RMSE_SPEI' || scale || s || '_' || region_id || '_' || w0 || 'to' || w1, v FROM (SELECT region_id, w0, w1, scale, unnest(['DISTQ', 'SPEC']) AS s, unnest([distq, spec]) AS v FROM rg)"""
+
+
+@query("udf_04_index_comparison", "metrictype:s value:d", COMPARE)
 def udf_04(spark, sf_dir):
     """Registered recipe over two windows and two scales, with regions."""
     a, b = two_models(spark, sf_dir)
