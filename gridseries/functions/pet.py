@@ -131,44 +131,44 @@ def heat_storage(df: DataFrame, series: list[str], mean_c: Column, out: str = "h
 
 
 def penman_monteith(
-    tasmin: Column, tasmax: Column, rsds: Column, lat: Column, year: Column, month: Column, heat: Column,
-    wind: Column | None = None, humidity_pct: Column | None = None, pressure: Column | None = None, crop: str = "short",
-) -> Column:
-    """FAO-56 Penman-Monteith reference evapotranspiration.
-
-    Without humidity the dew point is taken from Tmin, without pressure sea
-    level, without wind 2 m/s. ``heat`` is the :func:`heat_storage` column.
+    df: DataFrame, heat: Column, out: str, wind: Column | None = None, humidity_pct: Column | None = None,
+    pressure: Column | None = None, crop: str = "short",
+) -> DataFrame:
+    """Add FAO-56 Penman-Monteith reference evapotranspiration.
+
+    Needs tasmin, tasmax (K), rsds (W m-2), lat, year and month. Without humidity
+    the dew point is taken from Tmin, without pressure sea level, without wind
+    2 m/s. ``heat`` is the :func:`heat_storage` column. Terms used several times
+    are columns of their own, so that no formula is copied.
     """
-    tn, tx = tasmin - KELVIN, tasmax - KELVIN
-    tm = (tn + tx) / 2.0
-    gamma = 0.665e-3 * (pressure if pressure is not None else F.lit(DEFAULT_PRESSURE_KPA))
-    e_min = saturation_kpa(tn)
-    e_sat = (saturation_kpa(tx) + e_min) / 2.0
-    slope = 4099.0 * saturation_kpa(tm) / F.pow(tm + 237.3, F.lit(2.0))
-    e_act = e_sat * (humidity_pct / 100.0) if humidity_pct is not None else e_min
-
-    day = midmonth_dayofyear(year, month)
-    phi = lat / 57.2957795
-    dec = 0.409 * F.sin(0.0172 * day - 1.39)
-    dr = 1.0 + 0.033 * F.cos(0.0172 * day)
-    x = -F.tan(phi) * F.tan(dec)
-    sunset = F.when(x < -1.0, F.lit(math.pi)).when(x > 1.0, F.lit(0.0)).otherwise(F.acos(x))
-    ra = F.greatest(
-        37.6 * dr * (sunset * F.sin(phi) * F.sin(dec) + F.cos(phi) * F.cos(dec) * F.sin(sunset)), F.lit(0.0)
-    )
-    clear = (0.75 + 2e-5 * DEFAULT_ELEVATION_M) * ra
-    clear = F.when(clear <= 0, F.lit(1e-6)).otherwise(clear)
-    rs = rsds * 86400.0 / 1e6
-    black = 4.9e-9 * (F.pow(KELVIN + tx, F.lit(4.0)) + F.pow(KELVIN + tn, F.lit(4.0))) / 2.0
-    longwave = (1.35 * rs / clear - 0.35) * (0.34 - 0.14 * F.sqrt(e_act)) * black
-    net = F.when(rs == 0, F.lit(0.0)).otherwise((1.0 - ALBEDO) * rs - longwave)
-
+    c = F.col
+    keep = df.columns
+    base = df.withColumns({
+        "_tn": c("tasmin") - KELVIN, "_tx": c("tasmax") - KELVIN, "_tm": (c("tasmin") + c("tasmax")) / 2.0 - KELVIN,
+        "_day": midmonth_dayofyear(c("year"), c("month")), "_phi": c("lat") / 57.2957795, "_rs": c("rsds") * 86400.0 / 1e6,
+        "_g": heat, "_u": wind if wind is not None else F.lit(DEFAULT_WIND_M_S),
+        "_gamma": 0.665e-3 * (pressure if pressure is not None else F.lit(DEFAULT_PRESSURE_KPA)),
+    })
+    sun = base.withColumns({
+        "_dec": 0.409 * F.sin(0.0172 * c("_day") - 1.39), "_dr": 1.0 + 0.033 * F.cos(0.0172 * c("_day")),
+        "_emin": saturation_kpa(c("_tn")), "_emax": saturation_kpa(c("_tx")),
+        "_slope": 4099.0 * saturation_kpa(c("_tm")) / F.pow(c("_tm") + 237.3, F.lit(2.0)),
+    })
+    sun = sun.withColumns({"_x": -F.tan(c("_phi")) * F.tan(c("_dec")), "_esat": (c("_emax") + c("_emin")) / 2.0})
+    sunset = F.when(c("_x") < -1.0, F.lit(math.pi)).when(c("_x") > 1.0, F.lit(0.0)).otherwise(F.acos(c("_x")))
+    eact = c("_esat") * (humidity_pct / 100.0) if humidity_pct is not None else c("_emin")
+    sun = sun.withColumns({"_om": sunset, "_eact": eact})
+    ra = 37.6 * c("_dr") * (c("_om") * F.sin("_phi") * F.sin("_dec") + F.cos("_phi") * F.cos("_dec") * F.sin("_om"))
+    clear = (0.75 + 2e-5 * DEFAULT_ELEVATION_M) * F.greatest(ra, F.lit(0.0))
+    sun = sun.withColumn("_clear", clear).withColumn("_clear", F.when(c("_clear") <= 0, F.lit(1e-6)).otherwise(c("_clear")))
+    black = 4.9e-9 * (F.pow(KELVIN + c("_tx"), F.lit(4.0)) + F.pow(KELVIN + c("_tn"), F.lit(4.0))) / 2.0
+    longwave = (1.35 * c("_rs") / c("_clear") - 0.35) * (0.34 - 0.14 * F.sqrt("_eact")) * black
+    net = F.when(c("_rs") == 0, F.lit(0.0)).otherwise((1.0 - ALBEDO) * c("_rs") - longwave)
     c1, c2 = CROPS[crop]
-    u = wind if wind is not None else F.lit(DEFAULT_WIND_M_S)
-    eto = (0.408 * slope * (net - heat) + gamma * (c1 / (tm + 273.0)) * u * (e_sat - e_act)) / (
-        slope + gamma * (1.0 + c2 * u)
-    )
-    return F.greatest(eto, F.lit(0.0)) * days_in_month(year, month)
+    dry = c("_gamma") * (c1 / (c("_tm") + 273.0)) * c("_u") * (c("_esat") - c("_eact"))
+    eto = (0.408 * c("_slope") * (c("_net") - c("_g")) + dry) / (c("_slope") + c("_gamma") * (1.0 + c2 * c("_u")))
+    total = F.greatest(eto, F.lit(0.0)) * days_in_month(c("year"), c("month"))
+    return sun.withColumn("_net", net).withColumn(out, total).select(*[k for k in keep if k != out], out)
 
 
 def resolve_method(columns, requested: str | None = None) -> str:
@@ -202,13 +202,11 @@ def with_pet(df: DataFrame, series: list[str], requested: str | None = None, out
         return df.withColumn(out, hargreaves(F.col("tas"), F.col("tasmin"), F.col("tasmax"), y, m, rsds=rs, lat=lat))
     have = set(df.columns)
     staged = heat_storage(df, series, (F.col("tasmin") + F.col("tasmax")) / 2.0 - KELVIN, "_heat")
-    pet = penman_monteith(
-        F.col("tasmin"), F.col("tasmax"), F.col("rsds"), F.col("lat"), y, m, F.col("_heat"),
-        wind=F.col("sfcWind") if "sfcWind" in have else None,
-        humidity_pct=F.col("hurs") if "hurs" in have else None,
-        pressure=F.col("psl") / 1000.0 if "psl" in have else None,
+    added = penman_monteith(
+        staged, F.col("_heat"), out, wind=F.col("sfcWind") if "sfcWind" in have else None,
+        humidity_pct=F.col("hurs") if "hurs" in have else None, pressure=F.col("psl") / 1000.0 if "psl" in have else None,
     )
-    return staged.withColumn(out, pet).drop("_heat")
+    return added.drop("_heat")
 
 
 # Dryness bands of the index (lower limit, upper limit, label)

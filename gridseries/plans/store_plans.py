@@ -11,6 +11,7 @@ from gridseries.operators import predictors as pd_
 from gridseries.operators import recipes as rc
 from gridseries.operators import timeseries as ts
 from gridseries.operators.spatial import cos_lat, region_weights
+from gridseries.plans.protocol_sql import SUMMARY
 from gridseries.plans.registry import query
 from gridseries.plans.sqlparts import glo_index
 from gridseries.plans.views import (
@@ -482,7 +483,7 @@ def protocol_grid(spark, sf_dir):
     return ref, g.where("forcing <> 'reference'").withColumn("source", F.lit("model-1"))
 
 
-@query("udf_05_attribution_summary", "record_type:s source:s forcing:s method:s treatment:s aggregation:s baseline_start:i members:i events:i opportunities:i threshold:d estimate:d lower:d upper:d one_sided:b")
+@query("udf_05_attribution_summary", "record_type:s source:s forcing:s method:s treatment:s aggregation:s baseline_start:i members:i events:i opportunities:i threshold:d estimate:d lower:d upper:d one_sided:b", SUMMARY)
 def udf_05(spark, sf_dir):
     """Probabilities and ratios of every lane of the protocol."""
     ref, mem = protocol_grid(spark, sf_dir)
