@@ -45,7 +45,7 @@ def _l2(a: str, b: str):
     return F.sqrt(total / F.size(a))
 
 
-@recipe("SPEIx")
+@recipe("drought")
 def index_comparison(a: DataFrame, b: DataFrame, cfg: dict) -> DataFrame:
     """Map and region metrics of two water-balance fields over windows and scales.
 

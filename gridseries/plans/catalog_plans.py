@@ -161,12 +161,12 @@ j0 AS (SELECT 'nc' AS comparison, source_id, experiment_id, original_file AS fil
   UNION ALL SELECT 'cc', fp.source_id, fp.experiment_id, a, b FROM fp SEMI JOIN pr ON fp.source_id = pr.source_id AND fp.experiment_id = pr.experiment_id AND fp.a = pr.original_file
   UNION ALL SELECT 'cz', source_id, experiment_id, path, pp FROM cz
   UNION ALL SELECT 'zz', fp.source_id, fp.experiment_id, a, b FROM fp SEMI JOIN cz ON fp.source_id = cz.zs AND fp.experiment_id = cz.experiment_id AND fp.a = cz.pp),
-jobs AS (SELECT *, unnest(['SPEIx', 'BiasMaps']) AS recipe FROM j0)"""
+jobs AS (SELECT *, unnest(['drought', 'BiasMaps']) AS recipe FROM j0)"""
 
 
 def jobs(spark, sf_dir):
     c = catalogue(spark, sf_dir).where("file_id % 3 > 0")
-    return ct.job_matrix(paired(spark, sf_dir, False), c, ["SPEIx", "BiasMaps"], 1, 2)
+    return ct.job_matrix(paired(spark, sf_dir, False), c, ["drought", "BiasMaps"], 1, 2)
 
 
 @query("join_04_job_matrix", "comparison:s source_id:s experiment_id:s file_a:s file_b:s recipe:s", f"WITH {JOBS} SELECT * FROM jobs")
@@ -295,7 +295,7 @@ def runs(spark, sf_dir):
     e = table(spark, sf_dir, "events")
     i, u = F.col("event_id"), F.col("user_id")
     base = e.select(
-        F.when(i % 2 == 0, "v100").otherwise("v101").alias("model_version"), F.lit("SPEIx").alias("recipe"),
+        F.when(i % 2 == 0, "v100").otherwise("v101").alias("model_version"), F.lit("drought").alias("recipe"),
         F.element_at(F.array(*[F.lit(x) for x in ("CC", "nn", "cc")]), (i % 3 + 1).cast("int")).alias("comparison"),
         F.concat(F.lit("m"), (u % 20).cast("string")).alias("source_id"), F.lit("ssp245").alias("experiment_id"),
         F.concat(F.lit("r"), (u % 7).cast("string")).alias("member_id"), F.col("event_type").alias("comp_source_id"), F.lit("").alias("comp_member_id"),
@@ -305,8 +305,8 @@ def runs(spark, sf_dir):
     return norm.where("NOT done"), norm.where("done")
 
 
-RUNS = """r0 AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'v100' ELSE 'v101' END AS mv, CASE WHEN event_id % 2 = 0 THEN 'S(c)' ELSE 'S(o)' END AS domain, 'SPEIx' AS recipe,
-  lower(['CC', 'nn', 'cc'][event_id % 3 + 1]) AS comparison, 'SPEIx|' || lower(['CC', 'nn', 'cc'][event_id % 3 + 1]) || '|m' || (user_id % 20) || '|ssp245|r' || (user_id % 7) || '|' || event_type || '|' AS rk,
+RUNS = """r0 AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'v100' ELSE 'v101' END AS mv, CASE WHEN event_id % 2 = 0 THEN 'S(c)' ELSE 'S(o)' END AS domain, 'drought' AS recipe,
+  lower(['CC', 'nn', 'cc'][event_id % 3 + 1]) AS comparison, 'drought|' || lower(['CC', 'nn', 'cc'][event_id % 3 + 1]) || '|m' || (user_id % 20) || '|ssp245|r' || (user_id % 7) || '|' || event_type || '|' AS rk,
   CASE WHEN event_id % 5 < 3 THEN 'A' ELSE 'B' END AS option, event_id % 7 < 3 AS done FROM events),
 r1 AS (SELECT *, mv || '|' || rk AS run_key, upper(comparison) || '_' || CASE WHEN domain = 'S(c)' THEN 'SC' ELSE 'SO' END AS gof_bucket, CASE WHEN comparison = 'cc' THEN rk ELSE '' END AS grp FROM r0),
 ex AS (SELECT DISTINCT option, domain, gof_bucket, recipe, run_key FROM r1 WHERE NOT done), dn AS (SELECT DISTINCT domain, gof_bucket, recipe, run_key FROM r1 WHERE done),
@@ -362,12 +362,12 @@ def srt_09(spark, sf_dir):
 
 
 @query("str_03_run_key", "event_id:i run_key:s label:s token:s", """
-SELECT event_id, 'v1|SPEIx|cc|m' || user_id || '|' || event_type AS run_key, '1995to2014' AS label, regexp_replace(lower(event_type || ' / ' || user_id), '[^a-z0-9]+', '-', 'g') AS token FROM events""")
+SELECT event_id, 'v1|drought|cc|m' || user_id || '|' || event_type AS run_key, '1995to2014' AS label, regexp_replace(lower(event_type || ' / ' || user_id), '[^a-z0-9]+', '-', 'g') AS token FROM events""")
 def str_03(spark, sf_dir):
     """Run keys, window labels and cleaned tokens."""
     e = table(spark, sf_dir, "events")
     return e.select(
-        "event_id", F.concat_ws("|", F.lit("v1"), F.lit("SPEIx"), F.lower(F.lit("CC")), F.concat(F.lit("m"), F.col("user_id").cast("string")), "event_type").alias("run_key"),
+        "event_id", F.concat_ws("|", F.lit("v1"), F.lit("drought"), F.lower(F.lit("CC")), F.concat(F.lit("m"), F.col("user_id").cast("string")), "event_type").alias("run_key"),
         F.concat_ws("to", F.lit("1995"), F.lit("2014")).alias("label"),
         F.regexp_replace(F.lower(F.concat_ws(" / ", "event_type", F.col("user_id").cast("string"))), "[^a-z0-9]+", "-").alias("token"),
     )

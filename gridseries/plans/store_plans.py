@@ -424,7 +424,7 @@ def udf_04(spark, sf_dir):
     """Registered recipe over two windows and two scales, with regions."""
     a, b = two_models(spark, sf_dir)
     cfg = {"windows": [(1995, 1998), (1998, 2001)], "scales": [1, 3], "period_max": 40, "regions": region_weights(points(spark, sf_dir))}
-    return rc.run_recipe("SPEIx", a, b, cfg)
+    return rc.run_recipe("drought", a, b, cfg)
 
 
 @query("udf_01_recipe_registry", "metrictype:s value:d", f"""
