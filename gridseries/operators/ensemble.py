@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.hashing import hash32, hash_mod, key_text
 from gridseries.functions.quantiles import broadcast_if_small, grouped_percentiles
+from gridseries.functions.ranks import row_numbers
 
 
 def anomalies(df: DataFrame, series: list[str], value: str, out: str, clim: str) -> DataFrame:
@@ -228,12 +229,11 @@ def resample_residuals(conditioned: DataFrame, fitted: DataFrame, group: list[st
     """Quantiles of random conditioned value + random residual over n draws.
 
     ``conditioned`` holds (group, value); ``fitted`` holds (group, truth, fit).
-    Both are the trend tables of a scenario: one row per model iteration.
+    Rows are numbered in value order and each draw picks a number by hash.
     """
-    w = Window.partitionBy(*group)
-    base = conditioned.where("value IS NOT NULL").withColumns({"_i": F.row_number().over(w.orderBy("value")) - 1, "_nb": F.count(F.lit(1)).over(w)})
+    base = row_numbers(conditioned.where("value IS NOT NULL").select(*group, "value"), group, ["value"], "_i", "_nb")
     resid = fitted.select(*group, (F.col("truth") - F.col("fit")).alias("resid")).where("resid IS NOT NULL")
-    resid = resid.withColumns({"_j": F.row_number().over(w.orderBy("resid")) - 1, "_nr": F.count(F.lit(1)).over(w)})
+    resid = row_numbers(resid, group, ["resid"], "_j", "_nr")
     sizes = base.groupBy(*group).agg(F.max("_nb").alias("_nb")).join(resid.groupBy(*group).agg(F.max("_nr").alias("_nr")), group)
     g = [F.col(c) for c in group]
     draws = sizes.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(n)))).repartition(*group, "draw")
