@@ -30,21 +30,32 @@ def build_session(app: str = "gridseries", master: str | None = None, **conf) ->
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the shared folder the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where ``spark.checkpoint.dir`` is unset (tests, a laptop) a local
-    folder is chosen.
+    Where it is unset, a session with a local master (tests, a laptop) gets a
+    temporary folder; on a cluster that is an error, since executors do not see
+    each other's disks.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder is None:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="spark-shared-")
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """Reliable checkpoint in the shared folder."""
+    context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
-    """New folder below the cluster's shared folder; a local one where none is named."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared}/{prefix}-{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix=f"{prefix}-")
+    """New folder below the shared folder; its owner removes it or leaves it to the folder's retention."""
+    return f"{shared_folder(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
