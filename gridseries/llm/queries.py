@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridseries.llm.common import read
 from gridseries.llm.exact_dedup import exact_groups
 from gridseries.llm.mixing import mix
+from gridseries.llm.near_dedup import near_groups
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -56,3 +57,9 @@ SELECT doc_id, source, size, source_size, target, (rounds * size + greatest(leas
 def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes from every document."""
     return mix(read(spark, sf_dir, "documents"))
+
+
+@query("op5_near_dedup")
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate component of every document."""
+    return near_groups(read(spark, sf_dir, "documents"))
