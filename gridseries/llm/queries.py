@@ -10,10 +10,21 @@ from gridseries.llm.common import read
 from gridseries.llm.exact_dedup import exact_groups
 from gridseries.llm.mixing import mix
 from gridseries.llm.near_dedup import near_groups
+from gridseries.llm.packing import pack
+from gridseries.llm.token_counts import token_counts
+from gridseries.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed vocabulary ``name`` lies; it is read in place."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 #: The word pattern as DuckDB writes it.
 DUCK_WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,3 +74,21 @@ def op2_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate component of every document."""
     return near_groups(read(spark, sf_dir, "documents"))
+
+
+@query("op4_warc")
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Record of every page, as read from the archives."""
+    return archive_pages(read(spark, sf_dir, "pages"))
+
+
+@query("op9_packing")
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Place of every piece of the documents."""
+    return pack(read(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
+@query("op10_token_counts")
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document."""
+    return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
