@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridseries.llm.common import read
 from gridseries.llm.exact_dedup import exact_groups
+from gridseries.llm.language import languages
 from gridseries.llm.mixing import mix
 from gridseries.llm.near_dedup import near_groups
 from gridseries.llm.packing import pack
+from gridseries.llm.quality import judge_quality
 from gridseries.llm.token_counts import token_counts
 from gridseries.llm.warc import archive_pages
 
@@ -92,3 +94,15 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts(read(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics and verdict of every document."""
+    return judge_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op7_language_id")
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document."""
+    return languages(read(spark, sf_dir, "documents"))
