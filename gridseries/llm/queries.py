@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from gridseries.llm.common import read
 from gridseries.llm.exact_dedup import exact_groups
 from gridseries.llm.language import languages
+from gridseries.llm.line_dedup import line_report
 from gridseries.llm.mixing import mix
 from gridseries.llm.near_dedup import near_groups
 from gridseries.llm.packing import pack
 from gridseries.llm.quality import judge_quality
+from gridseries.llm.secrets import scan_secrets
 from gridseries.llm.token_counts import token_counts
 from gridseries.llm.warc import archive_pages
 
@@ -106,3 +108,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return languages(read(spark, sf_dir, "documents"))
+
+
+@query("op3_line_dedup")
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recurring lines of every document."""
+    return line_report(read(spark, sf_dir, "documents"))
+
+
+@query("op8_secret_scan")
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of every document with the forest's verdict."""
+    return scan_secrets(read(spark, sf_dir, "documents"))
