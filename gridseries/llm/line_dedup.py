@@ -36,8 +36,10 @@ LINES = "doc_id bigint, text_key bigint, line_no int, leaf bigint, line_key bigi
 
 
 def masked_tokens(line: bytes) -> list[bytes]:
-    """Tokens between ASCII white space; those with a digit are variable fields."""
-    return [VARIABLE.encode() if DIGIT.search(t) else t for t in line.split()]
+    """Tokens between ASCII white space; those with a digit are variable fields, unless too few constants are left."""
+    tokens = line.split()
+    masked = [VARIABLE.encode() if DIGIT.search(t) else t for t in tokens]
+    return masked if 100 * masked.count(VARIABLE.encode()) <= (100 - LEAST_CONSTANT) * len(tokens) else tokens
 
 
 def _hash(data: bytes) -> int:
