@@ -114,10 +114,10 @@ def saturation_kpa(celsius: Column) -> Column:
 
 
 def heat_storage(df: DataFrame, series: list[str], mean_c: Column, out: str = "heat") -> DataFrame:
-    """Ground heat flux: centred temperature difference, one-sided at the ends."""
+    """Ground heat flux: centred temperature difference, one-sided at the ends; null beside a missing month."""
     w = Window.partitionBy(*series).orderBy("month_idx")
     staged = df.withColumn("_t", mean_c)
-    before, after = F.lag("_t").over(w), F.lead("_t").over(w)
+    before, after = F.max("_t").over(w.rangeBetween(-1, -1)), F.max("_t").over(w.rangeBetween(1, 1))
     first = F.row_number().over(w) == 1
     alone = F.count(F.lit(1)).over(Window.partitionBy(*series)) < 2
     last = F.row_number().over(w) == F.count(F.lit(1)).over(Window.partitionBy(*series))

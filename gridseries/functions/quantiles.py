@@ -17,6 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridseries.functions.missing import is_finite
 from gridseries.session import cut_lineage
 
 SMALL_BYTES = 64 * 1024 * 1024
@@ -32,8 +33,9 @@ def plan_bytes(df: DataFrame) -> int | None:
 
 
 def is_small(df: DataFrame, limit: int = SMALL_BYTES) -> bool:
+    """Estimated size within ``limit``; never for plans that multiply rows by a generator, which the estimate ignores."""
     size = plan_bytes(df)
-    return size is not None and size <= limit
+    return size is not None and size <= limit and "Generate" not in df._jdf.queryExecution().optimizedPlan().toString()
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SMALL_BYTES) -> DataFrame:
@@ -53,23 +55,20 @@ def grouped_percentiles(
     probs,
     names: list[str],
     hot_rows: int = HOT_ROWS,
-    small_bytes: int = SMALL_BYTES,
 ) -> DataFrame:
     """Exact percentiles per group for groups of any size.
 
-    Returns ``keys``, ``n`` and one column per entry of ``names``. Nulls are
-    ignored. A plan whose estimated size is small cannot hold a hot group and is
-    answered by the built-in aggregate; otherwise group sizes are counted once.
+    Returns ``keys``, ``n`` and one column per entry of ``names``. Nulls, NaN
+    and infinities are ignored. Counted group sizes alone decide which groups
+    the built-in aggregate answers; both ways give the same values.
     """
-    clean = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"))
+    clean = df.select(*keys, F.col(value).cast("double").alias("_v")).where(is_finite(F.col("_v")))
     probs = [float(p) for p in probs]
 
     def direct(part: DataFrame) -> DataFrame:
         agg = part.groupBy(*keys).agg(percentiles(F.col("_v"), probs).alias("_q"), F.count("*").alias("n"))
         return agg.select(*keys, "n", *[F.col("_q")[i].alias(nm) for i, nm in enumerate(names)])
 
-    if is_small(clean, small_bytes):
-        return direct(clean)
     sizes = clean.groupBy(*keys).agg(
         F.count("*").alias("n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
     )
@@ -109,12 +108,18 @@ def _select_ranks(
         joined = clean.alias("l").join(F.broadcast(spans), _same(keys, within))
         return joined.select(*[F.col(f"r.{c}") for c in interval], F.col("l._v"))
 
+    last_rows = -1
     while True:
         targets = cut_lineage(targets)
         wide = targets.where((F.col("_inside") > hot_rows) & (F.col("_lo") < F.col("_hi")))
-        if wide.isEmpty():
+        state = wide.agg(F.count("*").alias("n"), F.sum("_inside").alias("rows")).first()
+        if not state["n"]:
             break
-        share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        if state["rows"] == last_rows:
+            raise ValueError("a selection pass narrowed no interval")
+        last_rows = state["rows"]
+        span = F.col("_hi") / 2 - F.col("_lo") / 2  # zero where the ends differ by less than a normal double
+        share = F.when(span > 0, F.try_divide(F.col("_v") / 2 - F.col("_lo") / 2, span)).otherwise((F.col("_v") > F.col("_lo")).cast("double"))
         w = Window.partitionBy(*interval).orderBy("_bin")
         counts = (
             members(wide)

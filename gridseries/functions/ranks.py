@@ -4,38 +4,28 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from gridseries.functions.quantiles import SMALL_BYTES, broadcast_if_small, is_small
+from gridseries.session import cut_lineage
 
-ORDERED = (T.NumericType, T.TimestampType, T.TimestampNTZType, T.DateType)
 
-
-def row_numbers(
-    df: DataFrame, group: list[str], order: list[str], index: str, size: str, bins: int = 4096, small_bytes: int = SMALL_BYTES
-) -> DataFrame:
+def row_numbers(df: DataFrame, group: list[str], order: list[str], index: str, size: str, parts: int | None = None) -> DataFrame:
     """Add the zero-based index in the group and the group size.
 
-    A plain window sorts a whole group in one task. Where the table is not small
-    a group is cut into bins of its first order column (numbers or times): the
-    index is the number of rows in earlier bins plus the rank within the bin, so
-    a hot group is spread over up to ``bins`` tasks.
+    Rows are range-partitioned by group and order, from sampled boundaries, so a
+    hot group spreads over many tasks whatever the type of its order columns.
+    The index is the group's rows in earlier partitions plus the rank within the
+    own one. Nulls come first in the order, and null is a group of its own.
     """
-    lead = df.schema[order[0]].dataType
-    if is_small(df, small_bytes) or not isinstance(lead, ORDERED):
-        w = Window.partitionBy(*group)
-        return df.withColumns({index: F.row_number().over(w.orderBy(*order)) - 1, size: F.count(F.lit(1)).over(w)})
-    key = F.col(order[0])
-    if isinstance(lead, (T.TimestampType, T.TimestampNTZType, T.DateType)):
-        key = F.unix_micros(key.cast("timestamp"))
-    key = key.cast("double")
-    span = df.groupBy(*group).agg(F.min(key).alias("_lo"), F.max(key).alias("_hi"))
-    share = F.when(F.col("_hi") > F.col("_lo"), (key - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))).otherwise(0.0)
-    tagged = df.join(broadcast_if_small(span), group).withColumn("_bin", F.least(F.floor(share * bins), F.lit(bins - 1))).drop("_lo", "_hi")
-    earlier = Window.partitionBy(*group).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    counts = tagged.groupBy(*group, "_bin").agg(F.count(F.lit(1)).alias("_c")).withColumns({
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumns({
         "_before": F.coalesce(F.sum("_c").over(earlier), F.lit(0)), size: F.sum("_c").over(Window.partitionBy(*group)),
-    }).drop("_c")
-    local = F.row_number().over(Window.partitionBy(*group, "_bin").orderBy(*order)) - 1
-    joined = tagged.withColumn("_local", local).join(counts, [*group, "_bin"])
-    return joined.withColumn(index, F.col("_before") + F.col("_local")).drop("_bin", "_before", "_local")
+    })
+    counts = counts.select(*[F.col(g).alias(f"_g{k}") for k, g in enumerate(group)], F.col("_part").alias("_p"), "_before", size)
+    local = F.row_number().over(Window.partitionBy(*group, "_part").orderBy(*order)) - 1
+    same = F.col("_part") == F.col("_p")
+    for k, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
+    joined = ranged.withColumn("_local", local).join(counts, same)
+    return joined.withColumn(index, F.col("_before") + F.col("_local")).select(*df.columns, index, size)

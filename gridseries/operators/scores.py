@@ -100,8 +100,6 @@ def score_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
 # Each takes long fields (run keys, variable, t, pix, lat, value) with t = 0.. and
 # gives (run keys, recipe, label, idx, value). Vectors of one run are short.
 
-MAX_MONTHS = 1200
-
 
 def _emit(df: DataFrame, run: list[str], recipe: str, idx, value="value", label="variable") -> DataFrame:
     idx = F.col(idx) if isinstance(idx, str) else idx
@@ -109,14 +107,15 @@ def _emit(df: DataFrame, run: list[str], recipe: str, idx, value="value", label=
     return df.select(*run, F.lit(recipe).alias("recipe"), label.alias("label"), idx.cast("bigint").alias("idx"), F.col(value).alias("value"))
 
 
-def global_mean(df: DataFrame, run: list[str], max_months: int | None = MAX_MONTHS) -> DataFrame:
+def global_mean(df: DataFrame, run: list[str], max_months: int | None = None) -> DataFrame:
     kept = df if max_months is None else df.where(F.col("t") < max_months)
     return kept.groupBy(*run, "variable", "t").agg(F.avg("value").alias("value"))
 
 
-def _whole_years(gm: DataFrame, run: list[str]) -> DataFrame:
+def _whole_years(gm: DataFrame, run: list[str], least: int = 0) -> DataFrame:
+    """Months of whole years; a series of fewer than ``least`` years has no rows."""
     n = F.max("t").over(Window.partitionBy(*run, "variable")) + 1
-    return gm.withColumn("_n", F.floor(n / 12) * 12).where(F.col("t") < F.col("_n")).drop("_n")
+    return gm.withColumn("_n", F.floor(n / 12) * 12).where((F.col("t") < F.col("_n")) & (F.col("_n") >= 12 * least)).drop("_n")
 
 
 def _unfold(df: DataFrame, keys: list[str], arr: str) -> DataFrame:
@@ -159,14 +158,16 @@ def _deseasonalised(gm, run):
 
 
 def variability(df, run):
-    gm = _whole_years(global_mean(df, run), run)
+    """Deseasonalised, detrended global means of series of two whole years or more."""
+    gm = _whole_years(global_mean(df, run), run, 2)
     out = detrend(_deseasonalised(gm, run), [*run, "variable"], F.col("t"), "value", "resid")
     return _emit(out, run, "Variability", "t", "resid")
 
 
 def joint_evolution(df, run, variables: list[str], lags=12):
-    """Lagged cross-correlations of each pair of variables."""
+    """Lagged cross-correlations of each pair of variables, for runs of 24 months or more."""
     gm = global_mean(df, run).groupBy(*run, "t").pivot("variable", variables).agg(F.first("value"))
+    gm = gm.withColumn("_n", F.max("t").over(Window.partitionBy(*run)) + 1).where("_n >= 24").drop("_n")
     pairs = [(a, b) for i, a in enumerate(variables) for b in variables[i + 1:]]
     rows = F.array(*[F.struct(F.lit(f"{a}_{b}").alias("variable"), F.col(a).alias("a"), F.col(b).alias("b")) for a, b in pairs])
     long = gm.select(*run, "t", F.inline(rows))
@@ -190,9 +191,9 @@ def tail_quantiles(df, run, n_q=40):
     return _emit(_unfold(gm, [*run, "variable"], "_a"), run, "IndicatorFreq", "idx")
 
 
-def teleconnections(df, run, index_variable="tas", tropics=30.0):
+def teleconnections(df, run, index_variable="tas", tropics=30.0, max_months: int | None = None):
     """Correlation of the tropical index with every pixel."""
-    kept = df.where(F.col("t") < MAX_MONTHS)
+    kept = df if max_months is None else df.where(F.col("t") < max_months)
     idx = kept.where((F.col("variable") == index_variable) & (F.abs("lat") < tropics)).groupBy(*run, "t").agg(F.avg("value").alias("_i"))
     joined = kept.join(broadcast_if_small(idx), [*run, "t"])
     agg = joined.groupBy(*run, "variable", "pix").agg(
@@ -203,9 +204,9 @@ def teleconnections(df, run, index_variable="tas", tropics=30.0):
 
 
 def index_characteristics(df, run, variables: list[str], tropics=30.0, lags=24):
-    """Standard deviation, skewness and autocorrelation of tropical indices."""
+    """Standard deviation, skewness and autocorrelation of tropical indices, for series of three whole years or more."""
     kept = df.where(F.col("variable").isin(*variables) & (F.abs("lat") < tropics))
-    gm = _deseasonalised(_whole_years(global_mean(kept, run, None), run), run)
+    gm = _deseasonalised(_whole_years(global_mean(kept, run), run, 3), run)
     series = [*run, "variable"]
     centred = gm.withColumn("_d", F.col("value") - F.avg("value").over(Window.partitionBy(*series)))
     mom = centred.groupBy(*series).agg((F.stddev_pop("value") + 1e-10).alias("sigma"), F.avg(F.pow("_d", F.lit(3.0))).alias("_m3"))

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridseries.functions.quantiles import broadcast_if_small
+from gridseries.session import cut_lineage
 
 EARTH_RADIUS_M = 6_371_000.0
 
@@ -201,21 +202,38 @@ def box(lat: Column, lon: Column, lat_min: float, lat_max: float, lon_min: float
 
 
 def nearest_on_grid(df: DataFrame, template: DataFrame, step: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
-    """Grid value of the cell nearest to each template point (regular grid).
+    """Source point nearest to each template point in latitude and longitude, for any grid origin.
 
-    Both sides get the same integer cell key, so it is an equi-join; the last
-    choice among equal keys is the smaller distance, then the smaller point.
+    Both sides are hashed to cells of ``step`` degrees and each template point
+    meets the nine cells around it, across the 0/360 seam as well. A nearest
+    point farther than a cell may not be the nearest; such template points are
+    tried again with four times the cell, so every one is answered. Ties go to
+    the smaller point.
     """
-    def key(c):
-        return F.round(F.col(c) / step).cast("bigint")
-
-    cells = df.withColumns({"_i": key(lat), "_j": key(lon)})
-    wanted = template.select(F.col("template_id"), F.col(lat).alias("_tlat"), F.col(lon).alias("_tlon")).withColumns(
-        {"_i": F.round(F.col("_tlat") / step).cast("bigint"), "_j": F.round(F.col("_tlon") / step).cast("bigint")}
-    )
-    dist = F.pow(F.col(lat) - F.col("_tlat"), F.lit(2.0)) + F.pow(F.col(lon) - F.col("_tlon"), F.lit(2.0))
-    joined = cells.join(broadcast_if_small(wanted), ["_i", "_j"]).withColumn("_d", dist)
-    return joined.groupBy("template_id").agg(F.min_by("point_id", F.struct("_d", "point_id")).alias("point_id"))
+    sources = df.select("point_id", F.col(lat).alias("_lat"), F.pmod(F.col(lon), F.lit(360.0)).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    open_ = template.select("template_id", F.col(lat).alias("_tlat"), F.pmod(F.col(lon), F.lit(360.0)).alias("_tlon")).where("_tlat IS NOT NULL AND _tlon IS NOT NULL").distinct()
+    out, size = None, float(step)
+    while True:
+        n_lon = max(1, int(360.0 // size))
+        row = lambda c: F.floor((F.col(c) + 90.0) / size)  # noqa: B023, E731
+        column = lambda c: F.least(F.floor(F.col(c) / (360.0 / n_lon)), F.lit(n_lon - 1))  # noqa: B023, E731
+        around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in sorted({k % n_lon for k in (-1, 0, 1)})])
+        asked = open_.withColumns({"_ti": row("_tlat"), "_tj": column("_tlon")}).withColumn("_o", F.explode(around))
+        asked = asked.select("template_id", "_tlat", "_tlon", (F.col("_ti") + F.col("_o.i")).alias("_i"), F.pmod(F.col("_tj") + F.col("_o.j"), F.lit(n_lon)).alias("_j"))
+        east = F.abs(F.col("_lon") - F.col("_tlon"))
+        d2 = F.pow(F.col("_lat") - F.col("_tlat"), F.lit(2.0)) + F.pow(F.least(east, 360.0 - east), F.lit(2.0))
+        near = asked.join(sources.withColumns({"_i": row("_lat"), "_j": column("_lon")}), ["_i", "_j"]).withColumn("_d", d2)
+        best = near.groupBy("template_id").agg(F.min(F.struct(F.round("_d", 9).alias("d"), "point_id")).alias("_b"))
+        best = cut_lineage(best.select("template_id", F.col("_b.d").alias("_d"), F.col("_b.point_id").alias("point_id")))
+        done = best.where((F.col("_d") <= size * size) | F.lit(size >= 360.0))
+        out = done if out is None else out.unionByName(done)
+        if size >= 360.0:
+            break
+        open_ = cut_lineage(open_.join(done.select("template_id"), "template_id", "left_anti"))
+        if open_.isEmpty():
+            break
+        size = min(4.0 * size, 360.0)
+    return out.select("template_id", "point_id")
 
 
 def neighbourhood_mean(df: DataFrame, keys: list[str], value: str, radius: int, i: str = "i", j: str = "j") -> DataFrame:
@@ -247,12 +265,12 @@ def nearest_on_sphere(points: DataFrame, k: int, cell_deg: float) -> DataFrame:
     """
     out, open_, radius = None, points, float(cell_deg)
     while True:
-        near = _neighbours_within(open_, points, k, radius)
+        near = cut_lineage(_neighbours_within(open_, points, k, radius))
         done = near.where((F.col("_n") >= k) | F.lit(radius >= 180.0))
         out = done if out is None else out.unionByName(done)
         if radius >= 180.0:
             break
-        open_ = open_.join(done.select("point_id").distinct(), "point_id", "left_anti")
+        open_ = cut_lineage(open_.join(done.select("point_id").distinct(), "point_id", "left_anti"))
         if open_.isEmpty():
             break
         radius = min(2.0 * radius, 180.0)

@@ -265,18 +265,21 @@ def detrend(df: DataFrame, series: list[str], x: Column, value: str, out: str) -
 
 
 def lag_correlation(df: DataFrame, series: list[str], time: str, a: str, b: str, lags: int) -> DataFrame:
-    """corr(a_t, b_{t+l}) for l = 0..lags-1 as (series, lag, corr) rows."""
+    """corr(a_t, b_{t+l}) for l = 0..lags-1 as (series, lag, corr) rows.
+
+    ``time`` counts steps, so a lag means the same across gaps.
+    """
     w = Window.partitionBy(*series).orderBy(time)
-    staged = df.withColumns({f"_l{i}": F.lead(b, i).over(w) for i in range(lags)})
+    staged = df.withColumns({f"_l{i}": F.max(b).over(w.rangeBetween(i, i)) for i in range(lags)})
     agg = staged.groupBy(*series).agg(*[F.corr(a, f"_l{i}").alias(f"c{i}") for i in range(lags)])
     rows = F.array(*[F.struct(F.lit(i).alias("lag"), F.col(f"c{i}").alias("corr")) for i in range(lags)])
     return agg.select(*series, F.inline(rows))
 
 
 def autocorrelation(df: DataFrame, series: list[str], time: str, value: str, lags: int) -> DataFrame:
-    """sum x_t x_{t+l} / sum x^2 for l = 1..lags."""
+    """sum x_t x_{t+l} / sum x^2 for l = 1..lags; ``time`` counts steps, so a lag means the same across gaps."""
     w = Window.partitionBy(*series).orderBy(time)
-    staged = df.withColumns({f"_l{i}": F.lead(value, i).over(w) for i in range(1, lags + 1)})
+    staged = df.withColumns({f"_l{i}": F.max(value).over(w.rangeBetween(i, i)) for i in range(1, lags + 1)})
     agg = staged.groupBy(*series).agg(
         F.sum(F.col(value) * F.col(value)).alias("_s0"), *[F.sum(F.col(value) * F.col(f"_l{i}")).alias(f"s{i}") for i in range(1, lags + 1)]
     )
@@ -289,16 +292,17 @@ def numbered(df: DataFrame, group: list[str], order: list[str]) -> DataFrame:
     return row_numbers(df, group, order, "index_in_group", "group_size")
 
 
-def time_windows(spans: DataFrame, keys: list[str], years: int = 20, mode: str = "triple", cap: int = 2100, forced=None) -> DataFrame:
+def time_windows(spans: DataFrame, keys: list[str], years: int = 20, mode: str = "triple", cap: int | None = None, forced=None) -> DataFrame:
     """(start, end, label) windows on the overlap of two series.
 
-    ``spans`` holds a0, a1, b0, b1 (first and last years). Forced windows win.
+    ``spans`` holds a0, a1, b0, b1 (first and last years). Forced windows win;
+    ``cap`` is the last year to use, if any.
     """
     if forced:
         rows = F.array(*[F.struct(F.lit(a).alias("start_year"), F.lit(b).alias("end_year")) for a, b in forced])
         out = spans.select(*keys, F.inline(rows))
     else:
-        y0, y1 = F.greatest("a0", "b0"), F.least("a1", "b1", F.lit(cap))
+        y0, y1 = F.greatest("a0", "b0"), F.least("a1", "b1", *([] if cap is None else [F.lit(cap)]))
         y1 = F.greatest(y1, y0)
         mid = y0 + F.floor((y1 - y0) / 2)
         half = years // 2

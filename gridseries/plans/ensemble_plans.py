@@ -294,7 +294,7 @@ def agg_33(spark, sf_dir):
 WITH {ENSEMBLE}, b AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS nb FROM (SELECT source_id, value FROM ens WHERE experiment_id = 'F')),
 r AS (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY resid) - 1 AS j, count(*) OVER (PARTITION BY source_id) AS nr FROM (SELECT source_id, value - 200 AS resid FROM ens WHERE experiment_id = 'O')),
 d AS (SELECT source_id, {hash32("concat_ws('|', '7', 'base', source_id, draw)")} % nb AS i, {hash32("concat_ws('|', '7', 'resid', source_id, draw)")} % nr AS j FROM (
-  SELECT source_id, max(nb) AS nb, max(nr) AS nr, unnest(range(1, 501)) AS draw FROM b JOIN (SELECT DISTINCT source_id, nr FROM r) USING (source_id) GROUP BY 1)),
+  SELECT source_id, max(nb) AS nb, max(nr) AS nr, unnest(range(1, 2001)) AS draw FROM b JOIN (SELECT DISTINCT source_id, nr FROM r) USING (source_id) GROUP BY 1)),
 s AS (SELECT source_id, value + resid AS x FROM d JOIN b USING (source_id, i) JOIN r USING (source_id, j))
 SELECT source_id, count(*) AS n, {q("x", .025)} AS q025, {q("x", .5)} AS q50, {q("x", .975)} AS q975 FROM s GROUP BY 1""")
 def agg_35(spark, sf_dir):
@@ -302,7 +302,7 @@ def agg_35(spark, sf_dir):
     e = ensemble_year(spark, sf_dir)
     cond = e.where("experiment_id = 'F'").select("source_id", "value")
     fit = e.where("experiment_id = 'O'").select("source_id", F.col("value").alias("truth"), F.lit(200.0).alias("fit"))
-    return en.resample_residuals(cond, fit, ["source_id"], 500, "7", [0.025, 0.5, 0.975], ["q025", "q50", "q975"])
+    return en.resample_residuals(cond, fit, ["source_id"], 2000, "7", [0.025, 0.5, 0.975], ["q025", "q50", "q975"])
 
 
 def anchored_sql(strategy):
@@ -330,14 +330,14 @@ def srt_05_stratified(spark, sf_dir):
 
 
 @query("srt_06_random_search", "source_id:s attempt:i subset_median:d full_median:d diff:d", f"""
-WITH {WARM}, t AS (SELECT *, unnest(range(1, 41)) AS attempt FROM warm),
+WITH {WARM}, t AS (SELECT *, unnest(range(1, 101)) AS attempt FROM warm),
 p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id, attempt ORDER BY {hash32("concat_ws('|', '5', source_id, attempt, run)")}, run) AS h FROM t) WHERE h <= 8),
 m AS (SELECT source_id, attempt, {q("warming", .5)} AS subset_median FROM p GROUP BY 1, 2), f AS (SELECT source_id, {q("warming", .5)} AS full_median FROM warm GROUP BY 1),
 s AS (SELECT *, abs(subset_median - full_median) AS diff FROM m JOIN f USING (source_id))
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY source_id ORDER BY round(diff, 9), attempt) AS k FROM s) WHERE k = 1""")
 def srt_06(spark, sf_dir):
-    """Best of forty random subsets of eight runs."""
-    return en.random_search(warming(spark, sf_dir), ["source_id"], "run", "warming", 8, 40, "5")
+    """Best of a hundred random subsets of eight runs."""
+    return en.random_search(warming(spark, sf_dir), ["source_id"], "run", "warming", 8, 100, "5")
 
 
 @query("str_02_stable_hash", "o_orderkey:i mod32:i mod64:i", f"""

@@ -201,11 +201,11 @@ def flt_13(spark, sf_dir):
 
 @query("join_08_nearest_on_grid", "template_id:i point_id:i", f"""
 WITH {POINTS}, t AS (SELECT point_id AS template_id, lat + 1.2 AS tlat, lon - 0.7 AS tlon FROM points),
-j AS (SELECT template_id, point_id, row_number() OVER (PARTITION BY template_id ORDER BY (lat - tlat) ** 2 + (lon - tlon) ** 2, point_id) AS r
-  FROM points JOIN t ON round(lat / 4) = round(tlat / 4) AND round(lon / 4) = round(tlon / 4))
+d AS (SELECT template_id, point_id, lat - tlat AS y, abs(lon - fmod(tlon + 360, 360)) AS x FROM points, t),
+j AS (SELECT template_id, point_id, row_number() OVER (PARTITION BY template_id ORDER BY round(y ** 2 + least(x, 360 - x) ** 2, 9), point_id) AS r FROM d)
 SELECT * FROM j WHERE r = 1""")
 def join_08(spark, sf_dir):
-    """Template points snapped to the cell of a four-degree grid."""
+    """Nearest source point of every template point."""
     p = points(spark, sf_dir)
     t = p.select(F.col("point_id").alias("template_id"), (F.col("lat") + 1.2).alias("lat"), (F.col("lon") - 0.7).alias("lon"))
     return sp.nearest_on_grid(p, t, 4.0)

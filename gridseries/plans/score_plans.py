@@ -214,11 +214,11 @@ def agg_37(spark, sf_dir):
 
 
 @query("arr_01_vector_distance", "vec_id:i dist:d", """
-SELECT a.vec_id, sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 for x in list_zip(a.embedding[1:48], b.embedding[1:48])])) AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = a.label""")
+SELECT a.vec_id, sqrt(list_sum([(x[1]::DOUBLE - x[2]::DOUBLE) ** 2 for x in list_zip(a.embedding, b.embedding)])) AS dist FROM embeddings a JOIN embeddings b ON b.vec_id = a.label""")
 def arr_01(spark, sf_dir):
     """Distance over the common length to a reference vector per label."""
     e = table(spark, sf_dir, "embeddings").withColumn("vec", F.col("embedding").cast("array<double>"))
-    ref = e.select(F.col("vec_id").alias("_ref"), F.slice("vec", 1, 48).alias("ref"))
+    ref = e.select(F.col("vec_id").alias("_ref"), F.col("vec").alias("ref"))
     return e.join(ref, e.label == F.col("_ref")).select("vec_id", sc.distance(F.col("vec"), F.col("ref")).alias("dist"))
 
 
@@ -226,13 +226,14 @@ VARS = ["pr", "tas", "hurs"]
 
 
 def fields(spark, sf_dir):
-    """Long fields of three variables over six whole years."""
-    c = cells(spark, sf_dir).where("year <= 2000").withColumns({"run": F.lit("r1"), "t": F.col("month_idx") - 23940, "pix": F.col("point_id")})
+    """Long fields of three variables over all months."""
+    c = cells(spark, sf_dir).withColumns({"run": F.lit("r1"), "t": F.col("month_idx") - 23940, "pix": F.col("point_id")})
     return c.unpivot(["run", "t", "pix", "lat"], VARS, "variable", "value")
 
 
-FIELDS = CELLS + """, fld AS (SELECT 'r1' AS run, month_idx - 23940 AS t, point_id AS pix, lat, unnest(['pr', 'tas', 'hurs']) AS variable, unnest([pr, tas, hurs]) AS value FROM cells WHERE year <= 2000),
-gm AS (SELECT variable, t, avg(value) AS value FROM fld GROUP BY 1, 2)"""
+FIELDS = CELLS + """, fld AS (SELECT 'r1' AS run, month_idx - 23940 AS t, point_id AS pix, lat, unnest(['pr', 'tas', 'hurs']) AS variable, unnest([pr, tas, hurs]) AS value FROM cells),
+gm AS (SELECT variable, t, avg(value) AS value FROM fld GROUP BY 1, 2),
+gw AS (SELECT gm.* FROM gm JOIN (SELECT variable, (max(t) + 1) // 12 * 12 AS n FROM gm GROUP BY 1) USING (variable) WHERE t < n)"""
 COLS = "recipe:s label:s idx:i value:d"
 
 
@@ -254,11 +255,11 @@ def probs_sql(probs):
 recipe("agg_38_bias_maps", "SELECT 'BiasMaps' AS recipe, variable AS label, pix AS idx, avg(value) AS value FROM fld GROUP BY 2, 3", sc.bias_maps)
 recipe("agg_38_global_timeseries", "SELECT 'GlobalTimeseries' AS recipe, variable AS label, t AS idx, value FROM gm", sc.global_timeseries)
 recipe("agg_38_histograms", f"SELECT 'Histograms' AS recipe, variable AS label, unnest(range(0, 50)) AS idx, unnest(quantile_cont(value, {probs_sql(np.linspace(0.01, 0.99, 50))})) AS value FROM fld GROUP BY variable", sc.histograms)
-recipe("agg_38_seasonal_cycle", "SELECT 'SeasonalCycle' AS recipe, variable AS label, t % 12 AS idx, avg(value) AS value FROM gm GROUP BY 2, 3", sc.seasonal_cycle)
+recipe("agg_38_seasonal_cycle", "SELECT 'SeasonalCycle' AS recipe, variable AS label, t % 12 AS idx, avg(value) AS value FROM gw GROUP BY 2, 3", sc.seasonal_cycle)
 recipe("agg_38_zonal_means", """, f AS (SELECT variable, pix, lat, avg(value) AS v FROM fld GROUP BY 1, 2, 3), z AS (SELECT variable, CAST(floor((lat + 90) / 7.2) AS BIGINT) AS b, avg(v) AS v FROM f GROUP BY 1, 2)
 SELECT 'ZonalMeans' AS recipe, d.variable AS label, i AS idx, coalesce(z.v, 0) AS value FROM (SELECT variable, unnest(range(0, 25)) AS i FROM (SELECT DISTINCT variable FROM f)) d LEFT JOIN z ON z.variable = d.variable AND z.b = d.i""",
        lambda df, run: sc.zonal_profiles(df, run, 25))
-recipe("agg_38_variability", """, a AS (SELECT variable, t, value - avg(value) OVER (PARTITION BY variable, t % 12) AS v FROM gm), f AS (SELECT variable, regr_slope(v, t) AS s, regr_intercept(v, t) AS i FROM a GROUP BY 1)
+recipe("agg_38_variability", """, a AS (SELECT variable, t, value - avg(value) OVER (PARTITION BY variable, t % 12) AS v FROM gw), f AS (SELECT variable, regr_slope(v, t) AS s, regr_intercept(v, t) AS i FROM a GROUP BY 1)
 SELECT 'Variability' AS recipe, variable AS label, t AS idx, v - s * t - i AS value FROM a JOIN f USING (variable)""", sc.variability)
 recipe("agg_38_joint_evolution", """, p AS (SELECT * FROM (VALUES ('pr', 'tas'), ('pr', 'hurs'), ('tas', 'hurs')) AS v(x, y))
 SELECT 'JointEvolution' AS recipe, x || '_' || y AS label, l AS idx, corr(a.value, b.value) AS value FROM p JOIN gm a ON a.variable = x, (SELECT unnest(range(0, 12)) AS l) JOIN gm b ON true WHERE b.variable = y AND b.t = a.t + l GROUP BY 2, 3""",
@@ -268,7 +269,8 @@ recipe("agg_38_humidity_coupling", "SELECT 'HumidityCoupling' AS recipe, 'hurs_t
 recipe("agg_38_tail_quantiles", f"SELECT 'IndicatorFreq' AS recipe, variable AS label, unnest(range(0, 40)) AS idx, unnest(quantile_cont(value, {probs_sql(np.concatenate([np.linspace(0.01, 0.10, 20), np.linspace(0.90, 0.99, 20)]))})) AS value FROM gm GROUP BY variable", sc.tail_quantiles)
 recipe("agg_38_teleconnections", """, i AS (SELECT t, avg(value) AS i FROM fld WHERE variable = 'tas' AND abs(lat) < 30 GROUP BY 1)
 SELECT 'ENSOTeleconnections' AS recipe, variable AS label, pix AS idx, covar_pop(i, value) / ((stddev_pop(i) + 1e-10) * (stddev_pop(value) + 1e-10)) AS value FROM fld JOIN i USING (t) GROUP BY 2, 3""", sc.teleconnections)
-recipe("agg_38_index_characteristics", """, g AS (SELECT variable, t, avg(value) AS v FROM fld WHERE abs(lat) < 30 AND variable IN ('tas', 'pr') GROUP BY 1, 2), a AS (SELECT variable, t, v - avg(v) OVER (PARTITION BY variable, t % 12) AS x FROM g),
+recipe("agg_38_index_characteristics", """, g0 AS (SELECT variable, t, avg(value) AS v FROM fld WHERE abs(lat) < 30 AND variable IN ('tas', 'pr') GROUP BY 1, 2),
+g AS (SELECT g0.* FROM g0 JOIN (SELECT variable, (max(t) + 1) // 12 * 12 AS n FROM g0 GROUP BY 1) USING (variable) WHERE t < n), a AS (SELECT variable, t, v - avg(v) OVER (PARTITION BY variable, t % 12) AS x FROM g),
 m AS (SELECT variable, stddev_pop(x) + 1e-10 AS s, avg(x) AS mu, sum(x * x) AS s0 FROM a GROUP BY 1)
 SELECT 'ENSOCharacteristics' AS recipe, variable AS label, 0 AS idx, s AS value FROM m UNION ALL SELECT 'ENSOCharacteristics', variable, 1, avg((x - mu) ** 3) / max(s) ** 3 FROM a JOIN m USING (variable) GROUP BY variable
 UNION ALL SELECT 'ENSOCharacteristics', a.variable, l + 1, sum(a.x * b.x) / (max(s0) + 1e-10) FROM a JOIN m USING (variable), (SELECT unnest(range(1, 25)) AS l) JOIN a b ON true WHERE b.variable = a.variable AND b.t = a.t + l GROUP BY a.variable, l""",

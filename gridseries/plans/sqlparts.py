@@ -84,7 +84,7 @@ RA_HARG = (
 PENMAN = f"""
 pm_a AS (SELECT *, tasmin - 273.15 AS tn, tasmax - 273.15 AS tx, (tasmin + tasmax) / 2 - 273.15 AS tm, {DOY_MID} AS jd,
          {DAYS} AS dm, rsds * 86400 / 1e6 AS rs, lat / 57.2957795 AS phi FROM cells),
-pm_b AS (SELECT *, lag(tm) OVER w AS t0, lead(tm) OVER w AS t1, row_number() OVER w AS rn, count(*) OVER (PARTITION BY point_id) AS nn,
+pm_b AS (SELECT *, max(tm) OVER (PARTITION BY point_id ORDER BY month_idx RANGE BETWEEN 1 PRECEDING AND 1 PRECEDING) AS t0, max(tm) OVER (PARTITION BY point_id ORDER BY month_idx RANGE BETWEEN 1 FOLLOWING AND 1 FOLLOWING) AS t1, row_number() OVER w AS rn, count(*) OVER (PARTITION BY point_id) AS nn,
          0.611 * exp(17.27 * tx / (tx + 237.3)) AS ex, 0.611 * exp(17.27 * tn / (tn + 237.3)) AS en,
          4099 * 0.611 * exp(17.27 * tm / (tm + 237.3)) / pow(tm + 237.3, 2) AS slope,
          0.409 * sin(0.0172 * jd - 1.39) AS de, 1 + 0.033 * cos(0.0172 * jd) AS dr

@@ -319,12 +319,12 @@ def agg_21(spark, sf_dir):
     return pd_.sum_and_count(li, ["point_id"], "l_quantity", (1996, 2000))
 
 
-FORCING = ENSEMBLE + """, frc0 AS (SELECT experiment_id AS scenario, source_id AS variable, year, avg(value) AS v FROM ens WHERE member_id < 5 GROUP BY 1, 2, 3),
+FORCING = ENSEMBLE + """, frc0 AS (SELECT experiment_id AS scenario, source_id AS variable, year, avg(value) AS v FROM ens GROUP BY 1, 2, 3),
 frc AS (SELECT scenario, variable, year, CASE WHEN (year + length(variable)) % 3 = 0 AND scenario = 'F' THEN NULL ELSE v END AS value FROM frc0)"""
 
 
 def forcing(spark, sf_dir):
-    f = ensemble_year(spark, sf_dir).where("member_id < 5").groupBy(F.col("experiment_id").alias("scenario"), F.col("source_id").alias("variable"), "year").agg(F.avg("value").alias("value"))
+    f = ensemble_year(spark, sf_dir).groupBy(F.col("experiment_id").alias("scenario"), F.col("source_id").alias("variable"), "year").agg(F.avg("value").alias("value"))
     gap = ((F.col("year") + F.length("variable")) % 3 == 0) & (F.col("scenario") == "F")
     return f.withColumn("value", F.when(~gap, F.col("value")))
 
