@@ -219,7 +219,7 @@ def agg_48(spark, sf_dir):
 # --- bootstrap ---------------------------------------------------------------------
 
 GROUPS = ["source_id", "forcing"]
-R = 60
+R = 10_000
 THRESHOLD = 205.0
 
 

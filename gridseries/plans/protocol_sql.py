@@ -7,7 +7,7 @@ import re
 from gridseries.plans import sqlparts as S
 from gridseries.plans.series_plans import edge_sql
 
-REPLICATES = 40
+REPLICATES = 10_000
 LANE = "treatment, method, aggregation, c0, c1"
 
 

@@ -491,7 +491,7 @@ def udf_05(spark, sf_dir):
     weights = region_weights(w).select("point_id", "weight")
     cfg = {
         "methods": ["penman-monteith", "hargreaves", "thornthwaite"], "baselines": [(1995, 2000), (1996, 1999)], "offset_years": (1995, 2000), "event_year": 2000,
-        "scale": 12, "smoothing": (3, 3, 2), "window": (1996, 2000), "replicates": 40, "block_years": 5,
+        "scale": 12, "smoothing": (3, 3, 2), "window": (1996, 2000), "replicates": 10_000, "block_years": 5,
     }
     return rc.summarise_protocol(ref, mem, weights, cfg)
 
