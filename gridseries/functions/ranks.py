@@ -29,3 +29,19 @@ def row_numbers(df: DataFrame, group: list[str], order: list[str], index: str, s
         same &= F.col(g).eqNullSafe(F.col(f"_g{k}"))
     joined = ranged.withColumn("_local", local).join(counts, same)
     return joined.withColumn(index, F.col("_before") + F.col("_local")).select(*df.columns, index, size)
+
+
+def running_sums(df: DataFrame, group: list[str], order: str, value: str, out: str, total: str, parts: int | None = None) -> DataFrame:
+    """Add the sum of ``value`` up to and including equal ``order`` in the group, and the group's sum.
+
+    Range-partitioned as ``row_numbers``; rows of equal order share a partition.
+    """
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut_lineage(df.repartitionByRange(parts, *group, order).withColumn("_part", F.spark_partition_id()))
+    earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = ranged.groupBy(*group, "_part").agg(F.sum(value).alias("_s")).withColumns({
+        "_before": F.coalesce(F.sum("_s").over(earlier), F.lit(0)), total: F.sum("_s").over(Window.partitionBy(*group)),
+    }).drop("_s")
+    upto = Window.partitionBy(*group, "_part").orderBy(order).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("_local", F.sum(value).over(upto))
+    return local.join(sums, [*group, "_part"]).withColumn(out, F.col("_before") + F.col("_local")).select(*df.columns, out, total)

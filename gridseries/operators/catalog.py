@@ -301,6 +301,16 @@ def run_key(include_version: bool = True) -> Column:
     return F.concat_ws("|", *[F.lower(F.trim(F.col(c))) if c == "comparison" else F.trim(F.coalesce(F.col(c), F.lit(""))) for c in fields])
 
 
+def window_label(start: Column, end: Column) -> Column:
+    """``1995to2014``."""
+    return F.concat_ws("to", start.cast("string"), end.cast("string"))
+
+
+def clean_token(*parts: Column) -> Column:
+    """Lower-case letters and digits of the joined parts, anything else one hyphen."""
+    return F.regexp_replace(F.lower(F.concat_ws(" / ", *parts)), "[^a-z0-9]+", "-")
+
+
 def normalise_runs(df: DataFrame, domains: dict[str, str]) -> DataFrame:
     """Add domain, bucket, run_key and the group in which cc runs can be reused."""
     domain = F.element_at(F.create_map(*[F.lit(x) for kv in domains.items() for x in kv]), F.trim("model_version"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.hashing import hash32, hash_mod, key_text
 from gridseries.functions.quantiles import broadcast_if_small, grouped_percentiles
-from gridseries.functions.ranks import row_numbers
+from gridseries.functions.ranks import row_numbers, running_sums
 
 
 def anomalies(df: DataFrame, series: list[str], value: str, out: str, clim: str) -> DataFrame:
@@ -75,14 +75,14 @@ def warming_by_run(df: DataFrame, run: list[str], rows: list[str], value: str, p
 def exceedance(reference: DataFrame, samples: DataFrame, ref_value: str, value: str, keys: list[str], id_cols: list[str]) -> DataFrame:
     """Share of samples <= reference for each reference row, samples matched on ``keys``.
 
-    Samples are first reduced to counts of distinct values per key, so copies of
-    one value cross the shuffle once.
+    Counts of distinct sample values and the reference values go through one
+    running count in value order, so no sample meets every reference.
     """
-    counts = samples.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_s")).agg(F.count(F.lit(1)).alias("_c"))
-    ref = reference.where(F.col(ref_value).isNotNull()).select(*id_cols, *[k for k in keys if k not in id_cols], F.col(ref_value).alias("_r"))
-    joined = counts.join(broadcast_if_small(ref), keys)
-    hit = F.when(F.col("_s") <= F.col("_r"), F.col("_c")).otherwise(0)
-    return joined.groupBy(*id_cols).agg((F.sum(hit) / F.sum("_c")).alias("p"))
+    ref = reference.where(F.col(ref_value).isNotNull()).select(*id_cols, *[k for k in keys if k not in id_cols], F.col(ref_value).cast("double").alias("_v"))
+    counts = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
+    marks = counts.unionByName(ref.select(*keys, "_v", F.lit(0).cast("bigint").alias("_c"))).groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
+    ranked = running_sums(marks, keys, "_v", "_c", "_upto", "_all").where("_all > 0").select(*keys, "_v", (F.col("_upto") / F.col("_all")).alias("p"))
+    return ref.join(ranked, [*keys, "_v"]).select(*id_cols, "p")
 
 
 def probability_ratio(p_all: Column, p_nat: Column) -> Column:

@@ -181,3 +181,9 @@ def co2_forcing(year: Column, multiplier: float | None, base: float = 278.0, dou
     if multiplier is not None:
         return F.when(year > start, F.lit(a * math.log(multiplier))).otherwise(0.0)
     return F.when(year > start, a * F.log(F.pow(F.lit(1.01), year - start))).otherwise(0.0)
+
+
+def delta_map(draws: DataFrame, keys: list[str], factual: Column, value: str) -> DataFrame:
+    """Mean over factual draws less the mean over the others, per key that both have."""
+    agg = draws.groupBy(*keys).agg(F.avg(F.when(factual, F.col(value))).alias("_a"), F.avg(F.when(~factual, F.col(value))).alias("_b"))
+    return agg.where("_a IS NOT NULL AND _b IS NOT NULL").select(*keys, (F.col("_a") - F.col("_b")).alias("delta"))

@@ -362,15 +362,18 @@ def srt_09(spark, sf_dir):
 
 
 @query("str_03_run_key", "event_id:i run_key:s label:s token:s", """
-SELECT event_id, 'v1|drought|cc|m' || user_id || '|' || event_type AS run_key, '1995to2014' AS label, regexp_replace(lower(event_type || ' / ' || user_id), '[^a-z0-9]+', '-', 'g') AS token FROM events""")
+SELECT event_id, 'v1|drought|cc|m' || user_id || '|' || event_type || '|||' AS run_key, year(ts) || 'to' || (year(ts) + 19) AS label,
+  regexp_replace(lower(event_type || ' / ' || user_id), '[^a-z0-9]+', '-', 'g') AS token FROM events""")
 def str_03(spark, sf_dir):
     """Run keys, window labels and cleaned tokens."""
     e = table(spark, sf_dir, "events")
-    return e.select(
-        "event_id", F.concat_ws("|", F.lit("v1"), F.lit("drought"), F.lower(F.lit("CC")), F.concat(F.lit("m"), F.col("user_id").cast("string")), "event_type").alias("run_key"),
-        F.concat_ws("to", F.lit("1995"), F.lit("2014")).alias("label"),
-        F.regexp_replace(F.lower(F.concat_ws(" / ", "event_type", F.col("user_id").cast("string"))), "[^a-z0-9]+", "-").alias("token"),
-    )
+    user = F.col("user_id").cast("string")
+    runs_ = e.withColumns({
+        "model_version": F.lit("v1 "), "recipe": F.lit("drought"), "comparison": F.lit(" CC"), "source_id": F.concat(F.lit("m"), user), "experiment_id": F.col("event_type"),
+        "member_id": F.lit(None).cast("string"), "comp_source_id": F.lit(""), "comp_member_id": F.lit(None).cast("string"),
+    })
+    first = F.year("ts")
+    return runs_.select("event_id", ct.run_key().alias("run_key"), ct.window_label(first, first + 19).alias("label"), ct.clean_token(F.col("event_type"), user).alias("token"))
 
 
 # --- sorts and picks -----------------------------------------------------------------

@@ -25,7 +25,7 @@ WITH {ENSEMBLE_MONTH}, a AS (SELECT source_id, experiment_id, member_id, year, a
 SELECT source_id, max(v) AS max_annual, min(v) AS min_annual, avg(v) AS mean_annual FROM a GROUP BY 1""")
 def agg_06(spark, sf_dir):
     """Largest, smallest and mean annual means over members."""
-    return en.annual_extremes(ensemble_month(spark, sf_dir), ["source_id"], ["experiment_id", "member_id"], "value", (1996, 2000))
+    return en.annual_extremes(ensemble_month(spark, sf_dir, (1996, 2000)), ["source_id"], ["experiment_id", "member_id"], "value", (1996, 2000))
 
 
 CHANGE = ENSEMBLE + """, chg AS (SELECT source_id, experiment_id, member_id, avg(value) FILTER (year BETWEEN 1995 AND 1997) AS base,
@@ -194,7 +194,7 @@ def agg_31(spark, sf_dir):
 @query("agg_57_map_snapshot", "point_id:i tas:d", f"WITH {CELLS} SELECT point_id, avg(tas) AS tas FROM cells WHERE year = 1999 AND month = 7 GROUP BY 1")
 def agg_57(spark, sf_dir):
     """Field of July 1999."""
-    return en.map_snapshot(cells(spark, sf_dir), ["point_id"], "tas", 1999, 7)
+    return en.map_snapshot(cells(spark, sf_dir, (1999, 1999)), ["point_id"], "tas", 1999, 7)
 
 
 @query("agg_57_column_median", "year:i month:i median:d", f"WITH {CELLS} SELECT year, month, quantile_cont(tas, 0.5) AS median FROM cells GROUP BY 1, 2")
@@ -207,7 +207,7 @@ def agg_57_median(spark, sf_dir):
 WITH {ENSEMBLE_MONTH} SELECT source_id, member_id, year, month, avg(value) AS value FROM ensm WHERE year BETWEEN 1997 AND 1999 GROUP BY 1, 2, 3, 4""")
 def agg_58(spark, sf_dir):
     """Pooled samples per calendar month."""
-    return en.pooled_months(ensemble_month(spark, sf_dir), ["source_id", "member_id"], "value", (1997, 1999))
+    return en.pooled_months(ensemble_month(spark, sf_dir, (1997, 1999)), ["source_id", "member_id"], "value", (1997, 1999))
 
 
 @query("agg_48_value_limits", "source_id:s vmin:d vmax:d", f"WITH {ENSEMBLE} SELECT source_id, min(value) AS vmin, max(value) AS vmax FROM ens GROUP BY 1")

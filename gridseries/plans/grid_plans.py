@@ -141,7 +141,7 @@ def agg_44(spark, sf_dir):
        f"WITH {CELLS} SELECT * FROM cells WHERE year BETWEEN 1997 AND 1999 AND month IN (6, 7, 8)")
 def flt_01(spark, sf_dir):
     """Summers of three years."""
-    return cells(spark, sf_dir).where(flt.period_months((1997, 1999), [6, 7, 8]))
+    return cells(spark, sf_dir, (1997, 1999)).where(flt.period_months((1997, 1999), [6, 7, 8]))
 
 
 @query("flt_02_baseline_years", "point_id:i month:i mu:d n:i", f"""

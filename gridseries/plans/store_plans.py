@@ -15,7 +15,7 @@ from gridseries.plans.protocol_sql import SUMMARY
 from gridseries.plans.registry import query
 from gridseries.plans.sqlparts import glo_index
 from gridseries.plans.views import (
-    CELLS, ENSEMBLE, METRICS, PREDICTIONS, cells, ensemble_year, hp_map, metric_rows, points, predictions, series_month, table, HP_MAP, REGION_POINT, SERIES_MONTH,
+    CELLS, ENSEMBLE, METRICS, PREDICTIONS, cells, ensemble_year, hp_map, in_years, metric_rows, points, predictions, series_month, table, HP_MAP, REGION_POINT, SERIES_MONTH,
 )
 from gridseries.sources import readers as rd
 from gridseries.sources import store as st
@@ -315,7 +315,7 @@ def join_17(spark, sf_dir):
 SELECT l_suppkey AS point_id, month(l_shipdate) AS month, year(l_shipdate) AS year, sum(l_quantity) AS total, count(l_quantity) AS n FROM lineitem WHERE year(l_shipdate) BETWEEN 1996 AND 2000 GROUP BY 1, 2, 3""")
 def agg_21(spark, sf_dir):
     """Sums and counts over members."""
-    li = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("point_id"), F.month("l_shipdate").alias("month"), F.year("l_shipdate").alias("year"), "l_quantity")
+    li = in_years(table(spark, sf_dir, "lineitem"), "l_shipdate", (1996, 2000)).select(F.col("l_suppkey").alias("point_id"), F.month("l_shipdate").alias("month"), F.year("l_shipdate").alias("year"), "l_quantity")
     return pd_.sum_and_count(li, ["point_id"], "l_quantity", (1996, 2000))
 
 
@@ -360,8 +360,7 @@ WITH {HP_MAP}, f AS (SELECT pix, avg(value) AS a FROM hp WHERE map_id <= 'Brand#
 def agg_43(spark, sf_dir):
     """Mean over draws of factual minus counterfactual per pixel."""
     h = hp_map(spark, sf_dir)
-    agg = h.groupBy("pix").agg(F.avg(F.when(F.col("map_id") <= "Brand#2", F.col("value"))).alias("a"), F.avg(F.when(F.col("map_id") > "Brand#2", F.col("value"))).alias("b"))
-    return agg.where("a IS NOT NULL AND b IS NOT NULL").withColumn("delta", F.col("a") - F.col("b"))
+    return pd_.delta_map(h, ["pix"], F.col("map_id") <= "Brand#2", "value")
 
 
 # --- recipes and series functions ----------------------------------------------------

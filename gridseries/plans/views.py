@@ -16,6 +16,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def in_years(df: DataFrame, column: str, years: tuple[int, int] | None) -> DataFrame:
+    """Rows whose date lies in the years, as a range that reaches the scan."""
+    if years is None:
+        return df
+    kind = df.schema[column].dataType
+    return df.where((F.col(column) >= F.lit(f"{years[0]}-01-01").cast(kind)) & (F.col(column) < F.lit(f"{years[1] + 1}-01-01").cast(kind)))
+
+
 def point_lat(p):
     return (F.pmod(p * 37, F.lit(121)) - 60).cast("double")
 
@@ -24,9 +32,9 @@ def point_lon(p):
     return F.pmod(p * 53, F.lit(360)).cast("double")
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Grid months: line items of a supplier and month become one cell."""
-    li = table(spark, sf_dir, "lineitem")
+def cells(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """Grid months: line items of a supplier and month become one cell; of ``years`` only, if given."""
+    li = in_years(table(spark, sf_dir, "lineitem"), "l_shipdate", years)
     disc = F.avg("l_discount")
     tax = F.avg("l_tax")
     tas = 273.15 + disc * 300
@@ -98,9 +106,9 @@ ENSEMBLE = """ens AS (
   FROM orders GROUP BY 1, 2, 3, 4)"""
 
 
-def ensemble_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Monthly member values: one row per (source, experiment, member, month)."""
-    o = table(spark, sf_dir, "orders")
+def ensemble_month(spark: SparkSession, sf_dir: str, years: tuple[int, int] | None = None) -> DataFrame:
+    """Monthly member values: one row per (source, experiment, member, month); of ``years`` only, if given."""
+    o = in_years(table(spark, sf_dir, "orders"), "o_orderdate", years)
     out = o.groupBy(
         F.col("o_orderpriority").alias("source_id"),
         F.col("o_orderstatus").alias("experiment_id"),
