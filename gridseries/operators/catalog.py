@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.hashing import hash32, hash_mod, key_text
 from gridseries.functions.quantiles import broadcast_if_small
+from gridseries.session import cut_lineage
 from gridseries.functions.ranks import row_numbers
 
 # Variables a member file must hold for the drought protocol
@@ -158,14 +159,21 @@ def partner_blocks(df: DataFrame, group: list[str], item: str, block: int = 1000
     return left.join(right, [*group, "block_b"])
 
 
-def job_matrix(pairs: DataFrame, files: DataFrame, recipes: list[str], member_limit: int = 1, model_limit: int = 5) -> DataFrame:
-    """Comparison jobs per pair and recipe: nc, cc, cz and zz.
+def job_matrix(
+    pairs: DataFrame, files: DataFrame, recipes: list[str], member_limit: int = 1, model_limit: int = 5,
+    emulated: DataFrame | None = None, emulated_limit: int = 1, observation: str | None = None, historical: tuple[str, ...] = ("historical",),
+) -> DataFrame:
+    """Comparison jobs per pair and recipe: nc, cc, cz, zz, nn, oc and on.
 
-    ``pairs`` is :func:`pair_runs` output, ``files`` the original catalogue.
-    Limits are features of the job list (partners per member, models per
-    scenario).
+    ``pairs`` is :func:`pair_runs` output, ``files`` the original and
+    ``emulated`` the emulated catalogue (needed for nn). oc and on compare the
+    first member of each source's ``historical`` runs with the file
+    ``observation``. Limits are features of the job list (partners per member,
+    models per scenario).
     """
     group = ["source_id", "experiment_id"]
+    pairs = cut_lineage(pairs)
+    files = cut_lineage(files.select(*group, "path"))
     nc = pairs.where(F.col("original_file").isNotNull()).select(F.lit("nc").alias("comparison"), *group, F.col("original_file").alias("file_a"), F.col("emulated_file").alias("file_b"))
     mains = pairs.where(F.col("original_file").isNotNull()).select(*group, F.col("original_file").alias("path"))
     within = first_partners(files, group, "path", member_limit, mains)
@@ -177,20 +185,37 @@ def job_matrix(pairs: DataFrame, files: DataFrame, recipes: list[str], member_li
     z_within = first_partners(files, group, "path", member_limit, z_main)
     zz = z_within.select(F.lit("zz").alias("comparison"), *group, F.col("path").alias("file_a"), F.col("partner").alias("file_b"))
     jobs = nc.unionByName(cc).unionByName(cz).unionByName(zz)
+    if emulated is not None:
+        own = pairs.select(*group, F.col("emulated_file").alias("path"))
+        other = first_partners(emulated.select(*group, "path"), group, "path", emulated_limit, own)
+        jobs = jobs.unionByName(other.select(F.lit("nn").alias("comparison"), *group, F.col("path").alias("file_a"), F.col("partner").alias("file_b")))
+    if observation is not None:
+        past = pairs.where(F.col("experiment_id").isin(*historical))
+        for name, side in (("oc", "original_file"), ("on", "emulated_file")):
+            first = past.where(F.col(side).isNotNull()).groupBy(*group).agg(F.min_by(side, "member_id").alias("file_a"))
+            jobs = jobs.unionByName(first.select(F.lit(name).alias("comparison"), *group, "file_a", F.lit(observation).alias("file_b")))
     return jobs.withColumn("recipe", F.explode(F.array(*[F.lit(r) for r in recipes])))
 
 
-def guided_jobs(jobs: DataFrame, follower: str, leader: str, prune: bool, tag: str) -> DataFrame:
+def guided_jobs(jobs: DataFrame, follower: str, leader: str, prune: bool, tag: str, candidate: Column | None = None) -> DataFrame:
     """Follower jobs take the reference file of the leader with the same (recipe, file_a).
 
     With ``prune`` followers without a leader are dropped, otherwise untagged.
+    ``candidate`` limits both to some of the followers; the others stay untagged.
     """
     lead = jobs.where(F.col("comparison") == leader).groupBy("recipe", "file_a").agg(F.max("file_b").alias(tag))
-    mine = jobs.where(F.col("comparison") == follower).join(broadcast_if_small(lead), ["recipe", "file_a"], "inner" if prune else "left")
-    rest = jobs.where(F.col("comparison") != follower).withColumn(tag, F.lit(None).cast("string"))
+    led = (F.col("comparison") == follower) & (F.lit(True) if candidate is None else F.coalesce(candidate, F.lit(False)))
+    mine = jobs.where(led).join(broadcast_if_small(lead), ["recipe", "file_a"], "inner" if prune else "left")
+    rest = jobs.where(~led).withColumn(tag, F.lit(None).cast("string"))
     return rest.unionByName(mine)
 
 
+def observation_guided_jobs(jobs: DataFrame, historical: tuple[str, ...] = ("historical",)) -> DataFrame:
+    """nn jobs of historical runs kept only with an on job of their file; cc jobs tagged by their oc job."""
+    by_on = guided_jobs(jobs, "nn", "on", True, "on_reference_file", F.col("experiment_id").isin(*historical))
+    return guided_jobs(by_on, "cc", "oc", False, "oc_reference_file")
+
+
 def missing_records(expected: DataFrame, stored: DataFrame, job: list[str]) -> DataFrame:
     """Per job: expected and missing record counts, and whether all exist."""
     keys = stored.select("row_key").distinct().withColumn("_have", F.lit(True))

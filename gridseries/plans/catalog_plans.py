@@ -151,6 +151,8 @@ def join_03_models(spark, sf_dir):
     return ct.first_other_models(catalogue(spark, sf_dir), 5)
 
 
+PAST = "historical"
+
 JOBS = PAIRED + """, pr AS (SELECT * FROM eg JOIN og USING (source_id, experiment_id, member_id)),
 fp AS (SELECT source_id, experiment_id, path AS a, partner AS b FROM (SELECT x.source_id, x.experiment_id, x.path, y.path AS partner, row_number() OVER (PARTITION BY x.source_id, x.experiment_id, x.path ORDER BY y.path) AS k
   FROM (SELECT DISTINCT source_id, experiment_id, path FROM o) x JOIN (SELECT DISTINCT source_id, experiment_id, path FROM o) y ON x.source_id = y.source_id AND x.experiment_id = y.experiment_id AND x.path <> y.path) WHERE k <= 1),
@@ -161,26 +163,37 @@ j0 AS (SELECT 'nc' AS comparison, source_id, experiment_id, original_file AS fil
   UNION ALL SELECT 'cc', fp.source_id, fp.experiment_id, a, b FROM fp SEMI JOIN pr ON fp.source_id = pr.source_id AND fp.experiment_id = pr.experiment_id AND fp.a = pr.original_file
   UNION ALL SELECT 'cz', source_id, experiment_id, path, pp FROM cz
   UNION ALL SELECT 'zz', fp.source_id, fp.experiment_id, a, b FROM fp SEMI JOIN cz ON fp.source_id = cz.zs AND fp.experiment_id = cz.experiment_id AND fp.a = cz.pp),
-jobs AS (SELECT *, unnest(['drought', 'BiasMaps']) AS recipe FROM j0)"""
+nn AS (SELECT source_id, experiment_id, path AS a, partner AS b FROM (SELECT x.source_id, x.experiment_id, x.path, y.path AS partner, row_number() OVER (PARTITION BY x.source_id, x.experiment_id, x.path ORDER BY y.path) AS k
+  FROM (SELECT DISTINCT source_id, experiment_id, path FROM e) x JOIN (SELECT DISTINCT source_id, experiment_id, path FROM e) y ON x.source_id = y.source_id AND x.experiment_id = y.experiment_id AND x.path <> y.path) WHERE k <= 1),
+j1 AS (SELECT * FROM j0 UNION ALL SELECT 'nn', nn.source_id, nn.experiment_id, a, b FROM nn SEMI JOIN pr ON nn.source_id = pr.source_id AND nn.experiment_id = pr.experiment_id AND nn.a = pr.emulated_file
+  UNION ALL SELECT 'oc', source_id, experiment_id, min_by(original_file, member_id), 'observed.nc' FROM pr WHERE experiment_id = 'PAST' GROUP BY source_id, experiment_id
+  UNION ALL SELECT 'on', source_id, experiment_id, min_by(emulated_file, member_id), 'observed.nc' FROM pr WHERE experiment_id = 'PAST' GROUP BY source_id, experiment_id),
+jobs AS (SELECT *, unnest(['drought', 'BiasMaps']) AS recipe FROM j1)""".replace("PAST", PAST)
 
 
 def jobs(spark, sf_dir):
-    c = catalogue(spark, sf_dir).where("file_id % 3 > 0")
-    return ct.job_matrix(paired(spark, sf_dir, False), c, ["drought", "BiasMaps"], 1, 2)
+    c = catalogue(spark, sf_dir)
+    return ct.job_matrix(
+        paired(spark, sf_dir, False), c.where("file_id % 3 > 0"), ["drought", "BiasMaps"], 1, 2,
+        emulated=c.where("file_id % 3 < 2"), observation="observed.nc", historical=(PAST,),
+    )
 
 
 @query("join_04_job_matrix", "comparison:s source_id:s experiment_id:s file_a:s file_b:s recipe:s", f"WITH {JOBS} SELECT * FROM jobs")
 def join_04(spark, sf_dir):
-    """Comparison jobs of four types for two recipes."""
+    """Comparison jobs of seven types for two recipes."""
     return jobs(spark, sf_dir)
 
 
-@query("join_05_guided_jobs", "comparison:s file_a:s file_b:s recipe:s reference_file:s", f"""
-WITH {JOBS}, l AS (SELECT recipe, file_a, max(file_b) AS reference_file FROM jobs WHERE comparison = 'cc' GROUP BY 1, 2)
-SELECT comparison, file_a, file_b, recipe, NULL AS reference_file FROM jobs WHERE comparison <> 'nc' UNION ALL SELECT comparison, jobs.file_a, file_b, jobs.recipe, reference_file FROM jobs JOIN l USING (recipe, file_a) WHERE comparison = 'nc'""")
+@query("join_05_guided_jobs", "comparison:s file_a:s file_b:s recipe:s on_reference_file:s oc_reference_file:s", f"""
+WITH {JOBS}, l AS (SELECT comparison AS lead, recipe, file_a, max(file_b) AS ref FROM jobs WHERE comparison IN ('on', 'oc') GROUP BY 1, 2, 3)
+SELECT comparison, j.file_a, file_b, j.recipe, n.ref AS on_reference_file, c.ref AS oc_reference_file FROM jobs j
+LEFT JOIN l n ON comparison = 'nn' AND experiment_id = '{PAST}' AND n.lead = 'on' AND n.recipe = j.recipe AND n.file_a = j.file_a
+LEFT JOIN l c ON comparison = 'cc' AND c.lead = 'oc' AND c.recipe = j.recipe AND c.file_a = j.file_a
+WHERE NOT (comparison = 'nn' AND experiment_id = '{PAST}' AND n.ref IS NULL)""")
 def join_05(spark, sf_dir):
-    """Jobs kept only where a leading job exists, with its reference file."""
-    return ct.guided_jobs(jobs(spark, sf_dir), "nc", "cc", True, "reference_file")
+    """Emulated pairs kept where an observed one leads them, original pairs tagged."""
+    return ct.observation_guided_jobs(jobs(spark, sf_dir), (PAST,))
 
 
 @query("join_07_availability", "source_id:s experiment_id:s member_id:s pr:s tas:s", f"""
