@@ -57,7 +57,7 @@ def index_comparison(a: DataFrame, b: DataFrame, cfg: dict) -> DataFrame:
     scales, windows = cfg.get("scales", [3, 6, 24, 48]), cfg["windows"]
     probs, pmin, pmax = cfg.get("probs") or CENTILES, cfg.get("period_min", 2), cfg.get("period_max", 120)
     keep = ["point_id", "year", "month", "month_idx", "wb"]
-    both = a.select(F.lit("a").alias("side"), *keep).unionByName(b.select(F.lit("b").alias("side"), *keep))
+    both = cut_lineage(a.select(F.lit("a").alias("side"), *keep).unionByName(b.select(F.lit("b").alias("side"), *keep)))
     spans = F.array(*[F.struct(F.lit(s).alias("w0"), F.lit(e).alias("w1")) for s, e in windows])
     rows = both.withColumn("_w", F.explode(spans)).where(F.col("year").between(F.col("_w.w0"), F.col("_w.w1")))
     rows = rows.select("side", *keep, F.col("_w.w0").alias("w0"), F.col("_w.w1").alias("w1"))
@@ -72,12 +72,12 @@ def index_comparison(a: DataFrame, b: DataFrame, cfg: dict) -> DataFrame:
     per_month = idx.groupBy(*unit, "point_id", "month_idx").agg(
         *[F.max(F.when(F.col("side") == s, F.col(c))).alias(f"{c}_{s}") for s in ("a", "b") for c in ("z", "acc")]
     )
+    per_month = cut_lineage(per_month)  # read by the map and the region metrics
     aligned = F.col("z_a").isNotNull() & F.col("z_b").isNotNull()
     power = power_udf(pmin, pmax)
     # Months both tables cover; a window loses scale-1 months at its start.
-    reach = a.agg(F.min("month_idx").alias("_a0"), F.max("month_idx").alias("_a1")).join(
-        F.broadcast(b.agg(F.min("month_idx").alias("_b0"), F.max("month_idx").alias("_b1")))  # one row
-    )
+    of = lambda s: F.when(F.col("side") == s, F.col("month_idx"))
+    reach = both.agg(F.min(of("a")).alias("_a0"), F.max(of("a")).alias("_a1"), F.min(of("b")).alias("_b0"), F.max(of("b")).alias("_b1"))  # one row
     def spectra(groups: DataFrame) -> DataFrame:
         lo = F.greatest("_a0", "_b0", F.col("w0") * 12) + F.col("scale") - 1
         hi = F.least("_a1", "_b1", F.col("w1") * 12 + 11)

@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridseries.session import cut_lineage
+
 MIN_LENGTH = 8
 
 
@@ -66,14 +68,13 @@ def periodogram(df: DataFrame, cell: list[str], value: str, period_min: int = 2,
 
 def spectral_rmse(a: DataFrame, b: DataFrame, cell: list[str], value: str, period_min: int = 2, period_max: int | None = 120) -> DataFrame:
     """RMSE of two normalised spectra per cell, on the months both tables hold."""
-    times = a.select("month_idx").distinct().intersect(b.select("month_idx").distinct())
-
-    def spec(df, name):
-        # One row per month of the calendar.
-        kept = df.join(F.broadcast(times), "month_idx", "left_semi")
-        return periodogram(kept, cell, value, period_min, period_max).select(*cell, F.col("power").alias(name))
-
-    both = spec(a, "pa").join(spec(b, "pb"), cell)
+    keep = [*cell, "month_idx", value]
+    rows = cut_lineage(a.select(F.lit("a").alias("_side"), *keep).unionByName(b.select(F.lit("b").alias("_side"), *keep)))
+    times = rows.groupBy("month_idx").agg(F.count_distinct("_side").alias("_n")).where("_n = 2").select("month_idx")
+    power = periodogram(rows.join(times, "month_idx", "left_semi"), ["_side", *cell], value, period_min, period_max)
+    of = lambda s: F.first(F.when(F.col("_side") == s, F.struct("power")), True)
+    both = power.groupBy(*cell).agg(of("a").alias("_a"), of("b").alias("_b")).where("_a IS NOT NULL AND _b IS NOT NULL")
+    both = both.select(*cell, F.col("_a.power").alias("pa"), F.col("_b.power").alias("pb"))
     total = F.aggregate(F.zip_with("pa", "pb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
     return both.select(*cell, F.sqrt(total / F.size("pa")).alias("spec_rmse"))
 
