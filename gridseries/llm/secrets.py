@@ -14,7 +14,7 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm.common import clean_text, stage
+from gridseries.llm.common import clean_text, smallest_hashes, stage
 
 #: A candidate: a run of key characters that holds a digit, or what is assigned to a secret's name.
 RUN = r"[A-Za-z0-9+/_-]"
@@ -91,8 +91,9 @@ def labelled(found: DataFrame) -> DataFrame:
 
 def train_forest(known: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
     """Forest from findings with a label and features; None unless both labels occur."""
-    order = F.xxhash64("doc_id", "word_no", "part_no", "candidate")
-    sample = stage(known.where("label is not null").orderBy(order, "doc_id", "word_no", "part_no", "candidate", *names).limit(rows).select("label", *names), "secret-sample")
+    keys = ["doc_id", "word_no", "part_no", "candidate"]
+    sample = smallest_hashes(known.where("label is not null").select(*keys, "label", *names), rows, keys)
+    sample = stage(sample.select("label", *names), "secret-sample")
     if sample.select("label").distinct().count() < 2:
         return None
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
