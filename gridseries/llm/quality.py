@@ -7,7 +7,6 @@ one ordered Spark conditional expression, which judges all documents.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridseries.llm.common import clean_text, hash_cache, stage, window_hashes, word_hashes
+from gridseries.llm.common import clean_text, hash_cache, smallest_hashes, stage, window_hashes, word_hashes
 
 #: Base rules: fewest words, window of repeated words, largest share of them in percent.
 LEAST_WORDS, REPEAT_WINDOW, REPEAT_PERCENT = 10, 5, 20
@@ -27,17 +26,23 @@ GROW_SHARE, MOST_CONDITIONS, MOST_RULES, THRESHOLDS = 2 / 3, 4, 12, 64
 #: A rule must be right on so much of the pruning rows that it covers, and cover so many.
 LEAST_PRECISION, LEAST_COVER = 0.8, 5
 
-SYMBOLS = re.compile(r"[#*$%&|<>]")
+#: Kinds of bytes of a text in UTF-8: white space, bytes that continue a character, symbols, capitals, digits, ends of sentences.
+SPACE, CONTINUED, SYMBOL, UPPER, NUMBER, END = range(1, 7)
+KINDS = np.zeros(256, np.uint8)
+KINDS[0x80:0xC0] = CONTINUED
+for _kind, _chars in ((SPACE, b" \t\n\r\x0b\x0c"), (SYMBOL, b"#*$%&|<>"), (UPPER, b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), (NUMBER, b"0123456789"), (END, b".!?")):
+    KINDS[list(_chars)] = _kind
 STATS = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_ends bigint, n_upper bigint, n_digits bigint, n_distinct bigint"
 
 
 def repeated_words(hashes: np.ndarray, width: int = REPEAT_WINDOW) -> int:
     """Words in runs of ``width`` words that occur twice or more in the text."""
     windows = window_hashes(hashes, width)
-    if not len(windows):
+    ordered = np.sort(windows)
+    again = ordered[1:][ordered[1:] == ordered[:-1]]
+    if not len(again):
         return 0
-    _, inverse, counts = np.unique(windows, return_inverse=True, return_counts=True)
-    starts = np.flatnonzero(counts[inverse] > 1)
+    starts = np.flatnonzero(np.isin(windows, again))
     edges = np.zeros(len(hashes) + 1, np.int64)
     np.add.at(edges, starts, 1)
     np.add.at(edges, starts + width, -1)
@@ -55,12 +60,13 @@ def _stats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows = []
         for raw in batch.column(1).to_pylist():
-            words, text = raw.split(), raw.decode()  # bytes split at ASCII white space only
-            hashes = word_hashes(words, cache)
-            chars = len(text) - sum(map(text.count, " \t\n\r\x0b\x0c"))
+            words = raw.split()  # at ASCII white space only
+            codes = np.frombuffer(raw, np.uint8)
+            kinds = np.bincount(KINDS[codes], minlength=7)
+            spaces = np.append(KINDS[codes[1:]] == SPACE, True) if len(codes) else np.empty(0, bool)
             rows.append((
-                len(words), chars, len(SYMBOLS.findall(text)), repeated_lines(raw), repeated_words(hashes),
-                sum(w[-1:] in b".!?" for w in words), sum(map(str.isupper, text)), sum(map(str.isdigit, text)), len(set(words)),
+                len(words), len(codes) - kinds[SPACE] - kinds[CONTINUED], kinds[SYMBOL], repeated_lines(raw), repeated_words(word_hashes(words, cache)),
+                ((KINDS[codes] == END) & spaces).sum(), kinds[UPPER], kinds[NUMBER], len(set(words)),
             ))
         columns = zip(*rows, strict=True) if rows else [[]] * 9
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in columns)], names=[c.split()[0] for c in STATS.split(", ")])
@@ -183,7 +189,8 @@ def learn_rules(stats: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) ->
     marked = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     known = stats.where(~base_failed()).join(marked, "doc_id")
     names = features()
-    sample = known.select(F.xxhash64("doc_id").alias("h"), "doc_id", "quality", *(c.alias(k) for k, c in names.items())).orderBy("h", "doc_id", *names).limit(rows).collect()
+    known = known.select("doc_id", "quality", *(c.alias(k) for k, c in names.items()))
+    sample = smallest_hashes(known, rows, ["doc_id"]).collect()
     if not sample:
         return []
     return learn({k: np.array([r[k] for r in sample], float) for k in names}, np.array([r["quality"] == 0 for r in sample]))
