@@ -10,6 +10,7 @@ bounded windows and look up their place by rank.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseries.llm.common import BoundedCache, clean_text, stage
+from gridseries.llm.common import clean_text, stage
 
 CAPACITY, END_ID = 4096, 1
 #: Rows that one ranking window should hold, and the least number of windows of a length.
@@ -27,6 +28,12 @@ RANK_ROWS, RANK_PARTS = 200_000, 64
 #: search for fewer sequences, not what is packed.
 FILLINGS, BRANCHES, STEPS = 400, 3, 60_000
 
+#: Texts whose new words are tokenised together; words and parts whose ids are kept.
+TEXTS, CACHED = 256, 1_000_000
+#: ASCII marks that may end a word; letters of ASCII and Latin-1 in UTF-8.
+MARKS = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 Pattern = tuple[tuple[tuple[int, int], ...], int]
@@ -167,28 +174,59 @@ def places(patterns: list[Pattern]) -> dict[int, tuple[np.ndarray, np.ndarray, n
 
 
 def token_bytes(tokenizer_file: str):
-    """Function from a list of texts to their ids as little-endian 32-bit bytes.
+    """Generator function from texts to their ids as little-endian 32-bit bytes.
 
     The tokenizer drops white space before it splits, so a text's ids are those of
-    its words one after the other; words are tokenised once while they stay in
-    the cache.
+    its words one after the other. It also splits letters from marks and ignores
+    case, so a word of letters and final marks is made of two parts. Words and
+    parts are tokenised once while they stay in the cache.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
-    cache = BoundedCache(lambda word: b"", limit=600_000)
-
-    def encode(texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
-        for words in split:
-            new = [w for w in set(words) if w not in cache]
-            if len(cache) + len(new) > cache.limit:
+    vocabulary = tokenizer.get_vocab()
+    ends = np.zeros(max(vocabulary.values()) + 1, bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+    cache: dict[bytes, bytes] = {b"": b""}
+
+    def ids(text: bytes) -> np.ndarray:
+        return np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+
+    def learn(words: set[bytes]) -> None:
+        whole, other, parts = [], [], set()
+        for word in words:
+            stem = word.rstrip(MARKS)
+            if stem.isalpha() or LETTERS.fullmatch(stem):
+                whole.append((word, low := stem.lower(), marks := word[len(stem) :]))
+                parts.add(low)
+                parts.add(marks)
+            else:
+                other.append(word)
+        parts = list(parts - cache.keys())
+        code = ids(b" ".join(parts))  # each part is one word to the tokenizer, and a word's last token says so
+        cuts = np.flatnonzero(ends[code]) + 1
+        if len(cuts) != len(parts):
+            raise ValueError("the tokenizer does not mark the ends of words")
+        data, begin = code.tobytes(), 0
+        for part, end in zip(parts, (4 * cuts).tolist(), strict=True):
+            cache[part] = data[begin:end]
+            begin = end
+        cache.update([(w, cache[a] + cache[b]) for w, a, b in whole])
+        cache.update([(w, ids(w).tobytes()) for w in other])
+
+    def encode(texts: list[bytes]) -> Iterator[bytes]:
+        for at in range(0, len(texts), TEXTS):
+            split = [t.split() for t in texts[at : at + TEXTS]]
+            words = set().union(*split)
+            new = words - cache.keys()
+            if len(cache) + 2 * len(new) > CACHED:
                 cache.clear()
-                new = list(set(words))
-            for word, code in zip(new, tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                dict.__setitem__(cache, word, np.array(code.ids, "<u4").tobytes())
-            yield b"".join(map(cache.__getitem__, words))
+                cache[b""] = b""
+                new = words
+            learn(new)
+            for row in split:
+                yield b"".join(map(cache.__getitem__, row))
 
     return encode
 
