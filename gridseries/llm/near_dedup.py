@@ -8,7 +8,8 @@ confirmed on their full shingle sets.
 
 No bucket is expanded into its pairs. Star rounds compare every node of a bucket
 with one pseudo-random centre and confirm each node's best pair, which joins
-large groups of copies quickly. What is left are buckets with several
+large groups of copies quickly; each round takes a share of the buckets, which
+bounds the pairs of a node. What is left are buckets with several
 components: there the nodes outside the bucket's main component meet all others
 of another component in blocks of bounded size, so no link between components is
 lost. Links inside a component change nothing and are not looked for.
@@ -36,7 +37,8 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Posterior probability of a link below which a pair is pruned.
 MISS = 1e-5
-STAR_ROUNDS = 2
+#: Star rounds, and the share of the buckets (1 in so many) that each of them takes; the block step takes all.
+STAR_ROUNDS, STAR_SHARE = 3, 5
 #: Nodes of one side of a block.
 BLOCK = 512
 #: Shingles that meet all hash functions at a time.
@@ -194,6 +196,7 @@ class _Links:
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
     """(a, b): nodes of active buckets with the bucket's centre of this turn, in other components."""
     order = F.xxhash64("node", "bucket", F.lit(turn))
+    rows = rows.where(F.pmod(F.xxhash64("bucket"), F.lit(STAR_SHARE)) == turn)
     centres = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node"), F.col("comp"), F.col("n"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     centres = centres.where("lo < hi").select("bucket", "c.*").toDF("bucket", "o", "centre", "centre_comp", "centre_n")
     met = rows.join(centres, "bucket").where("comp <> centre_comp")
