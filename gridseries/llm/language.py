@@ -36,11 +36,6 @@ def words_of(text: str) -> list[str]:
     return LETTERS.findall(text.lower())
 
 
-def grams(word: str, n: int) -> list[str]:
-    padded = f" {word} "
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
-
-
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         rows = [(lang, word, n) for lang, words in held.items() for word, n in words.items()]
@@ -57,14 +52,32 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield out()
 
 
+def gram_counts(words: list[str], counts: np.ndarray, size: int) -> dict[str, int]:
+    """Counts of the n-grams of padded words, each word ``counts`` times."""
+    text = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32)
+    letters, codes = np.unique(text, return_inverse=True)
+    if len(letters) > 2**16:
+        raise ValueError("more than 65536 letters in one batch")
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    ends, weights = np.repeat(np.cumsum(lengths), lengths), np.repeat(counts, lengths)
+    at = np.flatnonzero(np.arange(len(text)) + size <= ends)
+    keys = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        keys = keys << np.uint64(16) | codes[at + k].astype(np.uint64)
+    distinct, inverse = np.unique(keys, return_inverse=True)
+    totals = np.bincount(inverse, weights[at]).astype(np.int64)
+    chars = [chr(c) for c in letters]
+    return {"".join(chars[int(key) >> 16 * k & 0xFFFF] for k in range(size - 1, -1, -1)): int(n) for key, n in zip(distinct, totals, strict=True)}
+
+
 def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        held: Counter = Counter()
-        for lang, word, n in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+        langs, words, counts = batch.column("lang").to_pylist(), batch.column("word").to_pylist(), batch.column("n").to_numpy()
+        rows = []
+        for lang in set(langs):
+            own = [k for k, x in enumerate(langs) if x == lang]
             for size in range(1, LONGEST_GRAM + 1):
-                for gram in grams(word, size):
-                    held[lang, size, gram] += n
-        rows = [(*k, n) for k, n in held.items()]
+                rows += [(lang, size, gram, n) for gram, n in gram_counts([words[k] for k in own], counts[own], size).items()]
         columns = zip(*rows, strict=True) if rows else [[]] * 4
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int32(), pa.string(), pa.int64()), strict=True)], names=["lang", "size", "gram", "n"])
 
@@ -77,29 +90,45 @@ class LanguageModel:
     words: dict[str, np.ndarray]
     grams: dict[str, np.ndarray]
 
-    def word_scores(self, word: str) -> np.ndarray:
-        """A known word's log frequency by language; else that of the longest known n-gram at each position.
-
-        Overlapping n-grams share their letters, so each counts by 1 / n.
-        """
-        if (known := self.words.get(word)) is not None:
-            return known
-        total = np.zeros(len(self.languages))
-        padded = f" {word} "
-        for at in range(len(padded)):
-            for n in range(min(LONGEST_GRAM, len(padded) - at), 0, -1):
-                if (known := self.grams.get(padded[at : at + n])) is not None:
-                    total += known / n
-                    break
-        return total
-
 
 class Scorer:
-    """Verdicts over texts; a word's scores are computed once while they stay in the table."""
+    """Verdicts over texts; a word's scores are computed once while they stay in the table.
+
+    A known word scores its log frequency by language. An unknown one scores, at
+    each of its positions, that of the longest known n-gram; as overlapping
+    n-grams share their letters, each counts by 1 / n.
+    """
 
     def __init__(self, model: LanguageModel):
         self.model, self.rows = model, {}
-        self.table = np.zeros((CACHED, max(1, len(model.languages))))
+        width = max(1, len(model.languages))
+        self.table = np.zeros((CACHED, width))
+        self.gram_rows = {gram: k for k, gram in enumerate(model.grams, 1)}
+        self.gram_table = np.vstack([np.zeros((1, width)), *(v[None] / len(gram) for gram, v in model.grams.items())])
+
+    def parts(self, word: str) -> list[int]:
+        """Rows of the longest known n-gram at each position of the padded word; row 0, of zeros, where none is known."""
+        padded, known, out = f" {word} ", self.gram_rows, [0]
+        for at in range(len(padded)):
+            for end in range(min(at + LONGEST_GRAM, len(padded)), at, -1):
+                if (row := known.get(padded[at:end])) is not None:
+                    out.append(row)
+                    break
+        return out
+
+    def learn(self, words: list[str]) -> None:
+        first = len(self.rows)
+        unknown, parts = [], []
+        for row, word in enumerate(words, first):
+            self.rows[word] = row
+            if (known := self.model.words.get(word)) is not None:
+                self.table[row] = known
+            else:
+                unknown.append(row)
+                parts.append(self.parts(word))
+        if unknown:
+            starts = np.cumsum([0, *map(len, parts[:-1])])
+            self.table[unknown] = np.add.reduceat(self.gram_table[[r for p in parts for r in p]], starts)
 
     def verdict(self, text: str | None) -> tuple[str, float]:
         words = words_of(text or "")
@@ -108,12 +137,10 @@ class Scorer:
         total = np.zeros(len(self.model.languages))
         for begin in range(0, len(words), CACHED):
             part = words[begin : begin + CACHED]
-            new = {w for w in part if w not in self.rows}
+            new = sorted({w for w in part if w not in self.rows})
             if len(self.rows) + len(new) > CACHED:
-                self.rows, new = {}, set(part)
-            for word in new:
-                self.table[len(self.rows)] = self.model.word_scores(word)
-                self.rows[word] = len(self.rows)
+                self.rows, new = {}, sorted(set(part))
+            self.learn(new)
             total += self.table[np.fromiter(map(self.rows.__getitem__, part), np.int64, len(part))].sum(axis=0)
         odds = np.exp(total - total.max())
         top = int(odds.argmax())

@@ -322,3 +322,14 @@ def test_pipeline_brute_force(spark):
     assert set(copies) <= alone and max(copies.values()) <= 2
     pieces = steps["packing"](spark, mixed, SF_DIR)
     assert Counter(r.doc_id for r in pieces.where("piece = 0").collect()) == copies
+
+
+def test_gram_counts():
+    words, counts = ["ab", "é𠮷", "a"], np.array([2, 1, 5])
+    for size in range(1, 5):
+        want = Counter()
+        for w, n in zip(words, counts, strict=True):
+            padded = f" {w} "
+            for i in range(len(padded) - size + 1):
+                want[padded[i : i + size]] += int(n)
+        assert language.gram_counts(words, counts, size) == want
