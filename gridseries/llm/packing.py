@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridseries.llm.common import clean_text, stage
+from gridseries.llm.common import clean_text, stage, worker_object
 
 CAPACITY, END_ID = 4096, 1
 #: Rows that one ranking window should hold, and the least number of windows of a length.
@@ -235,7 +235,7 @@ def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int = CAPACITY,
     """doc_id, piece, start, length, ids_crc32: documents as ids, those over ``capacity`` cut."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = token_bytes(tokenizer_file)
+        encode = worker_object(f"tokens of {tokenizer_file}", lambda: token_bytes(tokenizer_file))
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             row, piece, length, crc = [], [], [], []
