@@ -102,9 +102,12 @@ def exact_groups(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame
         newer = F.coalesce(F.col("doc_id") > F.lit(middle), F.lit(False))
         index.ingest(digests.where(newer))
         index.ingest(digests.where(~newer))
+        resolved = index.resolve(digests)
+        spark.sql(f"DROP TABLE {index.table}")  # the name only; the files stay until the folder's retention
     else:
         index.ingest(digests)
-    return index.resolve(digests).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
+        resolved = index.resolve(digests)
+    return resolved.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
