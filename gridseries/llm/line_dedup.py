@@ -5,7 +5,7 @@ tokens, where a token with a digit is a variable field. In a leaf of several
 lines the other fields are generalised too: a token stays constant at its place
 if enough documents have it there, else the place is a variable. Lines whose
 constants, variables and leaf agree share a template. A template that recurs in
-enough documents is dropped everywhere but in the document of smallest id.
+two documents or more is dropped everywhere but in the document of smallest id.
 
 A leaf is never gathered: fields are counted as (leaf, place, token) rows of its
 distinct lines, and lines look their decision up in joins that adaptive execution
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from gridseries.llm.common import clean_text, stage
 
-#: Leading tokens that name a leaf; documents that make a template recur, or a token constant.
-DEPTH, LEAST_DOCS = 3, 3
+#: Leading tokens that name a leaf; documents that make a template recur; documents that make a token constant.
+DEPTH, LEAST_DOCS, LEAST_SUPPORT = 3, 2, 3
 #: Tokens of a line that is looked at; of one that may have variables outside its leading tokens; constants it needs then, in percent.
 LEAST_TOKENS, LEAST_OPEN, LEAST_CONSTANT = 4, 8, 60
 VARIABLE = "<*>"
@@ -73,14 +73,14 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().cast("binary").alias("text"))
 
 
-def _templates(lines: DataFrame, by_doc: DataFrame, least_docs: int) -> DataFrame:
+def _templates(lines: DataFrame, by_doc: DataFrame) -> DataFrame:
     """line_key, template: of lines in leaves that hold several distinct lines and enough documents."""
     distinct = stage(by_doc.groupBy("leaf", "line_key").agg(F.count(F.lit(1)).alias("docs")), "line-distinct")
-    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs")).where((F.col("n") > 1) & (F.col("docs") >= least_docs))
+    several = distinct.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.sum("docs").alias("docs")).where((F.col("n") > 1) & (F.col("docs") >= LEAST_SUPPORT))
     open_lines = lines.select("leaf", "line_key", "line").join(several.select("leaf").hint("merge"), "leaf", "left_semi").dropDuplicates(["line_key"])
     open_lines = stage(open_lines.join(distinct.select("line_key", "docs"), "line_key"), "line-open")
     fields = open_lines.select("leaf", "line_key", "docs", F.posexplode(F.split("line", " ")).alias("at", "token"))
-    frequent = fields.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= least_docs).select("leaf", "at", "token", F.lit(True).alias("constant"))
+    frequent = fields.groupBy("leaf", "at", "token").agg(F.sum("docs").alias("support")).where(F.col("support") >= LEAST_SUPPORT).select("leaf", "at", "token", F.lit(True).alias("constant"))
     told = fields.join(frequent, ["leaf", "at", "token"], "left")
     fixed = F.col("constant").isNotNull() & (F.col("token") != VARIABLE)
     # A line has as many rows as tokens; they meet again under its key.
@@ -96,7 +96,7 @@ def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, text_key, line_no, template: the lines to drop."""
     lines = stage(_keyed(docs).mapInArrow(_lines, LINES), "lines")
     by_doc = stage(lines.groupBy("leaf", "line_key", "doc_id").agg(F.count(F.lit(1)).alias("n")), "line-docs")
-    templates = stage(_templates(lines, by_doc, least_docs), "line-templates")
+    templates = stage(_templates(lines, by_doc), "line-templates")
     named = by_doc.select("line_key", "doc_id").join(templates.hint("merge"), "line_key", "left").withColumn("template", F.coalesce("template", "line_key"))
     spread = named.groupBy("template", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_id"))
     recurring = stage(spread.where(F.col("docs") >= least_docs), "line-recurring")

@@ -183,6 +183,14 @@ def test_line_templates(spark):
     assert cleaned[0] == docs[0][1] and "Copyright" not in cleaned[5] and cleaned[5].endswith("short line")
 
 
+def test_line_of_two_documents(spark):
+    """A passage of 60 words that one pair of documents shares goes from the second, whether or not its leaf has templates."""
+    passage = " ".join(hashlib.md5(bytes([j])).hexdigest().translate(str.maketrans("0123456789", "ghijklmnop")) for j in range(60))
+    docs = [(k, f"the lines of document {'abcdefg'[k]} begin here\n{passage}" if k in (2, 5) else f"only {'abcdefg'[k]} is in this") for k in range(7)]
+    got = {r.doc_id: list(r.dropped_lines) for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got[2] == [] and 1 in got[5]
+
+
 def test_line_report_edges(spark):
     got = rows(line_dedup.line_report(edge_docs(spark)))
     assert len(got) == len(EDGE_ROWS)
