@@ -1,7 +1,8 @@
 """Line deduplication with log templates.
 
 A line goes down a tree of fixed depth: its number of tokens, then its leading
-tokens, where a token with a digit is a variable field. In a leaf of several
+tokens, where a token with a digit is a variable field. A line of fewer than four
+tokens, or without a word beside its digits, keeps its exact tokens. In a leaf of several
 lines the other fields are generalised too: a token stays constant at its place
 if enough documents have it there, else the place is a variable. Lines whose
 constants, variables and leaf agree share a template. A template that recurs in
@@ -27,19 +28,24 @@ from gridseries.llm.common import clean_text, stage
 
 #: Leading tokens that name a leaf; documents that make a template recur; documents that make a token constant.
 DEPTH, LEAST_DOCS, LEAST_SUPPORT = 3, 2, 3
-#: Tokens of a line that is looked at; of one that may have variables outside its leading tokens; constants it needs then, in percent.
+#: Tokens of a line whose variables are masked; of one that may have several variables outside its leading tokens; constants it needs then, in percent.
 LEAST_TOKENS, LEAST_OPEN, LEAST_CONSTANT = 4, 8, 60
+#: Lines of at most so many tokens say little, and more documents must hold them.
+SHORT, SHORT_DOCS = 2, 9
 VARIABLE = "<*>"
 DIGIT = re.compile(rb"\d")
+#: A token that tells a masked line from others: no digit, but a letter, ASCII or not.
+NAMING = re.compile(rb"[^\d]*[A-Za-z\x80-\xff][^\d]*")
 
 LINES = "doc_id bigint, text_key bigint, line_no int, leaf bigint, line_key bigint, line string"
 
 
 def masked_tokens(line: bytes) -> list[bytes]:
-    """Tokens between ASCII white space; those with a digit are variable fields, unless too few constants are left."""
+    """Tokens between ASCII white space; those with a digit are variable fields, unless the line is short or no word would be left."""
     tokens = line.split()
-    masked = [VARIABLE.encode() if DIGIT.search(t) else t for t in tokens]
-    return masked if 100 * masked.count(VARIABLE.encode()) <= (100 - LEAST_CONSTANT) * len(tokens) else tokens
+    if len(tokens) < LEAST_TOKENS or not any(map(NAMING.fullmatch, tokens)):
+        return tokens
+    return [VARIABLE.encode() if DIGIT.search(t) else t for t in tokens]
 
 
 def _hash(data: bytes) -> int:
@@ -54,12 +60,13 @@ def _lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys.append(_hash(text))
             for k, line in enumerate(text.split(b"\n")):
                 tokens = masked_tokens(line)
-                if len(tokens) >= LEAST_TOKENS:
+                if tokens:
                     masked = b" ".join(tokens)
                     row.append(at)
                     number.append(k)
-                    leaf.append(_hash(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])))
                     key.append(_hash(masked))
+                    # A short line is a leaf of its own, named by its key.
+                    leaf.append(key[-1] if len(tokens) <= SHORT else _hash(b"%d " % len(tokens) + b" ".join(tokens[:DEPTH])))
                     out.append(masked)
         signed = lambda values: pa.array(np.array(values, np.uint64).view(np.int64))
         take = pa.array(row, pa.int64())
@@ -87,8 +94,11 @@ def _templates(lines: DataFrame, by_doc: DataFrame) -> DataFrame:
     shape = told.groupBy("line_key", "leaf").agg(
         F.sort_array(F.collect_list(F.struct("at", F.when(fixed | (F.col("at") < DEPTH), F.col("token")).otherwise(VARIABLE).alias("token")))).alias("fields"),
         F.sum(fixed.cast("int")).alias("constants"), F.count(F.lit(1)).alias("tokens"), F.sum((~fixed).cast("int")).alias("variables"),
+        F.sum((fixed & (F.col("at") >= DEPTH)).cast("int")).alias("constants_after"),
     )
-    general = (F.col("tokens") >= LEAST_OPEN) & (100 * F.col("constants") >= LEAST_CONSTANT * F.col("tokens")) & (F.col("variables") > 0)
+    # Few tokens leave room for one variable, beside a constant that the leaf doesn't name already.
+    roomy = (F.col("tokens") >= LEAST_OPEN) | ((F.col("variables") == 1) & (F.col("constants_after") > 0))
+    general = roomy & (100 * F.col("constants") >= LEAST_CONSTANT * F.col("tokens")) & (F.col("variables") > 0)
     return shape.where(general).select("line_key", F.xxhash64("leaf", F.concat_ws(" ", F.col("fields.token"))).alias("template"))
 
 
@@ -97,9 +107,12 @@ def recurring_lines(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     lines = stage(_keyed(docs).mapInArrow(_lines, LINES), "lines")
     by_doc = stage(lines.groupBy("leaf", "line_key", "doc_id").agg(F.count(F.lit(1)).alias("n")), "line-docs")
     templates = stage(_templates(lines, by_doc), "line-templates")
-    named = by_doc.select("line_key", "doc_id").join(templates.hint("merge"), "line_key", "left").withColumn("template", F.coalesce("template", "line_key"))
-    spread = named.groupBy("template", "doc_id").agg(F.count(F.lit(1)).alias("n")).groupBy("template").agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_id"))
-    recurring = stage(spread.where(F.col("docs") >= least_docs), "line-recurring")
+    short = F.col("leaf") == F.col("line_key")
+    named = by_doc.select("line_key", "doc_id", short.alias("short")).join(templates.hint("merge"), "line_key", "left").withColumn("template", F.coalesce("template", "line_key"))
+    by_template = named.groupBy("template", "doc_id").agg(F.max("short").alias("short")).groupBy("template")
+    spread = by_template.agg(F.count(F.lit(1)).alias("docs"), F.min("doc_id").alias("first_id"), F.max("short").alias("short"))
+    enough = F.col("docs") >= F.when(F.col("short"), max(least_docs, SHORT_DOCS)).otherwise(least_docs)
+    recurring = stage(spread.where(enough), "line-recurring")
     of_line = by_doc.select("line_key").distinct().join(templates, "line_key", "left").withColumn("template", F.coalesce("template", "line_key"))
     decisions = stage(of_line.join(recurring, "template").select("line_key", "template", "first_id"), "line-decisions")
     hit = lines.select("doc_id", "text_key", "line_no", "line_key").join(decisions.hint("merge"), "line_key")
@@ -117,8 +130,8 @@ def line_report(docs: DataFrame, least_docs: int = LEAST_DOCS) -> DataFrame:
     """doc_id, n_lines, n_dropped, dropped_lines (line numbers from 0): one row per row of ``docs``.
 
     Needs doc_id and text; other columns are ignored. Lines end at line feeds; a
-    null or empty text is one empty line. Lines of fewer than ``LEAST_TOKENS``
-    tokens stay. Rows repeated with id and text share the decision; rows of one
+    null or empty text is one empty line. Blank lines stay; lines of at most
+    ``SHORT`` tokens go from ``SHORT_DOCS`` documents on. Rows repeated with id and text share the decision; rows of one
     id count as one document; null is an id of its own and never the smallest.
     An empty table gives an empty result.
     """

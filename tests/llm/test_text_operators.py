@@ -191,6 +191,20 @@ def test_line_of_two_documents(spark):
     assert got[2] == [] and 1 in got[5]
 
 
+def test_short_and_variable_lines(spark):
+    """Short lines by exact keys, log lines by their words, lines of numbers apart; one open place in a line of six tokens."""
+    names = "ann bob cem dan eve fay gus hal ida jon".split()
+    docs = [(k, "\n".join([
+        "Read more", "All rights reserved." if k < 3 else f"x{k}", f"Page {k}",
+        f"Views: {k}20 Likes: {k}3 Shares: {k}", f"2024-01-0{k} 10:0{k}:11 user {k} logged in",
+        f"{k} {k}1 {k}2 {k}3", f"welcome to our shop {n} today", "" if k else "only",
+    ])) for k, n in enumerate(names)]
+    got = {r.doc_id: list(r.dropped_lines) for r in line_dedup.line_report(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {k: [] if k == 0 else [0, 1, 3, 4, 6] if k < 3 else [0, 3, 4, 6] for k in range(10)}
+    few = spark.createDataFrame(docs[:8], "doc_id bigint, text string")
+    assert all(0 not in r.dropped_lines for r in line_dedup.line_report(few).collect())
+
+
 def test_line_report_edges(spark):
     got = rows(line_dedup.line_report(edge_docs(spark)))
     assert len(got) == len(EDGE_ROWS)
