@@ -16,10 +16,23 @@ from pyspark.sql import functions as F
 
 from gridseries.llm.common import clean_text, smallest_hashes, stage
 
-#: A candidate: a run of key characters that holds a digit, or what is assigned to a secret's name.
+#: A candidate: a key of an issuer's format, a run of key characters that holds a digit, or what is assigned to a secret's name.
 RUN = r"[A-Za-z0-9+/_-]"
 NAMES = r"password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|auth|credential"
-CANDIDATE = rf"(?<!{RUN})(?=[A-Za-z+/_-]{{0,200}}[0-9]){RUN}{{12,}}"
+DIGIT_RUN = rf"(?=[A-Za-z+/_-]*+[0-9]){RUN}{{12,}}+"
+FORMATS = (
+    r"(?:(?:AKIA|ASIA)[A-Z0-9]{16}|gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])|AIza[A-Za-z0-9_-]{35}(?![A-Za-z0-9_-])"
+    rf"|(?:xox[abp]-|sk_live_){RUN}++"
+)
+CANDIDATE = rf"(?<![A-Za-z0-9])(?:{FORMATS})|(?<!{RUN}){DIGIT_RUN}"
+#: An identifier with a secret's name in it, and the signs between it and its value. An identifier is searched from its start alone.
+NAMED = rf"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*(?i:{NAMES}))[A-Za-z0-9_-]++[\"'`\])]*+"
+SIGNS = r"[=:]++>?"
+#: The value: any characters up to a quote or white space, without the marks after a key or run that would be a candidate by itself.
+VALUE = rf"(?:(?:{FORMATS}|{DIGIT_RUN})(?=[^A-Za-z0-9+/_\"'`-]*+(?:[\"'`]|$))|[^\"'`\x20\x09-\x0D]++)"
+ASSIGNED = rf"{NAMED} ?{SIGNS} ?[\"'`]?"
+#: What the words before may end in when a value follows.
+OPEN_NAME = rf"{NAMED}(?: ?{SIGNS}[\"'`]?)?$"
 SPACE = r"[\x20\x09-\x0D]+"
 
 #: Fixed word list of the dictionary feature: words of placeholders, test data and identifiers.
@@ -33,8 +46,9 @@ TEST_PATH = r"(?i)test|example|sample|fixture|mock|demo|docs?/"
 #: Labels of findings. Positive: key formats of issuers, and random-looking values of secret names.
 ISSUED = r"^(?:AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$|^xox[abp]-|^sk_live_|^AIza[A-Za-z0-9_-]{35}$"
 RANDOM = r"^(?=.*[0-9])(?:[0-9a-f]{16,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{20,})$"
-#: Negative: numbers of cards, phones and dates, words with numbers, repeated characters.
-HARMLESS = r"^[0-9-]+$|^[A-Za-z]+[0-9]{0,4}$|(.)\1{5,}|(?i:example|x{4,}|changeme)"
+#: Negative: numbers of cards, phones and dates, words with numbers (unless assigned to a secret's name), repeated characters, placeholders.
+PLAIN = r"^[0-9-]+$|^[A-Za-z]+[0-9]{0,4}$"
+HARMLESS = r"(.)\1{5,}|(?i:example|x{4,}|changeme)"
 
 #: Labelled findings that train the forest, those of smallest hash; its size.
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 20, 5, 7
@@ -42,15 +56,19 @@ KEEP = 0.5
 
 
 def findings(docs: DataFrame, path: str = "source") -> DataFrame:
-    """doc_id, path, word_no, part_no, candidate, lead (of its word), before, after: one row per candidate.
+    """doc_id, path, word_no, part_no, candidate, lead (what is before it), before, after: one row per candidate.
 
-    Texts without a candidate are dropped by one search; the others are split
-    into words, and words with a candidate keep their neighbours.
+    Texts without a candidate or a name with a sign after it are dropped by one
+    search; the others are split into words, and words that may hold a candidate
+    keep their neighbours. A word's runs come first, then the values assigned in it
+    or by the words before it, unless they are runs already.
     """
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(path).cast("string").alias("path"), clean_text().alias("text")).where(F.col("text").rlike(CANDIDATE))
+    named_text = F.col("text").rlike(rf"{NAMED}[\x20\x09-\x0D]*+[=:]")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(path).cast("string").alias("path"), clean_text().alias("text")).where(F.col("text").rlike(CANDIDATE) | named_text)
     words = texts.select("doc_id", "path", F.split("text", SPACE).alias("words"))
     near = lambda i: F.coalesce(F.try_element_at(F.col("words"), i), F.lit(""))
-    hits = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE), i)), lambda i: i.isNotNull())
+    previous = lambda i: F.when(i > 0, near(F.greatest(i, F.lit(1)))).otherwise("")
+    hits = F.filter(F.transform("words", lambda w, i: F.when(w.rlike(CANDIDATE) | w.rlike("[=:]") | previous(i).rlike("[=:]"), i)), lambda i: i.isNotNull())
     at = words.withColumn("word_no", F.explode(hits))
     word = F.element_at("words", F.col("word_no") + 1)
     rows = at.select(
@@ -58,9 +76,18 @@ def findings(docs: DataFrame, path: str = "source") -> DataFrame:
         F.concat_ws(" ", F.when(F.col("word_no") > 1, near(F.col("word_no") - 1)), F.when(F.col("word_no") > 0, near(F.greatest(F.col("word_no"), F.lit(1))))).alias("before"),
         near(F.col("word_no") + 2).alias("after"),
     )
-    parts = rows.select("*", F.posexplode(F.regexp_extract_all("word", F.lit(CANDIDATE), F.lit(0))).alias("part_no", "candidate"))
-    lead = F.expr("substring_index(word, candidate, 1)")
-    return parts.select("doc_id", "path", "word_no", "part_no", "candidate", lead.alias("lead"), "before", "after")
+    all_of = lambda text, pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    runs = F.transform(all_of(F.col("word"), CANDIDATE), lambda c: F.struct(c.alias("candidate"), F.call_function("substring_index", F.col("word"), c, F.lit(1)).alias("lead")))
+    open_name = F.regexp_extract("before", OPEN_NAME, 0)
+    whole = F.when(open_name != "", F.concat(open_name, F.lit(" "), F.col("word"))).otherwise(F.col("word"))
+    values = F.transform(
+        all_of(whole, ASSIGNED + VALUE),
+        lambda m: F.struct(F.regexp_replace(m, F.lit(f"^{ASSIGNED}"), F.lit("")).alias("candidate"), F.regexp_extract(m, f"^{ASSIGNED}", 0).alias("lead")),
+    )
+    sought = rows.select("*", runs.alias("runs"), values.alias("values"))
+    fresh = F.filter("values", lambda v: ~F.exists("runs", lambda r: r["candidate"] == v["candidate"]))
+    parts = sought.select("*", F.posexplode(F.concat("runs", fresh)).alias("part_no", "part"))
+    return parts.select("doc_id", "path", "word_no", "part_no", "part.candidate", "part.lead", "before", "after")
 
 
 def features() -> dict[str, Column]:
@@ -83,9 +110,10 @@ def features() -> dict[str, Column]:
 
 def labelled(found: DataFrame) -> DataFrame:
     """Adds label: 1 for formats of issuers and random values of secret names, 0 for harmless shapes, else null."""
-    named = F.concat_ws(" ", "before", "lead").rlike(rf"(?i)(?:{NAMES})")
+    near = F.concat_ws(" ", "before", "lead")
+    named, assigned = near.rlike(rf"(?i)(?:{NAMES})"), near.rlike(f"{ASSIGNED}$")
     c = F.col("candidate")
-    label = F.when(c.rlike(ISSUED), 1.0).when(c.rlike(HARMLESS), 0.0).when(named & c.rlike(RANDOM), 1.0).when(~named & ~c.rlike(RANDOM), 0.0)
+    label = F.when(c.rlike(ISSUED), 1.0).when(c.rlike(HARMLESS) | (c.rlike(PLAIN) & ~assigned), 0.0).when(named & c.rlike(RANDOM), 1.0).when(~named & ~c.rlike(RANDOM), 0.0)
     return found.withColumn("label", label)
 
 
