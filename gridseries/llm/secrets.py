@@ -50,7 +50,7 @@ RANDOM = r"^(?=.*[0-9])(?:[0-9a-f]{16,}|(?=.*[a-z])(?=.*[A-Z])[A-Za-z0-9+/_-]{20
 PLAIN = r"^[0-9-]+$|^[A-Za-z]+[0-9]{0,4}$"
 HARMLESS = r"(.)\1{5,}|(?i:example|x{4,}|changeme)"
 
-#: Labelled findings that train the forest, those of smallest hash; its size.
+#: Labelled findings that train the forest, those of smallest hash of each label, half as many of each at most; its size.
 TRAIN_ROWS, TREES, DEPTH, SEED = 20_000, 20, 5, 7
 KEEP = 0.5
 
@@ -117,21 +117,29 @@ def labelled(found: DataFrame) -> DataFrame:
     return found.withColumn("label", label)
 
 
-def train_forest(known: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
-    """Forest from findings with a label and features; None unless both labels occur."""
+def training_sample(known: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> DataFrame:
+    """label and features of the ``rows // 2`` findings of smallest hash of each label, so that a rare label isn't crowded out."""
     keys = ["doc_id", "word_no", "part_no", "candidate"]
-    sample = smallest_hashes(known.where("label is not null").select(*keys, "label", *names), rows, keys)
-    sample = stage(sample.select("label", *names), "secret-sample")
-    if sample.select("label").distinct().count() < 2:
+    of_label = lambda label: smallest_hashes(known.where(F.col("label") == label).select(*keys, "label", *names), rows // 2, keys)
+    return of_label(1.0).unionByName(of_label(0.0)).select("label", *names)
+
+
+def train_forest(known: DataFrame, names: list[str], rows: int = TRAIN_ROWS) -> RandomForestClassificationModel | None:
+    """Forest from findings with a label and features; both labels weigh the same. None unless both occur."""
+    sample = stage(training_sample(known, names, rows), "secret-sample")
+    counts = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
+    if len(counts) < 2:
         return None
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(sample)
-    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt").fit(vectors)
+    most = max(counts.values())
+    weighted = sample.withColumn("weight", F.when(F.col("label") == 1.0, most / counts[1.0]).otherwise(most / counts[0.0]))
+    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(weighted)
+    return RandomForestClassifier(numTrees=TREES, maxDepth=DEPTH, seed=SEED, featureSubsetStrategy="sqrt", weightCol="weight").fit(vectors)
 
 
 def forest_score(model: RandomForestClassificationModel | None, columns: dict[str, Column]) -> Column:
-    """Share of the trees that vote for a secret, as one expression; without a model every finding counts."""
+    """Share of the trees that vote for a secret, as one expression; without a model the label, and 0 for a finding that has none."""
     if model is None:
-        return F.lit(1.0)
+        return F.coalesce(F.col("label"), F.lit(0.0))
     values = list(columns.values())
 
     def tree(lines: list[str]) -> Column:
@@ -158,7 +166,7 @@ def scan_secrets(docs: DataFrame, path: str = "source") -> DataFrame:
     Needs doc_id, text and the column ``path``; other columns are ignored. A null
     or empty text has no candidates, a null path is no test path. Rows repeated
     with their id repeat their findings; an empty table gives an empty result.
-    Secrets appear as digests only.
+    Without findings of both labels there is no forest and the label decides. Secrets appear as digests only.
     """
     columns = features()
     found = labelled(findings(docs, path)).withColumns(columns)

@@ -299,6 +299,19 @@ def test_secret_candidates(spark):
     assert got == Counter((k, value) for k, (_, value) in enumerate(NAMED_OR_ISSUED))
 
 
+def test_secret_labels_of_any_share(spark, monkeypatch):
+    """Three secrets among six hundred harmless findings are in a sample of forty and found; without them nothing is flagged."""
+    monkeypatch.setattr(secrets.train_forest, "__defaults__", (40,))
+    harmless = [(k, f"call {4041894974608795 + 7919 * k} or not, build version2024{k:04d} of it", "x") for k in range(300)]
+    planted = [(1000 + k, f'token = "{hashlib.sha1(bytes([k])).hexdigest()}" is set', "x") for k in range(3)]
+    schema = "doc_id bigint, text string, source string"
+    got = rows(secrets.scan_secrets(spark.createDataFrame(harmless + planted, schema)))
+    assert len(got) == 603 and {g["doc_id"] for g in got if g["is_secret"]} == {1000, 1001, 1002}
+    alone = rows(secrets.scan_secrets(spark.createDataFrame(harmless, schema)))
+    assert len(alone) == 600 and not any(g["is_secret"] for g in alone)
+    assert all(g["is_secret"] for g in rows(secrets.scan_secrets(spark.createDataFrame(planted, schema))))
+
+
 def test_secret_scan_finds_all_formats(spark):
     """Every key of a known format in the table is a finding and judged a secret."""
     import re
