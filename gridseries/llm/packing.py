@@ -9,6 +9,7 @@ bounded windows and look up their place by rank.
 
 from __future__ import annotations
 
+import logging
 import os
 import re
 import zlib
@@ -36,6 +37,8 @@ LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
+LOG = logging.getLogger(__name__)
+
 Pattern = tuple[tuple[tuple[int, int], ...], int]
 
 
@@ -155,6 +158,8 @@ def complete_bins(counts: dict[int, int], capacity: int) -> list[Pattern]:
                 del left[k]
         path.append((items, n, waste))
         spent, used = spent + n * waste, used + n
+    if fewest > bound:
+        LOG.warning("packing search ended %s: %d sequences, bound %d", f"by its limit of {STEPS} steps" if steps >= STEPS else "with no branch left", fewest, bound)
     return best
 
 

@@ -115,6 +115,15 @@ def test_bin_completion_reaches_bound():
     assert n == math.ceil(sum(k * v for k, v in counts.items()) / 4096)
 
 
+def test_bin_completion_logs_its_limit(monkeypatch, caplog):
+    """Best fit takes three sequences of 10 for 5 + 3 + 2 and 4 + 4 + 2; the search takes two, or says that its steps ran out."""
+    counts = {5: 1, 4: 2, 3: 1, 2: 2}
+    assert packed(counts, packing.complete_bins(counts, 10), 10) == 2 and not caplog.records
+    monkeypatch.setattr(packing, "STEPS", 0)
+    assert packed(counts, packing.complete_bins(counts, 10), 10) == 3
+    assert "limit of 0 steps: 3 sequences, bound 2" in caplog.text
+
+
 def check_packing(spark, docs, texts):
     from tokenizers import Tokenizer
 
