@@ -8,15 +8,18 @@ from pyspark.sql import DataFrame, SparkSession
 
 from gridseries.llm.centroids import cluster_vectors
 from gridseries.llm.common import read
+from gridseries.llm.conversations import damage_and_repair
 from gridseries.llm.exact_dedup import exact_groups
 from gridseries.llm.language import languages
 from gridseries.llm.line_dedup import line_report
 from gridseries.llm.mixing import mix
 from gridseries.llm.near_dedup import near_groups
+from gridseries.llm.oracles import REPAIR_SQL, kmeans_sql
 from gridseries.llm.packing import pack
 from gridseries.llm.quality import judge_quality
 from gridseries.llm.secrets import scan_secrets
 from gridseries.llm.token_counts import token_counts
+from gridseries.llm.toxicity import score_toxicity
 from gridseries.llm.warc import archive_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -123,32 +126,19 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(read(spark, sf_dir, "documents"))
 
 
-def kmeans_sql(k: int = 8, rounds: int = 10, width: int = 64, seed: int = 3) -> str:
-    """The rounds one after another; sums and squares in HUGEINT are exact."""
-    nearest = (
-        "SELECT vec_id, x, c.cluster, list_sum(list_transform(generate_series(1, {w}), lambda i: (x[i] - c.c[i])::HUGEINT * (x[i] - c.c[i])::HUGEINT)) AS d "
-        "FROM v, c{r} c QUALIFY row_number() OVER (PARTITION BY row_id ORDER BY d, c.cluster) = 1"
-    )
-    steps = [
-        f"v AS MATERIALIZED (SELECT row_number() OVER () AS row_id, vec_id, list_transform(embedding, lambda e: floor(1024 * e::DOUBLE)::BIGINT) AS x FROM embeddings "
-        f"WHERE len(embedding) = {width} AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e::DOUBLE))) = {width})",
-        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INT AS cluster, x AS c FROM (SELECT x, sha256('{seed}:' || coalesce(vec_id::VARCHAR, '')) AS h FROM v) ORDER BY h, x LIMIT {k})",
-    ]
-    for r in range(rounds):
-        steps += [
-            f"a{r} AS MATERIALIZED ({nearest.format(w=width, r=r)})",
-            f"m{r} AS (SELECT cluster, i, sum(e::HUGEINT)::HUGEINT AS s, count(*)::HUGEINT AS n FROM (SELECT cluster, unnest(x) AS e, generate_subscripts(x, 1) AS i FROM a{r}) GROUP BY ALL)",
-            f"n{r} AS (SELECT cluster, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY i) AS c FROM m{r} GROUP BY cluster)",
-            f"c{r + 1} AS MATERIALIZED (SELECT c{r}.cluster, coalesce(n{r}.c, c{r}.c) AS c FROM c{r} LEFT JOIN n{r} USING (cluster))",
-        ]
-    steps.append(f"a{rounds} AS MATERIALIZED ({nearest.format(w=width, r=rounds)})")
-    return (
-        f"WITH {', '.join(steps)} SELECT vec_id, cluster, d::BIGINT AS distance, (sum(d) OVER (PARTITION BY cluster))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, "
-        f"sha256(array_to_string(c{rounds}.c, ',')) AS centroid_sha256 FROM a{rounds} JOIN c{rounds} USING (cluster)"
-    )
-
-
 @query("op12_centroid_clustering", kmeans_sql())
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cluster and distance of every vector."""
     return cluster_vectors(read(spark, sf_dir, "embeddings"))
+
+
+@query("op11_toxicity")
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return score_toxicity(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@query("op13_conversation_repair", REPAIR_SQL)
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation after damage."""
+    return damage_and_repair(read(spark, sf_dir, "conversations"))
