@@ -1,8 +1,8 @@
 """Smoothing, interpolation, splicing and detrending of series.
 
 A series has one row per time step, so its windows are bounded by the calendar.
-Filters that are recursive along time run as grouped numpy helpers on single
-series; everything else is native.
+Filters that reach along a whole series work on chunks of it (``recurrence``,
+``local_lines``).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gridseries.functions.calendar import month_of, year_of
 from gridseries.functions.quantiles import broadcast_if_small
 from gridseries.functions.ranks import row_numbers
+from gridseries.operators import local_lines, recurrence
 
 
 def centred_mean(df: DataFrame, series: list[str], time: str, value: str, before: int, after: int, out: str, min_count: int = 1) -> DataFrame:
@@ -345,6 +346,20 @@ def butterworth_lowpass(order: int, cutoff: float) -> tuple[np.ndarray, np.ndarr
     return b * a.sum() / b.sum(), a
 
 
+def butterworth_sections(order: int, cutoff: float) -> list[recurrence.Section]:
+    """The same filter as a chain of sections of first and second order, each of unit gain for constants."""
+    warped = 4.0 * math.tan(math.pi * cutoff / 2.0)
+    sections = []
+    for k in range(1, (order + 1) // 2 + 1):
+        pole = warped * complex(math.cos(math.pi * (2 * k + order - 1) / (2 * order)), math.sin(math.pi * (2 * k + order - 1) / (2 * order)))
+        z = (4.0 + pole) / (4.0 - pole)
+        single = 2 * k - 1 == order
+        a = (1.0, -z.real) if single else (1.0, -2.0 * z.real, abs(z) ** 2)
+        b = tuple(c * sum(a) / 2.0 ** (len(a) - 1) for c in ((1.0, 1.0) if single else (1.0, 2.0, 1.0)))
+        sections.append((b, a))
+    return sections
+
+
 def _recursion(b, a, x, state):
     y = np.empty_like(x)
     z = state.copy()
@@ -371,41 +386,17 @@ def forward_backward(b, a, x) -> np.ndarray:
     return back[pad: len(back) - pad] if pad > 0 else back
 
 
-def lowpass_removed(df: DataFrame, series: list[str], value: str, out: str, cutoff_years: float = 30.0, order: int = 4) -> DataFrame:
-    """Monthly series minus its low-pass trend (grouped helper per series)."""
-    b, a = butterworth_lowpass(order, (1.0 / cutoff_years) / 6.0)
-    schema = df.select(*series, "month_idx", value).withColumn(out, F.lit(0.0)).schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month_idx")
-        x = pdf[value].to_numpy(dtype=float)
-        return pdf.assign(**{out: x - forward_backward(b, a, x)})
-
-    return df.select(*series, "month_idx", value).groupBy(*series).applyInPandas(one, schema)
+def lowpass_removed(df: DataFrame, series: list[str], value: str, out: str, cutoff_years: float = 30.0, order: int = 4, chunk: int = recurrence.CHUNK) -> DataFrame:
+    """Monthly series minus their low-pass trend; series of any length are filtered in chunks."""
+    return recurrence.lowpass_removed(df, series, value, out, butterworth_sections(order, (1.0 / cutoff_years) / 6.0), chunk=chunk)
 
 
 def local_regression(y: np.ndarray, span: int, passes: int = 3) -> np.ndarray:
-    """Tricube local lines over the ``span`` nearest points, with bisquare passes."""
+    """Tricube local lines over the ``span`` nearest points of one short series, with bisquare passes."""
     n = len(y)
-    x = np.arange(n, dtype=float)
-    left = np.clip(np.arange(n) - (span - 1) // 2, 0, n - span)
-    # The window moves on only when that brings a strictly nearer point in.
-    idx = left[:, None] + np.arange(span)
-    xs = x[idx]
-    dist = np.abs(xs - x[:, None])
-    radius = dist.max(axis=1, keepdims=True)
-    r = dist / np.where(radius > 0, radius, 1.0)
-    tri = np.where(r >= 0.999, 0.0, np.where(r <= 0.001, 1.0, (1 - r**3) ** 3))
-    robust = np.ones(n)
-    fit = y.copy()
+    robust, fit = np.ones(n), y
     for _ in range(passes + 1):
-        w = tri * robust[idx]
-        total = w.sum(axis=1, keepdims=True)
-        wn = w / np.where(total > 0, total, 1.0)
-        mx = (wn * xs).sum(axis=1, keepdims=True)
-        var = (wn * (xs - mx) ** 2).sum(axis=1, keepdims=True)
-        slope = np.where(var > 1e-12, (x[:, None] - mx) * (xs - mx) / np.where(var > 1e-12, var, 1.0), 0.0)
-        fit = np.where(total[:, 0] > 0, (wn * (1 + slope) * y[idx]).sum(axis=1), y)
+        fit = local_lines.lines_at(np.arange(n), 0, y, robust, n, span)
         resid = np.abs(y - fit)
         scale = 6.0 * np.median(resid)
         u = resid / scale if scale > 0 else np.where(resid > 0, 1.0, 0.0)
@@ -413,16 +404,9 @@ def local_regression(y: np.ndarray, span: int, passes: int = 3) -> np.ndarray:
     return fit
 
 
-def loess(df: DataFrame, series: list[str], value: str, out: str, period_years: int = 21) -> DataFrame:
-    """Local regression of monthly series (grouped helper per series)."""
-    schema = df.select(*series, "month_idx", value).withColumn(out, F.lit(0.0)).schema
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("month_idx")
-        y = pdf[value].to_numpy(dtype=float)
-        return pdf.assign(**{out: local_regression(y, min(len(y), period_years * 12))})
-
-    return df.select(*series, "month_idx", value).groupBy(*series).applyInPandas(one, schema)
+def loess(df: DataFrame, series: list[str], value: str, out: str, period_years: int = 21, chunk: int = local_lines.CHUNK) -> DataFrame:
+    """Robust local regression of monthly series; series of any length are fitted in chunks with halos."""
+    return local_lines.loess(df, series, value, out, period_years * 12, chunk=chunk)
 
 
 def chunked_apply(df: DataFrame, series: list[str], fn, schema: str, chunk: int, context: int) -> DataFrame:

@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridseries.functions import calendar as cal
+from gridseries.functions.quantiles import broadcast_if_small
 from gridseries.operators import timeseries as ts
-from gridseries.operators.spatial import area_mean, box
+from gridseries.operators.recurrence import steady_state
+from gridseries.operators.spatial import area_mean
 from gridseries.plans.registry import query
-from gridseries.plans.views import CELLS, ENSEMBLE, SERIES_MONTH, cells, ensemble_year, series_month, table
+from gridseries.plans.views import CELLS, ENSEMBLE, POINTS, SERIES_MONTH, cells, ensemble_year, points, series_month, table
+
+COS = "cos(radians(lat))"
 
 
 def annual(spark, sf_dir):
@@ -199,22 +203,77 @@ def win_09(spark, sf_dir):
     return ts.lag_correlation(cells(spark, sf_dir), ["point_id"], "month_idx", "tas", "pr", 12)
 
 
-@query("win_20_lowpass_removed", "month_idx:i value:d index:d")
-def win_20(spark, sf_dir):
-    """Box index: anomalies, area mean, three-month mean, low-pass trend removed."""
-    from gridseries.operators.ensemble import anomalies
+LOWPASS = ts.butterworth_sections(4, (1.0 / 30.0) / 6.0)
+
+
+def recursion_sql(name: str, source: str, value: str) -> str:
+    """Recursive CTE of the two sections over ``source`` (region_id, p, value), one sample a step."""
+    (b, a), (c, d) = LOWPASS
 
-    inside = anomalies(cells(spark, sf_dir), ["point_id"], "tas", "a", "c").where(box(F.col("lat"), F.col("lon"), -25, 25, 190, 240))
-    raw = area_mean(inside.withColumn("series", F.lit("box")), ["series", "month_idx"], "a")
-    smooth = ts.centred_mean(raw, ["series"], "month_idx", "value", 1, 1, "s")
-    out = ts.lowpass_removed(smooth.select("series", "month_idx", F.col("s").alias("value")), ["series"], "value", "index", 30.0, 4)
-    return out
+    def step(z: list[str]) -> str:
+        x = f"s.{value}"
+        y = f"({b[0]!r}::DOUBLE * {x} + {z[0]})"
+        w = f"({c[0]!r}::DOUBLE * {y} + {z[2]})"
+        return (
+            f"{w} AS y, {b[1]!r}::DOUBLE * {x} + {z[1]} - ({a[1]!r}::DOUBLE) * {y} AS z0, {b[2]!r}::DOUBLE * {x} - {a[2]!r}::DOUBLE * {y} AS z1, "
+            f"{c[1]!r}::DOUBLE * {y} + {z[3]} - ({d[1]!r}::DOUBLE) * {w} AS z2, {c[2]!r}::DOUBLE * {y} - {d[2]!r}::DOUBLE * {w} AS z3"
+        )
 
+    steady = [f"({v!r}::DOUBLE) * s.{value}" for v in map(float, steady_state(LOWPASS))]
+    return (
+        f"{name} AS (SELECT region_id, p, {step(steady)} FROM {source} s WHERE p = 0 "
+        f"UNION ALL SELECT s.region_id, s.p, {step([f'f.z{k}' for k in range(4)])} FROM {name} f JOIN {source} s ON s.region_id = f.region_id AND s.p = f.p + 1)"
+    )
+
+
+@query("win_20_lowpass_removed", "region_id:s month_idx:i value:d index:d", f"""
+WITH RECURSIVE {CELLS}, {POINTS}, an AS (SELECT region_id, cells.lat, month_idx, tas - avg(tas) OVER (PARTITION BY point_id, month) AS a FROM cells JOIN (SELECT point_id, region_id FROM points) USING (point_id)),
+raw AS (SELECT region_id, month_idx, sum(a * {COS}) / sum({COS}) AS v FROM an WHERE a IS NOT NULL GROUP BY 1, 2),
+sm AS (SELECT region_id, month_idx, avg(v) OVER (PARTITION BY region_id ORDER BY month_idx RANGE BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS x FROM raw),
+num AS (SELECT *, row_number() OVER o - 1 AS k, count(*) OVER (PARTITION BY region_id) AS n, first_value(x) OVER o AS x0, first_value(x) OVER (PARTITION BY region_id ORDER BY month_idx DESC) AS x1 FROM sm WINDOW o AS (PARTITION BY region_id ORDER BY month_idx)),
+pd AS (SELECT *, least(15, n - 1) AS pad FROM num),
+ext AS MATERIALIZED (SELECT region_id, k + pad AS p, x, n + 2 * pad AS total, month_idx FROM pd UNION ALL SELECT region_id, pad - k, 2 * x0 - x, n + 2 * pad, NULL FROM pd WHERE k BETWEEN 1 AND pad
+  UNION ALL SELECT region_id, pad + n - 1 + (n - 1 - k), 2 * x1 - x, n + 2 * pad, NULL FROM pd WHERE k BETWEEN n - 1 - pad AND n - 2),
+{recursion_sql("fwd", "ext", "x")},
+turned AS MATERIALIZED (SELECT region_id, total - 1 - p AS p, y AS f FROM fwd JOIN ext USING (region_id, p)),
+{recursion_sql("back", "turned", "f")}
+SELECT ext.region_id, month_idx, ext.x AS value, ext.x - back.y AS index FROM ext JOIN back ON back.region_id = ext.region_id AND back.p = ext.total - 1 - ext.p WHERE month_idx IS NOT NULL""")
+def win_20(spark, sf_dir):
+    """Index of every region: anomalies, area mean, three-month mean, low-pass trend removed."""
+    from gridseries.operators.ensemble import anomalies
 
-@query("win_21_loess", "source_id:s month_idx:i smooth:d")
+    deviations = anomalies(cells(spark, sf_dir), ["point_id"], "tas", "a", "c").select("point_id", "lat", "month_idx", "a")
+    regional = deviations.join(broadcast_if_small(points(spark, sf_dir).select("point_id", "region_id")), "point_id")
+    smooth = ts.centred_mean(area_mean(regional, ["region_id", "month_idx"], "a"), ["region_id"], "month_idx", "value", 1, 1, "s")
+    return ts.lowpass_removed(smooth.select("region_id", "month_idx", F.col("s").alias("value")), ["region_id"], "value", "index", 30.0, 4, chunk=32)
+
+
+def local_lines_sql(span: int, passes: int) -> str:
+    """One CTE for the windows, then fit, residual and weights of every pass over series ``ser``."""
+    tricube = "CASE WHEN r >= 0.999 THEN 0 WHEN r <= 0.001 THEN 1 ELSE pow(1 - r * r * r, 3) END"
+    steps = [f"""
+num AS (SELECT source_id, month_idx, value, row_number() OVER (PARTITION BY source_id ORDER BY month_idx) - 1 AS i, count(*) OVER (PARTITION BY source_id) AS n FROM ser),
+win AS (SELECT *, least(n, {span}) AS s, greatest(0, least(i - (least(n, {span}) - 1) // 2, n - least(n, {span}))) AS l FROM num),
+pairs AS (SELECT a.source_id, a.i, b.i AS j, b.value AS y, abs(a.i - b.i)::DOUBLE AS d, max(abs(a.i - b.i)) OVER (PARTITION BY a.source_id, a.i) AS radius
+  FROM win a JOIN num b ON a.source_id = b.source_id AND b.i BETWEEN a.l AND a.l + a.s - 1),
+tri AS MATERIALIZED (SELECT source_id, i, j, y, {tricube} AS t FROM (SELECT *, d / CASE WHEN radius > 0 THEN radius ELSE 1 END AS r FROM pairs)),
+w0 AS (SELECT source_id, i AS j, 1.0::DOUBLE AS robust FROM num)"""]
+    for k in range(passes + 1):
+        steps.append(f"""
+m{k} AS (SELECT source_id, i, sum(t * robust) AS total, sum(t * robust * j) / sum(t * robust) AS mx, sum(t * robust * y) / sum(t * robust) AS my FROM tri JOIN w{k} USING (source_id, j) GROUP BY 1, 2),
+v{k} AS (SELECT source_id, i, sum(t * robust * pow(j - mx, 2)) / any_value(total) AS var, sum(t * robust * (j - mx) * y) / any_value(total) AS cov FROM tri JOIN w{k} USING (source_id, j) JOIN m{k} USING (source_id, i) GROUP BY 1, 2),
+f{k} AS MATERIALIZED (SELECT num.source_id, num.month_idx, num.i, num.value, CASE WHEN total > 0 THEN my + (i - mx) * CASE WHEN var > 1e-12 THEN cov / var ELSE 0 END ELSE value END AS fit
+  FROM num JOIN m{k} USING (source_id, i) JOIN v{k} USING (source_id, i)),
+u{k} AS (SELECT source_id, i, CASE WHEN scale > 0 THEN r / scale WHEN r > 0 THEN 1 ELSE 0 END AS u FROM (SELECT *, abs(value - fit) AS r, 6 * median(abs(value - fit)) OVER (PARTITION BY source_id) AS scale FROM f{k})),
+w{k + 1} AS MATERIALIZED (SELECT source_id, i AS j, CASE WHEN u >= 0.999 THEN 0 WHEN u <= 0.001 THEN 1 ELSE pow(1 - u * u, 2) END AS robust FROM u{k})""")
+    return ",".join(steps)
+
+
+@query("win_21_loess", "source_id:s month_idx:i smooth:d", f"""
+WITH {SERIES_MONTH}, {local_lines_sql(36, 3)} SELECT source_id, month_idx, fit AS smooth FROM f3""")
 def win_21(spark, sf_dir):
-    """Local regression of the model series."""
-    return ts.loess(series_month(spark, sf_dir), ["source_id"], "value", "smooth", period_years=3)
+    """Local regression of the model series with three reweightings."""
+    return ts.loess(series_month(spark, sf_dir), ["source_id"], "value", "smooth", period_years=3, chunk=40)
 
 
 @query("win_23_time_windows", "source_id:s start_year:i end_year:i label:s", f"""

@@ -33,6 +33,51 @@ def test_lowpass_removed_keeps_fast_waves(spark):
     assert np.abs(out - fast)[80:-80].max() < 0.05
 
 
+@pytest.mark.parametrize("order, cutoff", [(1, 0.2), (2, 0.1), (3, 0.3), (4, 0.25), (5, 0.05)])
+def test_sections_are_the_filter(order, cutoff):
+    num, den = np.ones(1), np.ones(1)
+    for b, a in ts.butterworth_sections(order, cutoff):
+        num, den = np.convolve(num, b), np.convolve(den, a)
+    b, a = ts.butterworth_lowpass(order, cutoff)
+    np.testing.assert_allclose(num, b, atol=1e-12)
+    np.testing.assert_allclose(den, a, atol=1e-9)
+
+
+@pytest.mark.parametrize("chunk", [3, 16, 1000])
+def test_scan_of_chunks_equals_one_pass(spark, chunk):
+    """Several series, gaps in time, nulls and NaN, shorter than the extension and of one sample."""
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for name, n in [("a", 150), ("b", 40), (None, 5), ("one", 1), ("empty", 0)]:
+        months = np.sort(rng.choice(400, n, replace=False))
+        x = rng.normal(size=n).cumsum() + 280.0
+        b, a = ts.butterworth_lowpass(3, 1 / 24)
+        want |= {(name, int(m)): v for m, v in zip(months, x - (ts.forward_backward(b, a, x) if n else x), strict=True)}
+        rows += [(name, int(m), float(v)) for m, v in zip(months, x, strict=True)] + [(name, 500, None), (name, 501, float("nan"))]
+    df = spark.createDataFrame(rows, "s string, month_idx int, v double")
+    got = {(r["s"], r["month_idx"]): r["o"] for r in ts.lowpass_removed(df, ["s"], "v", "o", cutoff_years=4.0, order=3, chunk=chunk).collect()}
+    assert set(got) == {(r[0], r[1]) for r in rows}
+    assert all(got[k] is None for k in got if k[1] >= 500)
+    keys = list(want)
+    np.testing.assert_allclose([got[k] for k in keys], [want[k] for k in keys], atol=1e-8)
+
+
+@pytest.mark.parametrize("chunk", [40, 70, 1000])
+def test_chunks_with_halos_equal_one_pass(spark, chunk):
+    rng = np.random.default_rng(8)
+    rows, want = [], {}
+    for name, n in [("a", 200), (None, 61), ("short", 20), ("one", 1)]:
+        y = rng.normal(size=n).cumsum()
+        y[n // 2] += 30.0
+        rows += [(name, 3 * k, float(v)) for k, v in enumerate(y)] + [(name, 1000, None)]
+        want |= {(name, 3 * k): v for k, v in enumerate(ts.local_regression(y, min(36, n)))}
+    df = spark.createDataFrame(rows, "s string, month_idx int, v double")
+    got = {(r["s"], r["month_idx"]): r["o"] for r in ts.loess(df, ["s"], "v", "o", period_years=3, chunk=chunk).collect()}
+    assert all(got.pop((name, 1000)) is None for name in ("a", None, "short", "one"))
+    assert got.keys() == want.keys()
+    np.testing.assert_allclose([got[k] for k in want], list(want.values()), atol=1e-9)
+
+
 def local_line(y, i, span):
     """One local regression point without robust passes, by weighted least squares."""
     n = len(y)
