@@ -168,7 +168,7 @@ def moved(table: DataFrame, centroids: list[list[int]], rotation: Rotation) -> l
     """
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        assigner = Assigner(centroids, rotation)
+        assigner = Assigner(centroids, rotation) if centroids else None
         totals, counts = [[0] * len(c) for c in centroids], [0] * len(centroids)
         for batch in batches:
             if not batch.num_rows:
@@ -215,7 +215,7 @@ def cluster_vectors(embeddings: DataFrame, k: int = 8, rounds: int = 10, width:
         centroids = moved(table, centroids, rotation)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        assigner = Assigner(centroids, rotation)
+        assigner = Assigner(centroids, rotation) if centroids else None
         for batch in batches:
             if batch.num_rows:
                 cluster, best = assigner.nearest(scaled(matrix(batch.column("x"))), matrix(batch.column("lead")), batch.column("rest").to_numpy())

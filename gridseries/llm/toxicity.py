@@ -5,7 +5,7 @@ ordinary texts, one on the words that ordinary texts don't account for in toxic
 ones. A window's gain is the number of bytes by which it compresses better with
 the toxic dictionary than without it; both compressors share the ordinary one.
 A text's largest gains are set against a threshold calibrated on labelled texts
-that no dictionary has seen.
+that the dictionaries have not seen.
 """
 
 from __future__ import annotations
@@ -53,9 +53,19 @@ def windows_of(words: list[bytes], width: int = WINDOW) -> list[bytes]:
     return [b" ".join(words[k : k + width]) for k in range(0, len(words), width)]
 
 
-def mers(word: bytes) -> set[bytes]:
-    padded = b" %b " % word
-    return {padded[k : k + MER] for k in range(len(padded) - MER + 1)}
+def _mers(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Substrings of MER bytes inside the words between spaces, as numbers, with the word and the place in it of each."""
+    text = np.frombuffer(b"".join(b" %b " % w for w in words), np.uint8)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 2)
+    n = max(0, len(text) - MER + 1)
+    codes, inside = np.zeros(n, np.uint64), np.ones(n, bool)
+    for k in range(MER):
+        codes = codes << np.uint64(8) | text[k : k + n].astype(np.uint64)
+        if 0 < k < MER - 1:
+            inside &= text[k : k + n] != 32
+    at = np.flatnonzero(inside)
+    word = np.searchsorted(ends, at, side="right")
+    return codes[at], word, at - np.concatenate([[0], ends])[word]
 
 
 def telling_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[bytes]:
@@ -68,25 +78,28 @@ def telling_runs(toxic: list[list[bytes]], ordinary: list[list[bytes]]) -> list[
     for words in toxic:
         for before, word, after in zip([b"", *words], words, [*words[1:], b""], strict=False):
             contexts[word].add((before, after))
-    found, usual = Counter(), Counter()
-    for word, around in contexts.items():
-        for m in mers(word):
-            found[m] += len(around)
-    for word, n in Counter(word for words in ordinary for word in words).items():
-        for m in mers(word):
-            if m in found:
-                usual[m] += n
+    held = sorted(contexts)
+    times = np.fromiter((len(contexts[w]) for w in held), np.int64, len(held))
+    codes, word, place = _mers(held)
+    found, index = np.unique(codes, return_inverse=True)
+    counts = np.bincount(index, times[word], len(found))
+    usual_codes, usual_counts = np.unique(_mers([w for words in ordinary for w in words])[0], return_counts=True)
+    usual = np.zeros(len(found))
+    if len(usual_codes):
+        at = np.minimum(np.searchsorted(usual_codes, found), len(usual_codes) - 1)
+        usual = np.where(usual_codes[at] == found, usual_counts[at], 0)
     scale = CONTRAST * max(1, len(toxic)) / max(1, len(ordinary))
-    telling = {m for m, n in found.items() if n >= CONTEXTS and n >= scale * usual[m]}
-    runs = Counter()
-    for word, around in contexts.items():
-        padded, begin, end = b" %b " % word, 0, 0
-        for k in range(len(padded) - MER + 2):
-            if padded[k : k + MER] in telling:
-                begin, end = (begin, k + MER) if k < end else (k, k + MER)
-            elif end and k >= end - MER + 1:
-                runs[padded[begin:end]] += len(around)
-                begin = end = 0
+    telling = (counts >= CONTEXTS) & (counts >= scale * usual)
+    runs: Counter = Counter()
+    begin = end = last = -1
+    for k in np.flatnonzero(telling[index]):
+        if word[k] != last or place[k] > end:
+            if last >= 0:
+                runs[(b" %b " % held[last])[begin:end]] += int(times[last])
+            begin, last = place[k], word[k]
+        end = place[k] + MER
+    if last >= 0:
+        runs[(b" %b " % held[last])[begin:end]] += int(times[last])
     samples = [run for run, n in sorted(runs.items()) if n >= CONTEXTS for _ in range(n)]
     random.Random(11).shuffle(samples)
     return samples
@@ -150,9 +163,9 @@ def _sigmoid(x: float) -> float:
     return 1 / (1 + math.exp(-x)) if x >= 0 else math.exp(x) / (1 + math.exp(x))
 
 
-def features(text: str | None, gains: BoundedCache) -> np.ndarray:
+def features(words: list[bytes], gains: BoundedCache) -> np.ndarray:
     """The TOP largest gains of the windows, in falling order, and the logarithm of the number of windows."""
-    windows = windows_of(words_of(text))
+    windows = windows_of(words)
     out = np.zeros(TOP + 1)
     if windows:
         values = np.fromiter(map(gains.__getitem__, windows), np.int64, len(windows))
@@ -191,6 +204,15 @@ def calibrate(x: np.ndarray, toxic: np.ndarray) -> tuple[float, ...]:
     return tuple(float(v) for v in w)
 
 
+    return dictionary(telling_runs(texts[1], texts[0]), TOXIC_BYTES, 16), dictionary(passages(texts[0]), ORDINARY_BYTES, PASSAGE)
+
+
+def dictionaries(rows: list[tuple[int, list[bytes], bool]]) -> tuple[bytes, bytes]:
+    """The toxic and the ordinary dictionary of rows (label, words, ...)."""
+    texts = {label: [r[1] for r in rows if r[0] == label] for label in (0, 1)}
+    return dictionary(telling_runs(texts[1], texts[0]), TOXIC_BYTES, 16), dictionary(passages(texts[0]), ORDINARY_BYTES, PASSAGE)
+
+
 def fit(sample: list[tuple[int, str | None, bool]]) -> ToxicityModel:
     """Model from rows (label, text, calibrates).
 
@@ -199,16 +221,13 @@ def fit(sample: list[tuple[int, str | None, bool]]) -> ToxicityModel:
     """
     if {label for label, _, _ in sample} != {0, 1}:
         return ToxicityModel(b"", b"", (), 1.0 if any(label for label, _, _ in sample) else 0.0)
-    train = [r for r in sample if not r[2]]
-    if {r[0] for r in train} != {0, 1} or {r[0] for r in sample if r[2]} != {0, 1}:
-        train, calibrating = sample, sample  # too few rows to hold some back
-    else:
-        calibrating = [r for r in sample if r[2]]
-    texts = {label: [words_of(t) for x, t, _ in train if x == label] for label in (0, 1)}
-    toxic = dictionary(telling_runs(texts[1], texts[0]), TOXIC_BYTES, 16)
-    ordinary = dictionary(passages(texts[0]), ORDINARY_BYTES, PASSAGE)
+    rows = [(label, words_of(text), held) for label, text, held in sample]
+    train, calibrating = ([r for r in rows if r[2] == held] for held in (False, True))
+    if {r[0] for r in train} != {0, 1} or {r[0] for r in calibrating} != {0, 1}:
+        train = calibrating = rows  # too few to hold some back
+    toxic, ordinary = dictionaries(train)
     gains = ToxicityModel(toxic, ordinary, ()).gains()
-    x = np.array([features(t, gains) for _, t, _ in calibrating])
+    x = np.array([features(words, gains) for _, words, _ in calibrating])
     return ToxicityModel(toxic, ordinary, calibrate(x, np.array([label == 1 for label, _, _ in calibrating])))
 
 
@@ -267,7 +286,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         gains = None if model.constant is not None else model.gains()
         for batch in batches:
-            values = [model.score(features(t, gains) if gains is not None else np.zeros(0)) for t in batch.column("text").to_pylist()]
+            values = [model.score(features(words_of(t), gains) if gains is not None else np.zeros(0)) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(values, pa.float64())], names=["doc_id", "held_out", "score"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), held_out().alias("held_out"), clean_text().alias("text"))
