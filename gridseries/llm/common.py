@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Callable
-from types import ModuleType
 
 import numpy as np
 import xxhash
@@ -67,14 +65,6 @@ class BoundedCache(dict):
         return value
 
 
-def worker_object(name: str, make: Callable):
-    """An object that lives as long as the Python worker, so that its later tasks find it."""
-    held = sys.modules.setdefault("_worker_objects", ModuleType("_worker_objects")).__dict__
-    if name not in held:
-        held[name] = make()
-    return held[name]
-
-
 def word_hashes(words: list[bytes], cache: BoundedCache) -> np.ndarray:
     """64-bit hashes of words; ``cache`` is ``hash_cache()`` of the calling task."""
     return np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))

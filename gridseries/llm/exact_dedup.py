@@ -9,13 +9,11 @@ largest id does. Ingesting a load twice changes nothing.
 
 from __future__ import annotations
 
-import hashlib
+import string
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gridseries.llm.common import clean_text, stage
 from gridseries.session import scratch_folder
@@ -24,15 +22,10 @@ from gridseries.session import scratch_folder
 ROWS_PER_BUCKET, LEAST_BUCKETS, MOST_BUCKETS = 1_000_000, 12, 8192
 
 
-@F.arrow_udf(T.BinaryType())
-def _digests(texts: pa.Array) -> pa.Array:
-    # bytes.lower() changes A-Z only
-    return pa.array([hashlib.sha256(t.lower()).digest() for t in texts.to_pylist()], pa.binary())
-
-
 def digest(text: str = "text") -> Column:
     """SHA-256 of the text in UTF-8 after lower-casing A-Z; a null text counts as empty."""
-    return _digests(clean_text(text).cast("binary"))
+    lower = F.translate(clean_text(text), string.ascii_uppercase, string.ascii_lowercase)
+    return F.unhex(F.sha2(lower.cast("binary"), 256))
 
 
 @dataclass

@@ -24,6 +24,7 @@ from gridseries.llm.common import clean_text, stage
 
 WORD_SHARE, GRAM_SHARE = 100_000, 20_000
 LONGEST_GRAM = 4
+#: Languages that are learned, those with most words first; the model's size is this times the known words.
 MOST_LANGUAGES = 256
 UNKNOWN = "und"
 #: Distinct words that a counting task holds before it passes them on, and words whose scores are kept.
@@ -56,8 +57,12 @@ def gram_counts(words: list[str], counts: np.ndarray, size: int) -> dict[str, in
     """Counts of the n-grams of padded words, each word ``counts`` times."""
     text = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le"), np.uint32)
     letters, codes = np.unique(text, return_inverse=True)
-    if len(letters) > 2**16:
-        raise ValueError("more than 65536 letters in one batch")
+    if len(letters) > 2**16:  # beyond the places of a key: count halves, a single word letter by letter
+        halves = (slice(0, len(words) // 2), slice(len(words) // 2, None))
+        if len(words) > 1:
+            return dict(sum((Counter(gram_counts(words[h], counts[h], size)) for h in halves), Counter()))
+        padded = f" {words[0]} "
+        return {g: n * int(counts[0]) for g, n in Counter(padded[k : k + size] for k in range(len(padded) - size + 1)).items()}
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     ends, weights = np.repeat(np.cumsum(lengths), lengths), np.repeat(counts, lengths)
     at = np.flatnonzero(np.arange(len(text)) + size <= ends)
@@ -161,9 +166,7 @@ def train(labelled: DataFrame) -> LanguageModel:
     """Model from rows (lang, text) with a lang that isn't null. Only the bounded model reaches the driver."""
     counted = labelled.select(F.col("lang").cast("string").alias("lang"), clean_text().alias("text")).mapInArrow(_count_words, "lang string, word string, n bigint")
     words = stage(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "lang-words")
-    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).limit(MOST_LANGUAGES + 1).collect()}
-    if len(totals) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
+    totals = {r["lang"]: r["n"] for r in words.groupBy("lang").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
     languages = sorted(totals)
     of_lang = F.create_map(*(F.lit(x) for lang in languages for x in (lang, totals[lang]))) if languages else None
 
@@ -172,6 +175,7 @@ def train(labelled: DataFrame) -> LanguageModel:
 
     if not languages:
         return LanguageModel([], {}, {})
+    words = words.where(F.col("lang").isin(languages))
     known = frequent(words, WORD_SHARE, of_lang[F.col("lang")])
     spread = words.mapInArrow(_count_grams, "lang string, size int, gram string, n bigint")
     by_gram = stage(spread.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n")), "lang-grams")
@@ -218,9 +222,24 @@ def languages(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", "held_out", "v.lang_pred", "v.score")
 
 
-def drop_unidentified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
-    """The rows of ``docs`` whose language is identified with at least ``least_score``, with all their columns."""
+def drop_unidentified(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose language is identified, with all their columns.
+
+    Dropped are texts without a letter, null ones among them; any other text has
+    a most likely language, however short it is. Where no row that isn't held out
+    has a language, nothing is learned and nothing dropped but these texts. Rows
+    repeated are judged each; an empty table gives an empty result.
+    """
     model = train(docs.where(~held_out() & F.col("lang").isNotNull()))
-    judged = docs.withColumn("_verdict", predictor(docs, model))
-    known = (F.col("_verdict.lang_pred") != UNKNOWN) & (F.col("_verdict.score") >= least_score)
-    return judged.where(known).drop("_verdict")
+    if not model.languages:
+        return docs.where(clean_text().rlike(r"\p{L}"))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.words, model.grams))
+
+    def known(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(LanguageModel(*shared.value))
+        for batch in batches:
+            verdicts = [t is not None and scorer.verdict(str(t))[0] != UNKNOWN for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array(verdicts, pa.bool_()))
+
+    # The rows themselves pass through the task batch by batch, so none wait beside it for their verdict.
+    return docs.mapInArrow(known, docs.schema)

@@ -37,14 +37,14 @@ HASHES = BANDS * ROWS
 BATCH = 16
 #: Posterior probability of a link below which a pair is pruned.
 MISS = 1e-5
-#: Star rounds, and the share of the buckets (1 in so many) that each of them takes; the block step takes all.
-STAR_ROUNDS, STAR_SHARE = 3, 5
+#: Star rounds; each gives every node one centre to be compared with.
+STAR_ROUNDS = 3
 #: Nodes of one side of a block.
-BLOCK = 512
+BLOCK = 256
 #: Shingles that meet all hash functions at a time.
 STRIPE = 2048
 
-FEATURES = "doc_id bigint, key binary, n_shingles bigint, sig binary, bands array<bigint>"
+FEATURES = "doc_id bigint, key binary, n_shingles bigint, sig binary, bands array<bigint>, band_bytes binary"
 _DRAW = np.random.Generator(np.random.PCG64(20_240_501))
 FACTORS = _DRAW.integers(0, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 BAND_FACTORS = _DRAW.integers(0, 2**63, ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -87,8 +87,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 sigs.append(None)
                 bands.append(None)
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-            names=["doc_id", "key", "n_shingles", "sig", "bands"],
+            [batch.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(sigs, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array([None if b is None else b.tobytes() for b in bands], pa.binary())],
+            names=["doc_id", "key", "n_shingles", "sig", "bands", "band_bytes"],
         )
 
 
@@ -136,36 +136,105 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def _bayes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     limits = least_hits()
     for batch in batches:
-        alive, hits = surviving_hits(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")), limits)
+        alive, _ = surviving_hits(_matrix(batch.column("sig_a")), _matrix(batch.column("sig_b")), limits)
         take = pa.array(alive)
-        yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take), pa.array(hits)], names=["a", "b", "hits"])
+        yield pa.RecordBatch.from_arrays([batch.column("a").take(take), batch.column("b").take(take)], names=["a", "b"])
 
 
-def _bayes_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows are blocks: a list of members (side, node, n, comp, sig). Side 0 meets side 1; without a side 0, side 1 meets itself."""
-    limits = least_hits()
+BLOCK_KEY = ["bucket", "kind", "i", "j"]
+MEMBERS = "bucket bigint, kind int, i bigint, j bigint, side int, node bigint, n bigint, comp bigint, sig binary, bands binary"
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole blocks from rows sorted by BLOCK_KEY; a block that goes on in the next batch waits for it."""
+    open_: pa.Table | None = None
     for batch in batches:
-        lists = batch.column("members")
-        members = lists.flatten()
-        side, node = members.field("side").to_numpy(), members.field("node").to_numpy()
-        size, comp = members.field("n").to_numpy(), members.field("comp").to_numpy()
-        sigs = _matrix(members.field("sig"))
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for begin, end in zip(ends[:-1], ends[1:], strict=True):
-            rows = np.arange(begin, end)
-            lone = side[rows] == 1
-            across = bool((~lone).any())
-            for i in rows[~lone] if across else rows:
-                with_ = rows[lone] if across else rows[rows > i]
-                fits = (comp[with_] != comp[i]) & (100 * np.minimum(size[with_], size[i]) >= PERCENT * np.maximum(size[with_], size[i]))
-                with_ = with_[fits]
-                if len(with_):
-                    alive, _ = surviving_hits(np.broadcast_to(sigs[i], (len(with_), HASHES)), sigs[with_], limits)
-                    if len(alive):
-                        found.append((np.full(len(alive), node[i]), node[with_[alive]]))
-        a, b = (np.concatenate([f[k] for f in found]) if found else np.empty(0, np.int64) for k in (0, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+        table = pa.Table.from_batches([batch])
+        table = table if open_ is None else pa.concat_tables([open_, table])
+        begins = _begins(table)
+        if len(begins) > 1:
+            yield table.slice(0, begins[-1]).combine_chunks()
+        open_ = table.slice(begins[-1]) if len(begins) else None
+    if open_ is not None and len(open_):
+        yield open_.combine_chunks()
+
+
+def _begins(table: pa.Table) -> np.ndarray:
+    """First row of every block."""
+    keys = np.stack([table.column(c).to_numpy().astype(np.int64) for c in BLOCK_KEY]) if len(table) else np.empty((4, 0), np.int64)
+    return np.flatnonzero(np.concatenate([[True], (keys[:, 1:] != keys[:, :-1]).any(axis=0)])) if keys.shape[1] else np.empty(0, np.int64)
+
+
+def _open_pairs(table: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each block: index pairs of rows in different components that no signature batch prunes.
+
+    Side 0 meets side 1; without a side 0, side 1 meets itself. A pair that shares
+    several bands is taken in the block of the first one only.
+    """
+    limits = least_hits()
+    bucket, side, size, comp = (table.column(c).to_numpy() for c in ("bucket", "side", "n", "comp"))
+    sigs = _matrix(table.column("sig"))
+    bands = np.frombuffer(b"".join(table.column("bands").to_pylist()), np.int64).reshape(-1, BANDS)
+    begins = _begins(table)
+    for begin, end in zip(begins, [*begins[1:], len(table)], strict=True):
+        rows = np.arange(begin, end)
+        lone = side[rows] == 1
+        across = bool((~lone).any())
+        found_a, found_b = [], []
+        for i in rows[~lone] if across else rows:
+            with_ = rows[lone] if across else rows[rows > i]
+            fits = (comp[with_] != comp[i]) & (100 * np.minimum(size[with_], size[i]) >= PERCENT * np.maximum(size[with_], size[i]))
+            with_ = with_[fits]
+            if len(with_):
+                first = (bands[with_] == bands[i]).argmax(axis=1)
+                with_ = with_[bands[i][first] == bucket[i]]
+            if len(with_):
+                alive, _ = surviving_hits(np.broadcast_to(sigs[i], (len(with_), HASHES)), sigs[with_], limits)
+                found_a.append(np.full(len(alive), i))
+                found_b.append(with_[alive])
+        yield (np.concatenate(found_a), np.concatenate(found_b)) if found_a else (np.empty(0, np.int64), np.empty(0, np.int64))
+
+
+def _members_in_question(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The members of blocks that take part in a pair in question."""
+    for table in _blocks(batches):
+        wanted = np.zeros(len(table), bool)
+        for a, b in _open_pairs(table):
+            wanted[a] = wanted[b] = True
+        yield from table.filter(pa.array(wanted)).to_batches()
+
+
+def _links_of_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Confirmed links (a, b) of blocks whose members carry their sets: at most one less than a block's components.
+
+    Pairs in question are compared one after another; those that earlier links
+    of the block or its components connect already are skipped.
+    """
+    for table in _blocks(batches):
+        node, comp = table.column("node").to_numpy(), table.column("comp").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        values, ends = lists.flatten().to_numpy(), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+        links = []
+        for pairs_a, pairs_b in _open_pairs(table):
+            root: dict[int, int] = {}
+
+            def find(c: int) -> int:
+                while (up := root.get(c, c)) != c:  # noqa: B023
+                    root[c] = root.get(up, up)  # noqa: B023
+                    c = up
+                return c
+
+            for a, b in zip(pairs_a.tolist(), pairs_b.tolist(), strict=True):
+                ca, cb = find(int(comp[a])), find(int(comp[b]))
+                if ca == cb:
+                    continue
+                sa, sb = values[ends[a] : ends[a + 1]], values[ends[b] : ends[b + 1]]
+                shared = len(np.intersect1d(sa, sb, assume_unique=True))
+                if 100 * shared >= PERCENT * (len(sa) + len(sb) - shared):
+                    root[max(ca, cb)] = min(ca, cb)
+                    links.append((int(node[a]), int(node[b])))
+        columns = zip(*links, strict=True) if links else [[], []]
+        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
 class _Links:
@@ -174,38 +243,56 @@ class _Links:
     def __init__(self, docs: DataFrame, nodes: DataFrame):
         self.docs, self.nodes = docs, nodes
 
-    def confirm(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) of a staged table that are links on their full sets.
-
-        The texts of the nodes that occur are read again for their sets; sets
-        travel once per pair.
-        """
-        wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    def sets(self, wanted: DataFrame) -> DataFrame:
+        """node, shingles of the nodes of a table; their texts are read again."""
         wanted = stage(self.nodes.select("node", "key", "owner").join(wanted, "node"), "near-wanted")
         texts = self.docs.select(F.col("doc_id").cast("bigint").alias("id"), clean_text().cast("binary").alias("text"))
-        texts = texts.join(wanted.select("owner"), F.col("id").eqNullSafe(F.col("owner")), "left_semi").select("text")
+        owners = wanted.select("owner").distinct()
+        texts = texts.join(owners, F.col("id").eqNullSafe(F.col("owner")), "left_semi").select("text")
         sets = texts.mapInArrow(_sets, "key binary, shingles array<bigint>").join(wanted.select("key", "node"), "key")
-        sets = stage(sets.select("node", "shingles").dropDuplicates(["node"]), "near-sets")
+        return stage(sets.select("node", "shingles").dropDuplicates(["node"]), "near-sets")
+
+    def confirm(self, pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) of a staged table that are links on their full sets; sets travel once per pair."""
+        sets = self.sets(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
         left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
         right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
         both = pairs.select("a", "b").join(left, "a").join(right, "b")
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * shared >= PERCENT * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
 
+    def confirm_blocks(self, members: DataFrame) -> DataFrame:
+        """The links (a, b) found in blocks of a staged table of MEMBERS; sets travel once per member of a block."""
+        sets = self.sets(members.select("node").distinct())
+        return _by_block(members.join(sets, "node").select(*members.columns, "shingles")).mapInArrow(_links_of_blocks, "a bigint, b bigint").distinct()
+
+
+def _by_block(members: DataFrame) -> DataFrame:
+    """Blocks whole in a partition and in order, so that they stream through a task one by one."""
+    return members.repartition(*BLOCK_KEY).sortWithinPartitions(*BLOCK_KEY, "side", "node")
+
 
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """(a, b): nodes of active buckets with the bucket's centre of this turn, in other components."""
-    order = F.xxhash64("node", "bucket", F.lit(turn))
-    rows = rows.where(F.pmod(F.xxhash64("bucket"), F.lit(STAR_SHARE)) == turn)
+    """(a, b): every node of active buckets with one of their centres of this turn, in another component.
+
+    A bucket's centre is its node of smallest hash. Of its buckets' centres a node
+    takes the one of smallest hash again, so the members of a group mostly meet at
+    one centre and there is one pair for each node.
+    """
+    order = F.xxhash64("node", F.lit(turn))
     centres = rows.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), F.col("node"), F.col("comp"), F.col("n"))).alias("c"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
     centres = centres.where("lo < hi").select("bucket", "c.*").toDF("bucket", "o", "centre", "centre_comp", "centre_n")
     met = rows.join(centres, "bucket").where("comp <> centre_comp")
     fits = 100 * F.least("n", "centre_n") >= PERCENT * F.greatest("n", "centre_n")
-    return met.where(fits).select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
+    return met.where(fits).groupBy(F.col("node").alias("a")).agg(F.min(F.struct("o", "centre")).alias("c")).select("a", F.col("c.centre").alias("b"))
 
 
-def _block_pairs(rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """(a, b): pairs across components of a bucket that no signature batch prunes."""
+def _block_members(rows: DataFrame, sigs: DataFrame) -> DataFrame:
+    """MEMBERS of blocks: of every bucket with several components, the nodes that a pair in question holds.
+
+    The largest component of a bucket is set against the others, these against
+    each other, in blocks of BLOCK by BLOCK nodes.
+    """
     comps = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("m"))
     shape = comps.groupBy("bucket").agg(F.max(F.struct("m", "comp")).alias("top"), F.sum("m").alias("all"), F.count(F.lit(1)).alias("k")).where("k > 1")
     shape = shape.select(
@@ -222,9 +309,8 @@ def _block_pairs(rows: DataFrame, sigs: DataFrame) -> DataFrame:
     as_rest = F.transform(upto("main_parts"), lambda i: block(0, i, here))
     among = F.when(F.col("k") > 2, F.transform(upto("rest_parts"), lambda j: block(1, F.least(here, j), F.greatest(here, j)))).otherwise(F.array().cast("array<struct<kind:int,i:bigint,j:bigint>>"))
     blocks = F.when(F.col("side") == 0, as_main).otherwise(F.concat(as_rest, among))
-    dealt = placed.join(sigs, "node").select("bucket", F.explode(blocks).alias("block"), F.struct(F.col("side"), F.col("node"), F.col("n"), F.col("comp"), F.col("sig")).alias("member"))
-    grouped = dealt.groupBy("bucket", "block").agg(F.collect_list("member").alias("members")).where(F.size("members") > 1)
-    return grouped.select("members").mapInArrow(_bayes_blocks, "a bigint, b bigint").distinct()
+    dealt = placed.join(sigs, "node").select("bucket", F.explode(blocks).alias("block"), "side", "node", "n", "comp", "sig", "bands")
+    return _by_block(dealt.select("bucket", "block.*", "side", "node", "n", "comp", "sig", "bands")).mapInArrow(_members_in_question, MEMBERS)
 
 
 def _relabel(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -245,31 +331,35 @@ def near_groups(docs: DataFrame) -> DataFrame:
     has no shingles and is linked with nothing; one of one to four words is one
     shingle. Rows repeated with their id share a class. A null doc_id never
     names a component that has other ids; in a component of nulls component_id
-    is null and all rows are kept. An empty table gives an empty result.
+    is null and all rows are kept. Rows that share an id but not their text are
+    compared by their own texts each. An empty table gives an empty result.
     """
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), clean_text().cast("binary").alias("text"))
     features = stage(texts.mapInArrow(_features, FEATURES), "near-features")
     filled = features.where("n_shingles > 0")
     owner = F.min("doc_id")
     # Rows of one key have one set, hence one signature; the maximum only picks it.
-    nodes = filled.groupBy("key").agg(owner.alias("owner"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"))
-    nodes = stage(nodes.withColumn("node", F.coalesce("owner", F.xxhash64("key"))), "near-nodes")
+    nodes = filled.groupBy("key").agg(owner.alias("owner"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"), F.first("bands").alias("bands"), F.first("band_bytes").alias("band_bytes"))
+    # A node bears the smallest id of its set; ids that several sets share leave them the hash of the set.
+    shared_ids = nodes.groupBy("owner").agg(F.count(F.lit(1)).alias("sets")).where("sets > 1").select(F.col("owner").alias("_shared"))
+    nodes = nodes.join(shared_ids, F.col("owner") == F.col("_shared"), "left")
+    nodes = stage(nodes.withColumn("node", F.when(F.col("owner").isNull() | F.col("_shared").isNotNull(), F.xxhash64("key")).otherwise(F.col("owner"))).drop("_shared"), "near-nodes")
     spread = nodes.select("node", "n", F.explode("bands").alias("bucket"))
     crowded = spread.groupBy("bucket").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo < hi").select("bucket")
     shared = stage(spread.join(crowded, "bucket"), "near-shared")
     sigs = nodes.select("node", "sig")
+    signed_bands = nodes.select("node", "sig", F.col("band_bytes").alias("bands"))
     links = _Links(docs, nodes)
     labels = docs.sparkSession.createDataFrame([], "node bigint, comp bigint")
     for turn in range(STAR_ROUNDS):
         rows = shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         pairs = _star_pairs(stage(rows, "near-rows"), turn)
         signed = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
-        close = signed.mapInArrow(_bayes, "a bigint, b bigint, hits bigint")
-        best = close.groupBy("a").agg(F.max(F.struct("hits", "b")).alias("top")).select("a", F.col("top.b").alias("b"))
-        confirmed = stage(links.confirm(stage(best, "near-best")), "near-links")
+        close = signed.mapInArrow(_bayes, "a bigint, b bigint")
+        confirmed = stage(links.confirm(stage(close.select("a", "b"), "near-best")), "near-links")
         labels = _relabel(labels, confirmed)
     rows = stage(shared.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "near-rows")
-    rest = stage(links.confirm(stage(_block_pairs(rows, sigs), "near-rest")), "near-links")
+    rest = stage(links.confirm_blocks(stage(_block_members(rows, signed_bands), "near-rest")), "near-links")
     labels = _relabel(labels, rest)
     return _report(features, nodes, labels)
 

@@ -33,7 +33,7 @@ TOKEN_LIMIT = 4096
 CHUNK = 65_536
 #: Compiled states kept at a time, and units whose count is kept.
 STATES, UNITS = 200_000, 600_000
-SPACE = "▁"  # how the vocabulary writes a space
+SPACE = "▁"  # how the vocabulary writes a space; in a text it counts as a space
 #: A unit: a run of spaces and what follows it, or a line feed and what follows it.
 UNIT = re.compile(r" +[^ \n]*|\n[^ \n]*|[^ \n]+")
 #: What follows a synchronising point: a line feed, or a space that no space precedes.
@@ -165,7 +165,7 @@ def chunk_maps(chunks: DataFrame, model_file: str) -> DataFrame:
         transducer = CountTransducer(model_file)
         for batch in batches:
             numbers, texts = batch.column("chunk").to_pylist(), batch.column("text").to_pylist()
-            made = [transducer.chunk_map(t, k == 0) if t else (True, "", 0, "") for k, t in zip(numbers, texts, strict=True)]
+            made = [transducer.chunk_map(t.replace(SPACE, " "), k == 0) if t else (True, "", 0, "") for k, t in zip(numbers, texts, strict=True)]
             sizes = pa.array([len(t.encode()) for t in texts], pa.int64())
             kinds = (pa.bool_(), pa.string(), pa.int64(), pa.string())
             columns = [pa.array([m[k] for m in made], kind) for k, kind in enumerate(kinds)]
@@ -199,7 +199,7 @@ def token_counts(docs: DataFrame, model_file: str, limit: int = TOKEN_LIMIT) ->
         transducer = CountTransducer(model_file)
         for batch in batches:
             whole = batch.column(1).to_pylist()
-            tokens = [transducer.total([transducer.chunk_map(t, True)]) if t else 0 for t in whole]
+            tokens = [transducer.total([transducer.chunk_map(t.replace(SPACE, " "), True)]) if t else 0 for t in whole]
             sizes = pa.array([len(t.encode()) for t in whole], pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0), sizes, pa.array(tokens, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 

@@ -57,6 +57,19 @@ def test_token_counts(spark, pieces_model, monkeypatch):
     assert all(g["over_limit"] == (g["n_tokens"] > 4096) for g in got)
 
 
+ODD = ["▁", "a▁b", "▁▁x hello", "a ▁ b", "x▁", "▁\n x", "\n▁", "\x00\x1f", "\u00a0\u2028x", "<s></s><unk>", "\ufeffé", "e\u0301", "𝔘𝔫𝔦", "ﬁ½²"]
+
+
+def test_token_counts_of_odd_texts(spark, pieces_model, monkeypatch):
+    monkeypatch.setattr(token_counts, "CHUNK", 7)
+    rng = random.Random(10)
+    blocks = [range(0x20, 0x7F), range(0xA0, 0x250), range(0x300, 0x370), range(0x2000, 0x2070), range(0x2570, 0x2590), range(0x3040, 0x30FF), range(0x4E00, 0x4E80), range(0x1F600, 0x1F640)]
+    texts = ODD + ["".join(chr(rng.choice(rng.choice(blocks))) if rng.random() < 0.8 else rng.choice(" ▁\n") for _ in range(rng.randrange(1, 40))) for _ in range(400)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {g["doc_id"]: (g["n_bytes"], g["n_tokens"]) for g in rows(token_counts.token_counts(df, MODEL))}
+    assert got == {k: (len(t.encode()), len(pieces_model.encode(t))) for k, t in enumerate(texts)}
+
+
 def test_token_counts_edges(spark, pieces_model):
     got = rows(token_counts.token_counts(edge_docs(spark), MODEL))
     assert Counter((g["doc_id"], g["n_tokens"]) for g in got) == Counter((r[0], len(pieces_model.encode(r[1] or ""))) for r in EDGE_ROWS)
@@ -340,7 +353,7 @@ def test_pipeline_brute_force(spark):
     steps = dict(corpus_pipeline.STAGES)
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mixing", "packing"]
     kept = steps["language_id"](spark, frame, SF_DIR)
-    judged = {r.doc_id for r in language.languages(frame).where("lang_pred <> 'und' and score >= 0.5").collect()}
+    judged = {r.doc_id for r in language.languages(frame).where("lang_pred <> 'und'").collect()}
     assert {r.doc_id for r in kept.collect()} == judged
     owner = {}
     for i in judged:
@@ -360,6 +373,27 @@ def test_pipeline_brute_force(spark):
     assert Counter(r.doc_id for r in pieces.where("piece = 0").collect()) == copies
 
 
+def test_pipeline_stages_on_empty_and_unidentified_tables(spark):
+    """No rows, and rows without a letter, give no rows at every stage."""
+    for content in ([], [(1, "12 34", "en", "a", 5), (2, None, None, None, None), (2, "", "en", "b", 0)]):
+        docs = spark.createDataFrame(content, "doc_id bigint, text string, lang string, source string, n_chars bigint")
+        for name, step in corpus_pipeline.STAGES:
+            docs = step(spark, docs, SF_DIR)
+            assert docs.count() == 0, name
+
+
+def test_gram_counts_beyond_the_keys():
+    """More distinct letters than a key has places for."""
+    letters = [chr(c) for c in range(0x4E00, 0x4E00 + 20_000)] + [chr(c) for c in range(0x20000, 0x20000 + 50_000)]
+    words = ["".join(letters[k : k + 7]) for k in range(0, len(letters), 7)] + ["".join(letters[:300])]
+    counts = np.arange(1, len(words) + 1)
+    want = Counter()
+    for w, n in zip(words, counts, strict=True):
+        for i in range(len(w) + 1):
+            want[f" {w} "[i : i + 2]] += int(n)
+    assert language.gram_counts(words, counts, 2) == want
+
+
 def test_gram_counts():
     words, counts = ["ab", "é𠮷", "a"], np.array([2, 1, 5])
     for size in range(1, 5):

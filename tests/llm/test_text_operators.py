@@ -156,6 +156,37 @@ def test_near_groups_brute_force(spark, monkeypatch):
     assert all(got[i].n_shingles == len(shingles(t)) for i, t in docs)
 
 
+@pytest.mark.parametrize("n", [500, 1500])
+def test_noisy_copies_brute_force(spark, n):
+    """Copies of one text, most pairs of which are near the threshold but no links: nothing is lost, and links are few."""
+    rng = random.Random(n)
+    base = " ".join(f"w{rng.randrange(500)}" for _ in range(120))
+    docs = list(enumerate(noisy_copies(rng, base, n, 16)))
+    got = {r.doc_id: r.component_id for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == brute_components(docs)
+
+
+def test_blocks_are_whole_over_batches():
+    import pyarrow as pa
+
+    rng = random.Random(2)
+    rows_ = sorted((rng.randrange(4), 0, rng.randrange(2), 0, rng.randrange(99)) for _ in range(200))
+    table_ = pa.table({k: [r[c] for r in rows_] for c, k in enumerate([*near_dedup.BLOCK_KEY, "node"])})
+    for size in (1, 3, 50, 500):
+        tables = list(near_dedup._blocks(table_.to_batches(max_chunksize=size)))
+        assert pa.concat_tables(tables).equals(table_)
+        firsts = [tuple(t.column(c)[0].as_py() for c in near_dedup.BLOCK_KEY) for t in tables]
+        assert firsts == sorted(set(firsts))
+
+
+def test_ids_repeated_with_other_texts(spark):
+    rng = random.Random(9)
+    one, two = (" ".join(f"{c}{rng.randrange(300)}" for _ in range(60)) for c in "xy")
+    docs = [(5, one), (5, two), (7, noisy_copies(rng, one, 1, 1)[0]), (9, noisy_copies(rng, two, 1, 1)[0]), (11, "something else entirely, linked with nothing here")]
+    got = {(r.doc_id, r.component_id) for r in near_dedup.near_groups(spark.createDataFrame(docs, "doc_id bigint, text string")).collect()}
+    assert got == {(5, 5), (7, 5), (9, 5), (11, 11)}
+
+
 def test_bayes_limits_keep_links():
     limits = near_dedup.least_hits()
     rng = np.random.default_rng(3)
