@@ -11,6 +11,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridseries.functions import healpix
 from gridseries.functions.quantiles import broadcast_if_small
 from gridseries.session import cut_lineage
 
@@ -90,11 +91,12 @@ def zonal_means(df: DataFrame, keys: list[str], value: str, bands: int, lat: str
     return df.withColumn("band", band).groupBy(*keys, "band").agg(F.avg(value).alias("value"))
 
 
-def healpix_pool(df: DataFrame, keys: list[str], value: str, nside_hi: int, nside_lo: int, pix: str = "pix", ring_lookup: DataFrame | None = None) -> DataFrame:
-    """Average pooling to a lower resolution.
+def healpix_pool(df: DataFrame, keys: list[str], value: str, nside_hi: int, nside_lo: int, pix: str = "pix", order: str = "nested", ring_lookup: DataFrame | None = None) -> DataFrame:
+    """Average pooling to a lower resolution; the result is numbered in the same order.
 
     A nested parent is the pixel number without its last bits, so no pooling
-    matrix is needed. Ring-ordered maps are translated by a (pix, nested) table.
+    matrix is needed. Ring numbers are turned into nested ones by arithmetic, or
+    by a prepared (pix, nested) table, after which the parents are nested.
     """
     levels = int(round(math.log2(nside_hi / nside_lo)))
     if nside_lo * 2**levels != nside_hi:
@@ -103,8 +105,12 @@ def healpix_pool(df: DataFrame, keys: list[str], value: str, nside_hi: int, nsid
     if ring_lookup is not None:
         df = df.join(broadcast_if_small(ring_lookup), pix)
         nested = F.col("nested")
+    elif order == "ring":
+        df = healpix.to_nested(df, nside_hi, pix, "_nested")
+        nested = F.col("_nested")
     parent = F.shiftright(nested.cast("bigint"), 2 * levels)
-    return df.groupBy(*keys, parent.alias(pix)).agg(F.avg(value).alias(value))
+    pooled = df.groupBy(*keys, parent.alias(pix)).agg(F.avg(value).alias(value))
+    return healpix.to_ring(pooled, nside_lo, pix, pix) if ring_lookup is None and order == "ring" else pooled
 
 
 def coarsen(df: DataFrame, keys: list[str], value: str, step: float = 0.5, factor: int = 2, lat: str = "lat", lon: str = "lon") -> DataFrame:
@@ -346,3 +352,20 @@ def polygon_mask(points: DataFrame, edges: DataFrame, min_cells: int = 1) -> Dat
 def healpix_lookup(grid: DataFrame, lookup: DataFrame, hp_map: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Map value at each (lat, lon) through a prepared (lat, lon) -> pix table."""
     return grid.join(broadcast_if_small(lookup), ["lat", "lon"]).join(hp_map, "pix").select(*keys, "lat", "lon", "pix", value)
+
+
+def healpix_values(points: DataFrame, hp_map: DataFrame, nside: int, keys: list[str], value: str, order: str = "nested", lat: str = "lat", lon: str = "lon") -> DataFrame:
+    """Map value of the pixel that holds each position, without a prepared table; positions off the map have no row."""
+    return healpix.add_pixel(points, nside, lat, lon, "pix", order).join(hp_map, "pix").select(*keys, lat, lon, "pix", value)
+
+
+def healpix_smooth(hp_map: DataFrame, keys: list[str], value: str, nside: int, pix: str = "pix", order: str = "nested") -> DataFrame:
+    """Mean of each pixel of a map and those of its at most eight neighbours that the map holds.
+
+    Every pixel sends its value to its neighbours; pixels that the map lacks are
+    not created.
+    """
+    around = healpix.add_neighbours(hp_map, nside, pix, "_around", order)
+    sent = around.select(*keys, F.col(pix).alias("_from"), value, F.explode(F.array_compact(F.concat(F.array(F.col(pix).cast("bigint")), "_around"))).alias(pix))
+    means = sent.groupBy(*keys, pix).agg(F.avg(value).alias("smooth"), F.count(value).alias("n"), F.max(F.col("_from") == F.col(pix)).alias("_own"))
+    return means.where("_own").drop("_own")

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from gridseries.functions import healpix
 from gridseries.operators import filters as flt
 from gridseries.operators import spatial as sp
+from gridseries.plans.healpix_sql import corners_sql, nested_sql, place_sql, ring_centre_sql
 from gridseries.plans.registry import query
 from gridseries.plans.views import CELLS, HP_MAP, POINTS, REGION_POINT, cells, hp_map, points, table
 
@@ -87,6 +89,18 @@ def agg_40(spark, sf_dir):
     return sp.healpix_pool(hp_map(spark, sf_dir), ["map_id"], "value", 8, 2)
 
 
+RING = f"""ringed AS (SELECT map_id, value, face, ix, iy FROM ({place_sql(f"({ring_centre_sql('hp', 8, 'map_id, pix, value', 'pix')})", 8, "map_id, value", "clat", "clon")})),
+pooled AS (SELECT map_id, face * 4 + ((ix >> 2) & 1) + 2 * ((iy >> 2) & 1) AS nested, avg(value) AS value FROM ringed GROUP BY 1, 2),
+low AS (SELECT pix, face * 4 + (ix & 1) + 2 * (iy & 1) AS nested FROM ({place_sql(f"({ring_centre_sql('(SELECT unnest(range(48)) AS pix)', 2, 'pix', 'pix')})", 2, "pix", "clat", "clon")}))"""
+
+
+@query("agg_40_healpix_pool_ring", "map_id:s pix:i value:d", f"""
+WITH {HP_MAP}, {RING} SELECT map_id, pix, value FROM pooled JOIN low USING (nested)""")
+def agg_40_ring(spark, sf_dir):
+    """Pooling of ring-ordered maps from nside 8 to nside 2, by arithmetic alone."""
+    return sp.healpix_pool(hp_map(spark, sf_dir), ["map_id"], "value", 8, 2, order="ring")
+
+
 @query("agg_41_coarsen", "year:i bi:d bj:d value:d", f"""
 WITH {CELLS}, g AS (SELECT year, lat / 2 AS lat, lon / 2 AS lon, avg(CASE WHEN pr >= 100 THEN tas END) AS v FROM cells GROUP BY 1, 2, 3),
 o AS (SELECT min(lat) AS a0, min(lon) AS o0, max(lat) AS a1, max(lon) AS o1 FROM g),
@@ -276,3 +290,39 @@ def arr_03(spark, sf_dir):
     pix = (F.col("lat") + 60) * 6 + F.floor(F.col("lon") / 60)
     lookup = p.select("lat", "lon", pix.cast("bigint").alias("pix")).distinct()
     return sp.healpix_lookup(p.select("point_id", "lat", "lon"), lookup, hp_map(spark, sf_dir), ["point_id", "map_id"], "value")
+
+
+#: Positions off the borders between pixels, on which integer degrees lie.
+SHIFTED = POINTS + ", moved AS (SELECT point_id, lat * 1.45 + 0.123 AS lat, lon - 180.0457 AS lon FROM points)"
+
+
+def moved(spark, sf_dir):
+    return points(spark, sf_dir).select("point_id", (F.col("lat") * 1.45 + 0.123).alias("lat"), (F.col("lon") - 180.0457).alias("lon"))
+
+
+@query("arr_03_healpix_pixels", "point_id:i nested:i ring:i", f"""
+WITH {SHIFTED}, placed AS ({place_sql("moved", 64, "point_id, lat, lon")}),
+nest AS (SELECT point_id, lat, lon, {nested_sql(64)} AS nested, face, ix, iy FROM placed),
+rings AS (SELECT pix, {nested_sql(64)} AS nested FROM ({place_sql(f"({ring_centre_sql(f'(SELECT unnest(range({12 * 64 * 64})) AS pix)', 64, 'pix', 'pix')})", 64, "pix", "clat", "clon")}))
+SELECT point_id, nested, pix AS ring FROM nest JOIN rings USING (nested)""")
+def arr_03_pixels(spark, sf_dir):
+    """Pixel of every position at nside 64 in both orders, without a lookup table."""
+    nested = healpix.add_pixel(moved(spark, sf_dir), 64, out="nested")
+    return healpix.to_ring(nested, 64, "nested", "ring")
+
+
+@query("arr_03_healpix_values", "point_id:i map_id:s pix:i value:d", f"""
+WITH {SHIFTED}, {HP_MAP}, placed AS ({place_sql("moved", 8, "point_id")}), nest AS (SELECT point_id, {nested_sql(8)} AS pix FROM placed)
+SELECT point_id, map_id, pix, value FROM nest JOIN hp USING (pix)""")
+def arr_03_values(spark, sf_dir):
+    """Nearest map value at every position."""
+    return sp.healpix_values(moved(spark, sf_dir), hp_map(spark, sf_dir), 8, ["point_id", "map_id"], "value")
+
+
+@query("arr_03_healpix_neighbours", "map_id:s pix:i smooth:d n:i", f"""
+WITH {HP_MAP}, corners AS MATERIALIZED ({corners_sql(8)}),
+near AS (SELECT DISTINCT a.pix, b.pix AS other FROM corners a JOIN corners b USING (corner))
+SELECT map_id, near.pix, avg(o.value) AS smooth, count(o.value) AS n FROM hp JOIN near USING (pix) JOIN hp o USING (map_id) WHERE o.pix = near.other GROUP BY 1, 2""")
+def arr_03_neighbours(spark, sf_dir):
+    """Maps smoothed over the pixels that touch each pixel."""
+    return sp.healpix_smooth(hp_map(spark, sf_dir), ["map_id"], "value", 8)
