@@ -21,6 +21,7 @@ from gridseries.sources import readers as rd
 from gridseries.sources import store as st
 from gridseries.session import scratch_folder
 from gridseries.streaming import ingest as ig
+from gridseries.streaming import state
 
 
 # --- scans ---------------------------------------------------------------------------
@@ -532,6 +533,72 @@ def str_s2(spark, sf_dir):
     return latest.withColumn("start", F.date_format("start", "yyyy-MM-dd"))
 
 
+#: Slices of the events' time, the slices a row may be late, and the phases in which slices arrive.
+SLICES, LATE_SLICES, PHASES = 8, 5, 4
+
+FEED = f"""span AS (SELECT epoch_us(min(ts)) AS lo, (epoch_us(max(ts)) - epoch_us(min(ts))) // {SLICES} + 1 AS width FROM events),
+sliced AS (SELECT events.*, (epoch_us(ts) - lo) // width AS slice FROM events, span),
+feed AS (SELECT *, CASE WHEN event_id % 50 = 7 AND slice <= 1 THEN {PHASES - 1} ELSE least((slice + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) // 3, {PHASES - 2}) END AS phase FROM sliced),
+ontime AS (SELECT * FROM feed WHERE phase < {PHASES - 1})"""
+
+
+def feed_in_phases(spark, sf_dir, run, files: int):
+    """Give ``run(stream, delay, width in ms)`` the events in phases, each in several files and out of order.
+
+    Every fifth event comes a slice late, which the delay allows; some of the
+    first slices come at the very end, beyond it. Each phase restarts the job
+    from its checkpoint.
+    """
+    events = table(spark, sf_dir, "events")
+    events = events.withColumn("ts", F.col("ts").cast("timestamp"))
+    at = F.unix_micros("ts")
+    lo, hi = events.agg(F.min(at), F.max(at)).first()
+    width = ((hi or 0) - (lo or 0)) // SLICES + 1
+    piece = F.floor((at - F.lit(lo or 0)) / width)
+    late = (F.col("event_id") % 50 == 7) & (piece <= 1)
+    phase = F.when(late, PHASES - 1).otherwise(F.least(F.floor((piece + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)) / 3), F.lit(PHASES - 2)))
+    folder = scratch_folder(spark, "feed")
+    for k in range(PHASES):
+        events.where(phase == k).repartition(4, F.xxhash64("event_id")).write.mode("append").parquet(folder)
+        stream = ig.metric_stream(spark, folder, events.schema, files)
+        run(stream, f"{LATE_SLICES * width // 1000} milliseconds", width // 1000)
+
+
+def standing(spark, sf_dir, keep: str, files: int):
+    base = scratch_folder(spark, "stream")
+
+    def run(stream, delay, width_ms):
+        rows = st.with_identity(metric_rows(spark, sf_dir, stream)).select("row_key", "value", "event_id", F.col("timestamp").alias("ts"))
+        state.run_available(state.standing_rows(rows, "row_key", "event_id", "ts", delay, keep, 100 * width_ms), f"{base}/rows", f"{base}/checkpoint")
+
+    feed_in_phases(spark, sf_dir, run, files)
+    return state.standing_table(spark, f"{base}/rows", "row_key", "event_id", keep)
+
+
+@query("str_s1_last_version_stands", "row_key:s value:d event_id:i", f"""
+WITH {KEYED}, {FEED} SELECT row_key, k.value, k.event_id FROM keyed k JOIN ontime o ON o.event_id = k.event_id QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY k.event_id DESC) = 1""")
+def str_s1_last(spark, sf_dir):
+    """Largest version of every key, kept as state over batches, restarts and rows that come late."""
+    return standing(spark, sf_dir, "last", 2)
+
+
+@query("str_s1_first_batch_stands", "row_key:s value:d event_id:i", f"""
+WITH {KEYED}, {FEED} SELECT row_key, k.value, k.event_id FROM keyed k JOIN ontime o ON o.event_id = k.event_id QUALIFY row_number() OVER (PARTITION BY row_key ORDER BY phase, k.event_id) = 1""")
+def str_s1_first(spark, sf_dir):
+    """Row of every key that came first, kept as state; of one batch the smallest version."""
+    return standing(spark, sf_dir, "first", 1000)
+
+
+@query("str_s2_sums_without_late_rows", "start:s event_type:s total:d n:i", f"""
+WITH {FEED} SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS start, event_type, sum(value) AS total, count(value) AS n FROM ontime GROUP BY 1, 2""")
+def str_s2_late(spark, sf_dir):
+    """Daily sums as state over restarts; rows beyond the watermark are dropped."""
+    base = scratch_folder(spark, "stream")
+    feed_in_phases(spark, sf_dir, lambda stream, delay, _: state.run_available(ig.running_sums(stream, ["event_type"], "value", delay=delay), f"{base}/sums", f"{base}/checkpoint"), 2)
+    rows = spark.read.option("basePath", f"{base}/sums").parquet(f"{base}/sums")
+    return st.deduplicate(rows, ["start", "event_type"], ["batch"], "last").withColumn("start", F.date_format("start", "yyyy-MM-dd"))
+
+
 @query("str_s3_pending_tasks", "user_id:i event_type:s", """
 SELECT DISTINCT user_id, event_type FROM events x WHERE NOT EXISTS (SELECT 1 FROM events y WHERE y.user_id = x.user_id AND y.event_type = x.event_type AND y.value > 60)""")
 def str_s3(spark, sf_dir):
