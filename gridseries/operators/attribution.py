@@ -2,15 +2,22 @@
 
 from __future__ import annotations
 
+from hashlib import sha256
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from gridseries.functions.hashing import hash_mod, key_text
-from gridseries.functions.quantiles import broadcast_if_small, percentiles
+from gridseries.functions.hashing import key_text
+from gridseries.functions.quantiles import percentiles
 
 REPLICATES = 10_000
 BLOCK_YEARS = 5
 SEED = 20260711
+#: Replicates of a group that a task computes at a time.
+RANGE = 1000
 INF = float("inf")
 
 
@@ -41,33 +48,54 @@ def event_blocks(events: DataFrame, groups: list[str], block_years: int = BLOCK_
     )
 
 
+def draw(key: bytes, n: int) -> int:
+    """``hash_mod`` of a key: the first four bytes of its SHA-256 modulo ``n``."""
+    return int.from_bytes(sha256(key).digest()[:4], "big") % n
+
+
+def replicate_shares(prefix: bytes, reps: range, full: np.ndarray, tail: np.ndarray, block_years: int) -> np.ndarray:
+    """Event share of each replicate; ``full`` and ``tail`` hold the events of blocks by member and start."""
+    members, years = full.shape
+    n_blocks = -(-years // block_years)
+    picked, starts = [], []
+    for rep in reps:
+        for slot in range(members):
+            key = b"%b|%d|%d" % (prefix, rep, slot)
+            picked.append(draw(key, members))
+            starts += [draw(b"%b|%d" % (key, block), years) for block in range(n_blocks)]
+    member = np.repeat(np.array(picked), n_blocks).reshape(-1, n_blocks)
+    start = np.array(starts).reshape(-1, n_blocks)
+    events = full[member[:, :-1], start[:, :-1]].sum(axis=1) + tail[member[:, -1], start[:, -1]]
+    return events.reshape(len(reps), members).sum(axis=1) / (members * years)
+
+
 def bootstrap(events: DataFrame, groups: list[str], replicates: int = REPLICATES, seed=SEED, block_years: int = BLOCK_YEARS) -> DataFrame:
     """(groups, rep, p): event share of each replicate.
 
     Every member slot draws a member and ceil(years/block) block starts, the
-    last block cut to the series length. Replicates are spread over the cluster
-    before slots and blocks are unfolded; the block counts are the only join.
+    last block cut to the series length. Replicates are dealt out as ranges: a
+    task gets a group's block counts (members x years) and a range, and returns
+    one row per replicate.
     """
-    blocks = event_blocks(events, groups, block_years)
-    per_member = events.groupBy(*groups, "member").agg(F.count(F.lit(1)).alias("_n"))
-    sizes = per_member.groupBy(*groups).agg(
-        F.count(F.lit(1)).alias("_m"), F.max("_n").cast("int").alias("_y"), F.min("_n").cast("int").alias("_y0")
-    )
-    uneven = F.when(F.col("_y") != F.col("_y0"), F.raise_error(F.lit("members differ in length")).cast("int")).otherwise(F.col("_y"))
-    sizes = sizes.withColumn("_y", uneven)
-    reps = sizes.withColumn("rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))).repartition(*groups, "rep")
-    g = [F.col(c) for c in groups]
-    slots = reps.withColumn("slot", F.explode(F.sequence(F.lit(0), (F.col("_m") - 1).cast("int"))))
-    slots = slots.withColumn("member_index", hash_mod(key_text(seed, *g, F.col("rep"), F.col("slot")), F.col("_m")))
-    n_blocks = F.ceil(F.col("_y") / block_years).cast("int")
-    drawn = slots.withColumn("block", F.explode(F.sequence(F.lit(0), n_blocks - 1)))
-    drawn = drawn.withColumns({
-        "start": hash_mod(key_text(seed, *g, F.col("rep"), F.col("slot"), F.col("block")), F.col("_y")).cast("int"),
-        "_last": F.col("block") == n_blocks - 1,
-    })
-    hit = drawn.join(broadcast_if_small(blocks.select(*groups, "member_index", "start", "full", "tail")), [*groups, "member_index", "start"])
-    count = F.when(F.col("_last"), F.col("tail")).otherwise(F.col("full"))
-    return hit.groupBy(*groups, "rep").agg((F.sum(count) / F.max(F.col("_m") * F.col("_y"))).alias("p"))
+    blocks = event_blocks(events, groups, block_years).withColumn("_prefix", key_text(seed, *[F.col(c) for c in groups]))
+    ranges = F.sequence(F.lit(0), F.lit((replicates - 1) // RANGE))
+    dealt = blocks.withColumn("_range", F.explode(ranges))
+    schema = T.StructType([*(events.schema[c] for c in groups), T.StructField("rep", T.IntegerType()), T.StructField("p", T.DoubleType())])
+
+    def shares(pdf: pd.DataFrame) -> pd.DataFrame:
+        members, years = int(pdf["n_members"].iloc[0]), int(pdf["n_years"].max())
+        if (pdf["n_years"] != years).any():
+            raise ValueError("members differ in length")
+        tables = np.zeros((2, members, years), np.int64)
+        tables[:, pdf["member_index"], pdf["start"]] = pdf[["full", "tail"]].to_numpy().T
+        begin = int(pdf["_range"].iloc[0]) * RANGE
+        reps = range(begin + 1, min(begin + RANGE, replicates) + 1)
+        out = pd.DataFrame({"rep": np.arange(reps.start, reps.stop, dtype=np.int32), "p": replicate_shares(pdf["_prefix"].iloc[0].encode(), reps, *tables, block_years)})
+        for k, c in enumerate(groups):
+            out.insert(k, c, pdf[c].iloc[0])
+        return out
+
+    return dealt.groupBy(*groups, "_range").applyInPandas(shares, schema)
 
 
 def probability_rows(
