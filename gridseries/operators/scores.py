@@ -6,9 +6,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridseries.functions.quantiles import broadcast_if_small, grouped_percentiles, percentiles
 from gridseries.operators.timeseries import autocorrelation, detrend, lag_correlation
+from gridseries.session import cut_lineage
 
 BLOCK = 256
 
@@ -60,14 +62,82 @@ def mean_pair_distance(vectors: DataFrame, keys: list[str], id_col: str, vec: st
     return agg.select(*keys, "n_pairs", F.when(F.col("n_pairs") > 0, F.col("_s") / F.col("n_pairs")).otherwise(0.0).alias("mean_distance"))
 
 
-def pair_distances(vectors: DataFrame, keys: list[str], id_col: str, vec: str, block: int = BLOCK) -> DataFrame:
-    """Distances of all unordered pairs of model vectors (one vector per model)."""
-    @F.pandas_udf("array<double>")
-    def listed(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series) -> pd.Series:
-        return pd.Series([_pair_distances(p, q, n, s).tolist() for p, q, n, s in zip(a, b, length, same, strict=True)])
+#: Bins of a pass over implicit pairs, and values of an interval that are looked at one by one.
+PAIR_BINS, PAIR_VALUES = 1024, 4096
 
-    pairs = _block_pairs(vectors, keys, id_col, vec, block)
-    return pairs.select(*keys, F.explode(listed("_m", "_m2", "_len", F.col("_b") == F.col("_other"))).alias("distance"))
+COUNTED = T.ArrayType(T.StructType([T.StructField("target", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
+
+
+def bin_counts(d: np.ndarray, lo: float, hi: float, bins: int) -> list[tuple[int, int, float, float]]:
+    """(bin, count, smallest, largest) of the values in [lo, hi], for bins that hold any."""
+    d = np.sort(d[(d >= lo) & (d <= hi)])
+    if not len(d):
+        return []
+    at = np.minimum(((d - lo) * (bins / (hi - lo))).astype(np.int64), bins - 1) if hi > lo else np.zeros(len(d), np.int64)
+    begins = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+    ends = np.append(begins[1:], len(d))
+    return list(zip(at[begins].tolist(), (ends - begins).tolist(), d[begins].tolist(), d[ends - 1].tolist(), strict=True))
+
+
+def pair_distance_median(vectors: DataFrame, keys: list[str], label: list[str], id_col: str, vec: str, out: str, block: int = BLOCK, bins: int = PAIR_BINS, values: int = PAIR_VALUES) -> DataFrame:
+    """label, ``out``: median of the positive distances of all unordered pairs within ``keys``, by ``label`` (some of the keys).
+
+    No pair becomes a row. A pass counts, in tasks that hold a pair of blocks, the
+    distances of an interval in bins; the bin that holds the wanted rank, cut to
+    its smallest and largest value, is the next interval, until it holds few
+    values, which are then looked at. Labels without a positive distance are
+    absent.
+    """
+    pairs = cut_lineage(_block_pairs(vectors, keys, id_col, vec, block))
+    same = F.col("_b") == F.col("_other")
+
+    @F.pandas_udf("n long, lo double, hi double")
+    def extent(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series) -> pd.DataFrame:
+        found = [d[d > 0] for d in (_pair_distances(*row) for row in zip(a, b, length, same, strict=True))]
+        return pd.DataFrame({"n": [len(d) for d in found], "lo": [d.min() if len(d) else None for d in found], "hi": [d.max() if len(d) else None for d in found]})
+
+    @F.pandas_udf(COUNTED)
+    def counted(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series, targets: pd.Series) -> pd.Series:
+        rows = []
+        for p, q, n, s, wanted in zip(a, b, length, same, targets, strict=True):
+            d = _pair_distances(p, q, n, s)
+            d = d[d > 0]
+            rows.append([{"target": t["target"], "bin": k, "n": c, "lo": x, "hi": y} for t in wanted for k, c, x, y in bin_counts(d, t["lo"], t["hi"], bins)])
+        return pd.Series(rows)
+
+    @F.pandas_udf("array<struct<target:int, value:double>>")
+    def listed(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series, targets: pd.Series) -> pd.Series:
+        rows = []
+        for p, q, n, s, wanted in zip(a, b, length, same, targets, strict=True):
+            d = _pair_distances(p, q, n, s)
+            rows.append([{"target": t["target"], "value": v} for t in wanted for v in d[(d >= t["lo"]) & (d <= t["hi"]) & (d > 0)].tolist()])
+        return pd.Series(rows)
+
+    def by_label(left: DataFrame, right: DataFrame) -> DataFrame:
+        return left.join(broadcast_if_small(right), label) if label else left.join(F.broadcast(right))  # one row without a label
+
+    sizes = pairs.select(*label, extent("_m", "_m2", "_len", same).alias("_e")).groupBy(*label).agg(F.sum("_e.n").alias("_n"), F.min("_e.lo").alias("lo"), F.max("_e.hi").alias("hi")).where("_n > 0")
+    ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
+    # A target is a rank (from 0) and the interval that holds it: values below it, and values in it.
+    state = sizes.select(*label, F.posexplode(ranks).alias("target", "rank"), "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("_n").alias("inside"))
+    state = cut_lineage(state)
+    while not state.where((F.col("inside") > values) & (F.col("lo") < F.col("hi"))).isEmpty():
+        wide = state.groupBy(*label).agg(F.collect_list(F.struct("target", "lo", "hi")).alias("_t"))
+        hist = by_label(pairs, wide).select(*label, F.explode(counted("_m", "_m2", "_len", same, "_t")).alias("_c")).select(*label, "_c.*")
+        hist = hist.groupBy(*label, "target", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("blo"), F.max("hi").alias("bhi"))
+        upto = Window.partitionBy(*label, "target").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows
+        hist = hist.withColumn("earlier", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+        joined = state.join(hist, [*label, "target"])
+        place = F.col("rank") - F.col("below")
+        held = joined.where((place >= F.col("earlier")) & (place < F.col("earlier") + F.col("n")))
+        state = cut_lineage(held.select(*label, "target", "rank", F.col("blo").alias("lo"), F.col("bhi").alias("hi"), (F.col("below") + F.col("earlier")).alias("below"), F.col("n").alias("inside")))
+    fixed = state.where("lo = hi").select(*label, "target", F.col("lo").alias("value"))
+    open_ = state.where("lo < hi")
+    wide = open_.groupBy(*label).agg(F.collect_list(F.struct("target", "lo", "hi")).alias("_t"))
+    few = by_label(pairs, wide).select(*label, F.explode(listed("_m", "_m2", "_len", same, "_t")).alias("_v")).select(*label, "_v.target", "_v.value")
+    ordered = few.withColumn("_k", F.row_number().over(Window.partitionBy(*label, "target").orderBy("value")) - 1)  # at most ``values`` rows
+    picked = ordered.join(open_, [*label, "target"]).where(F.col("_k") == F.col("rank") - F.col("below")).select(*label, "target", "value")
+    return fixed.unionByName(picked).groupBy(*label).agg(F.avg("value").alias(out))
 
 
 def energy_score(draws: DataFrame, truth: DataFrame, keys: list[str], id_col: str, vec: str) -> DataFrame:
@@ -84,8 +154,7 @@ def energy_score(draws: DataFrame, truth: DataFrame, keys: list[str], id_col: st
 
 def normalised_scores(es: DataFrame, truth: DataFrame, scenario: list[str], label: list[str], model: str, vec: str) -> DataFrame:
     """S = ES / median inter-model distance of the label; positive ones only."""
-    d = pair_distances(truth, [*scenario, *label], model, vec).where("distance > 0")
-    ref = grouped_percentiles(d, label, "distance", [0.5], ["ref"]).drop("n")
+    ref = pair_distance_median(truth, [*scenario, *label], label, model, vec, "ref")
     joined = es.join(broadcast_if_small(ref), label) if label else es.join(F.broadcast(ref))  # one row without a label
     return joined.where("es > 0 AND ref > 0").withColumn("s", F.col("es") / F.col("ref"))
 
