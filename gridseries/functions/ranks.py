@@ -11,13 +11,17 @@ from gridseries.session import cut_lineage
 def row_numbers(df: DataFrame, group: list[str], order: list[str], index: str, size: str, parts: int | None = None) -> DataFrame:
     """Add the zero-based index in the group and the group size.
 
-    Rows are range-partitioned by group and order, from sampled boundaries, so a
-    hot group spreads over many tasks whatever the type of its order columns.
-    The index is the group's rows in earlier partitions plus the rank within the
-    own one. Nulls come first in the order, and null is a group of its own.
+    Rows are range-partitioned by group, order and a hash of the row, from sampled
+    boundaries, so a hot group spreads over many tasks whatever the type of its
+    order columns, and so does a hot value within it. Equal rows are told apart by
+    the partition they come from. The index is the group's rows in earlier
+    partitions plus the rank within the own one; rows of equal order are numbered
+    in any way. Nulls come first in the order, and null is a group of its own.
     """
     parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = cut_lineage(df.repartitionByRange(parts, *group, *order).withColumn("_part", F.spark_partition_id()))
+    hashed = [f.name for f in df.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = df.repartitionByRange(parts, *group, *order, F.xxhash64(*hashed, F.spark_partition_id()))
+    ranged = cut_lineage(spread.withColumn("_part", F.spark_partition_id()))
     earlier = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     counts = ranged.groupBy(*group, "_part").agg(F.count(F.lit(1)).alias("_c")).withColumns({
         "_before": F.coalesce(F.sum("_c").over(earlier), F.lit(0)), size: F.sum("_c").over(Window.partitionBy(*group)),

@@ -66,6 +66,13 @@ def member_order(member: str = "member_id") -> list[Column]:
     return [member_number(F.col(member)).asc(), F.col(member).asc()]
 
 
+def ordered_members(members: DataFrame, group: list[str]) -> DataFrame:
+    """Members with their rank (from 1) in the natural order of their names; groups of any size."""
+    keyed = members.withColumn("_number", member_number(F.col("member_id")))
+    ranked = row_numbers(keyed, group, ["_number", "member_id"], "rank", "_size")
+    return ranked.withColumn("rank", F.col("rank") + 1).select(*members.columns, "rank")
+
+
 def first_members(df: DataFrame, group: list[str], n: int, order: list[Column] | None = None) -> DataFrame:
     """First n rows per group in natural member order."""
     w = Window.partitionBy(*group).orderBy(*(order or member_order()))
@@ -236,6 +243,20 @@ def availability(catalogue: DataFrame, wanted: DataFrame, triplets: DataFrame, v
     return triplets.join(wide, key, "left")
 
 
+def availability_rows(catalogue: DataFrame, wanted: DataFrame, triplets: DataFrame) -> DataFrame:
+    """One row per triplet, wanted variable and path, with the number of paths of the variable and of the triplet.
+
+    As ``availability``, but no list grows with a triplet's files; a triplet
+    without a wanted file has one row without variable and path.
+    """
+    key = ["source_id", "experiment_id", "member_id"]
+    hit = catalogue.join(broadcast_if_small(wanted), ["table_id", "variable"]).select(*key, "variable", "path")
+    totals = hit.groupBy(*key, "variable").agg(F.count(F.lit(1)).alias("n_variable"))
+    whole = totals.groupBy(*key).agg(F.sum("n_variable").alias("n_triplet"))
+    counted = hit.join(totals, [*key, "variable"]).join(whole, key)
+    return triplets.join(counted, key, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("n_variable", "n_triplet")})
+
+
 def resolve_baselines(runs: DataFrame, catalogue: DataFrame, mode: str, experiment: str) -> tuple[DataFrame, DataFrame]:
     """(resolved, dropped) baseline per run.
 

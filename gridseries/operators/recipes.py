@@ -7,6 +7,7 @@ are looked up by name, and users add their own with :func:`recipe`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from importlib import import_module
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,16 +25,61 @@ from gridseries.operators.spectral import power_udf
 from gridseries.session import cut_lineage
 
 RECIPES: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {}
+#: By recipe: the records that a table of jobs will give, without running it.
+EXPECTED: dict[str, Callable[[DataFrame, dict], DataFrame]] = {}
 
 
-def recipe(name: str):
+def recipe(name: str, expected_records: Callable[[DataFrame, dict], DataFrame] | None = None):
+    """Register a recipe: its scores and, if given, the records that it is expected to give for jobs."""
     def add(fn):
         RECIPES[name] = fn
+        if expected_records is not None:
+            EXPECTED[name] = expected_records
         return fn
 
     return add
 
 
+def load_plugin(module: str) -> list[str]:
+    """Import a module that registers recipes; the names it has added."""
+    before = set(RECIPES)
+    import_module(module)
+    return sorted(set(RECIPES) - before)
+
+
+def open_jobs(name: str, jobs: DataFrame, stored: DataFrame, job: list[str], record: list[str], cfg: dict) -> DataFrame:
+    """The jobs of which an expected record is not stored; jobs that expect none are left out.
+
+    ``expected_records`` gives (job, record) for the jobs, ``stored`` holds such
+    keys; nothing of the recipe itself runs. Keys compare as text, null like null.
+    """
+    if name not in EXPECTED:
+        raise KeyError(f"recipe {name!r} does not say which records it gives; known: {sorted(EXPECTED)}")
+    keys = [*job, *record]
+    have = stored.select(*[F.col(c).cast("string").alias(f"_{c}") for c in keys]).distinct()
+    same = F.lit(True)
+    for c in keys:
+        same &= F.col(c).cast("string").eqNullSafe(F.col(f"_{c}"))
+    missing = EXPECTED[name](jobs, cfg).join(have, same, "left_anti").select(*[F.col(c).alias(f"_{c}") for c in job]).distinct()
+    wanted = F.lit(True)
+    for c in job:
+        wanted &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return jobs.join(missing, wanted, "left_semi")
+
+
+def run_open_jobs(name: str, jobs: DataFrame, a: DataFrame, b: DataFrame, stored: DataFrame, job: list[str], record: list[str], cfg: dict) -> DataFrame:
+    """Records of the open jobs only: the recipe's inputs are cut to them before it runs.
+
+    ``a`` and ``b`` carry the job columns. Rows of records that are stored
+    already, of jobs that lack others, are not given again.
+    """
+    open_ = open_jobs(name, jobs, stored, job, record, cfg).select(*job).distinct()
+    mine = lambda df: df.join(broadcast_if_small(open_), job, "left_semi")
+    fresh = run_recipe(name, mine(a), mine(b), cfg)
+    have = stored.select(*job, *record).distinct()
+    return fresh.join(have, [*job, *record], "left_anti")
+
+
 def run_recipe(name: str, a: DataFrame, b: DataFrame, cfg: dict) -> DataFrame:
     if name not in RECIPES:
         raise KeyError(f"unknown recipe {name!r}; known: {sorted(RECIPES)}")
@@ -234,4 +280,6 @@ def fit_series(df: DataFrame, series: list[str], fn, schema: str) -> DataFrame:
     return df.groupBy(*series).applyInPandas(fn, schema)
 
 
-__all__ = ["RECIPES", "index_comparison", "member_index", "member_series", "recipe", "run_recipe", "shared_index", "summarise_protocol"]
+__all__ = [
+    "EXPECTED", "RECIPES", "index_comparison", "load_plugin", "member_index", "member_series", "open_jobs", "recipe", "run_open_jobs", "run_recipe", "shared_index", "summarise_protocol",
+]

@@ -211,6 +211,18 @@ def join_07(spark, sf_dir):
     return out.withColumns({"pr": blank("psl"), "tas": blank("tas")})
 
 
+@query("join_07_availability_rows", "source_id:s experiment_id:s member_id:s variable:s path:s n_variable:i n_triplet:i", f"""
+WITH {CATALOGUE}, v AS (SELECT source_id, experiment_id, member_id, path, unnest(string_split(variables, '-')) AS variable FROM cat), t AS (SELECT DISTINCT source_id, experiment_id, member_id FROM cat),
+h AS (SELECT *, count(*) OVER (PARTITION BY source_id, experiment_id, member_id, variable) AS nv, count(*) OVER (PARTITION BY source_id, experiment_id, member_id) AS nt FROM v WHERE variable IN ('psl', 'tas'))
+SELECT source_id, experiment_id, member_id, variable, path, coalesce(nv, 0) AS n_variable, coalesce(nt, 0) AS n_triplet FROM t LEFT JOIN h USING (source_id, experiment_id, member_id)""")
+def join_07_rows(spark, sf_dir):
+    """Files per variable for every triplet, one row each with counted totals."""
+    c = catalogue(spark, sf_dir)
+    v = c.select(*KEY3, "path", F.lit("Amon").alias("table_id"), F.explode(F.split("variables", "-")).alias("variable"))
+    wanted = v.select("table_id", "variable").distinct().where("variable IN ('psl', 'tas')")
+    return ct.availability_rows(v, wanted, c.select(*KEY3).distinct())
+
+
 @query("join_14_common_years", "source_id:s member_id:i year:i value:d", f"""
 WITH {ENSEMBLE}, s AS (SELECT * FROM ens WHERE experiment_id = 'F' AND NOT (member_id = 3 AND year = 1999)),
 g AS (SELECT source_id, year FROM s GROUP BY 1, 2 HAVING count(DISTINCT member_id) = (SELECT count(DISTINCT member_id) FROM s x WHERE x.source_id = s.source_id)) SELECT s.* FROM s SEMI JOIN g USING (source_id, year)""")
@@ -396,10 +408,7 @@ def str_03(spark, sf_dir):
 WITH {CATALOGUE}, m AS (SELECT DISTINCT source_id, member_id FROM cat) SELECT source_id, member_id, row_number() OVER (PARTITION BY source_id ORDER BY CAST(regexp_extract(member_id, 'r([0-9]+)', 1) AS INT), member_id) AS rank FROM m""")
 def srt_01(spark, sf_dir):
     """Natural order of member names."""
-    from pyspark.sql import Window
-
-    m = catalogue(spark, sf_dir).select("source_id", "member_id").distinct()
-    return m.withColumn("rank", F.row_number().over(Window.partitionBy("source_id").orderBy(*ct.member_order())))
+    return ct.ordered_members(catalogue(spark, sf_dir).select("source_id", "member_id").distinct(), ["source_id"])
 
 
 @query("srt_02_first_members", "source_id:s experiment_id:s member_id:s", f"""

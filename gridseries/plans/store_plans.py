@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
@@ -442,6 +443,50 @@ def udf_01(spark, sf_dir):
     return rc.run_recipe("YearAgo", c, c, {"lag": 12})
 
 
+def gap_records(jobs, cfg):
+    return jobs.select("source_id", F.explode(F.array(*[F.lit(m) for m in cfg["metrics"]])).alias("metrictype"))
+
+
+def gap_scores(a, b, cfg):
+    """Gaps between the annual means of two experiments, by source."""
+    left, right = (df.groupBy("source_id", "year").agg(F.avg("value").alias(name)) for df, name in ((a, "x"), (b, "y")))
+    gap = left.join(right, ["source_id", "year"]).withColumn("gap", F.col("x") - F.col("y"))
+    scores = gap.groupBy("source_id").agg(F.avg("gap").alias("mean_gap"), F.max("gap").alias("max_gap"))
+    return scores.unpivot("source_id", cfg["metrics"], "metrictype", "value")
+
+
+@query("udf_01_open_jobs", "source_id:s metrictype:s value:d", f"""
+WITH {ENSEMBLE}, y AS (SELECT source_id, year, avg(value) FILTER (WHERE experiment_id = 'F') AS x, avg(value) FILTER (WHERE experiment_id = 'O') AS y FROM ens GROUP BY 1, 2),
+g AS (SELECT source_id, avg(x - y) AS mean_gap, max(x - y) AS max_gap FROM y WHERE x IS NOT NULL AND y IS NOT NULL GROUP BY 1),
+r AS (SELECT source_id, 'mean_gap' AS metrictype, mean_gap AS value FROM g UNION ALL SELECT source_id, 'max_gap', max_gap FROM g)
+SELECT * FROM r WHERE NOT (source_id < '3' OR source_id < '4' AND metrictype = 'max_gap')""")
+def udf_01_open(spark, sf_dir):
+    """A recipe that states its records: jobs stored whole don't run, a job stored in part gives what it lacks."""
+    rc.recipe("Gap", gap_records)(gap_scores)
+    e = ensemble_year(spark, sf_dir)
+    jobs, cfg = e.select("source_id").distinct(), {"metrics": ["mean_gap", "max_gap"]}
+    stored = gap_records(jobs, cfg).where("source_id < '3' OR source_id < '4' AND metrictype = 'max_gap'")
+    return rc.run_open_jobs("Gap", jobs, e.where("experiment_id = 'F'"), e.where("experiment_id = 'O'"), stored, ["source_id"], ["metrictype"], cfg)
+
+
+def theil_sen(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Median slope over all pairs of years of one series."""
+    years, values = pdf["year"].to_numpy(float), pdf["v"].to_numpy(float)
+    i, j = np.triu_indices(len(years), 1)
+    slopes = (values[j] - values[i]) / (years[j] - years[i])
+    return pd.DataFrame({"point_id": pdf["point_id"].iloc[:1], "slope": [np.median(slopes) if len(slopes) else np.nan], "n": [len(slopes)]})
+
+
+@query("udf_02_theil_sen", "point_id:i slope:d n:i", f"""
+WITH {CELLS}, a AS (SELECT point_id, year, avg(pr) AS v FROM cells GROUP BY 1, 2)
+SELECT a.point_id, quantile_cont((b.v - a.v) / (b.year - a.year), 0.5) AS slope, count(b.v) AS n FROM a LEFT JOIN a b ON a.point_id = b.point_id AND a.year < b.year GROUP BY 1""")
+def udf_02_theil_sen(spark, sf_dir):
+    """A robust trend that Spark has no function for, fitted to every point's annual series."""
+    a = cells(spark, sf_dir).groupBy("point_id", "year").agg(F.avg("pr").alias("v"))
+    fitted = rc.fit_series(a, ["point_id"], theil_sen, "point_id bigint, slope double, n bigint")
+    return fitted.withColumn("slope", F.when(~F.isnan("slope"), F.col("slope")))
+
+
 @query("udf_02_series_function", "point_id:i month:i year:i rank:d", f"""
 WITH {CELLS} SELECT point_id, month, year, rank() OVER (PARTITION BY point_id, month ORDER BY pr) + (count(*) OVER (PARTITION BY point_id, month, pr) - 1) / 2 AS rank FROM cells""")
 def udf_02(spark, sf_dir):

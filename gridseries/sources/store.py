@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridseries.functions.hashing import hash32, key_text
+from gridseries.session import cut_lineage
 
 # Columns that identify a metric row, and the metric table schema
 KEY_COLUMNS = [
@@ -106,8 +107,12 @@ def plotted_sample(df: DataFrame, key: list[str], groups: list[str], modulo: int
 
 
 def write_summary_csv(df: DataFrame, path: str) -> None:
-    """Small report as one CSV file with sorted columns."""
-    df.select(*sorted(df.columns)).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+    """Small report as one CSV file with sorted columns.
+
+    The report is computed and staged first, so that only its rows, not their
+    computation, pass through the one task that writes.
+    """
+    cut_lineage(df.select(*sorted(df.columns))).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
 def normalise_record_ids(df: DataFrame) -> DataFrame:
