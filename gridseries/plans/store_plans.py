@@ -98,6 +98,50 @@ def src_07(spark, sf_dir):
     return rd.payload_rows(parsed, ["source_id"])
 
 
+COUNTERS = ["rows_seen", "rows_dropped_malformed", "rows_excluded_scenario", "rows_after_filter"]
+
+
+def written_once(df, name: str):
+    """``df`` written to the shared folder and read back; what it observes is known then."""
+    path = scratch_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@query("src_06_files_with_counters", "model:s variable:s n:i obs:d rows_seen:i rows_dropped_malformed:i rows_excluded_scenario:i rows_after_filter:i", f"""
+WITH {DIRTY}, c AS (SELECT count(*) AS rows_seen, count(*) FILTER (bad) AS rows_dropped_malformed, count(*) FILTER (NOT bad AND scenario = 'F') AS rows_excluded_scenario, count(*) FILTER (NOT bad AND scenario <> 'F') AS rows_after_filter FROM dt),
+g AS (SELECT model, variable, count(*) AS n, sum(obs) AS obs FROM dt WHERE NOT bad AND scenario <> 'F' GROUP BY 1, 2) SELECT * FROM g, c""")
+def src_06_files(spark, sf_dir):
+    """CSV files written, read as text and cleaned; the counters are observed by the scan that cleans."""
+    path = scratch_folder(spark, "predictions")
+    dirty(spark, sf_dir).write.option("header", True).csv(path)
+    clean, seen = rd.observed_predictions(rd.read_text_csv(spark, path, rd.PREDICTION_TEXT), ["F"])
+    stored = written_once(clean, "clean-predictions")
+    counts = seen.get
+    return stored.groupBy("model", "variable").agg(F.count(F.lit(1)).alias("n"), F.sum("obs").alias("obs")).withColumns({c: F.lit(counts[c]) for c in COUNTERS})
+
+
+@query("src_07_payload_files", "variable:s scenario:s year:i p05:d p50:d p95:d reference:d payloads_seen:i payloads_dropped:i", f"""
+WITH {ENSEMBLE}, y AS (SELECT experiment_id AS scenario, source_id, year, min(value) AS p05, avg(value) AS p50, max(value) AS p95, sum(value) AS ref FROM ens GROUP BY 1, 2, 3),
+s AS (SELECT count(DISTINCT (scenario, source_id)) AS payloads_seen, count(DISTINCT (scenario, source_id)) FILTER (WHERE scenario = 'P') AS payloads_dropped FROM y)
+SELECT source_id AS variable, scenario, year, p05, p50, p95, CASE WHEN year <= 1998 THEN ref END AS reference, payloads_seen, payloads_dropped FROM y, s WHERE scenario <> 'P'""")
+def src_07_files(spark, sf_dir):
+    """Payload files by variable and scenario, written and read; one scenario's lack a year of a percentile and are dropped and counted."""
+    e = ensemble_year(spark, sf_dir).groupBy("experiment_id", "source_id", "year").agg(F.min("value").alias("lo"), F.avg("value").alias("mid"), F.max("value").alias("hi"), F.sum("value").alias("ref"))
+    s = e.groupBy(F.col("source_id").alias("variable"), F.col("experiment_id").alias("scenario")).agg(F.sort_array(F.collect_list(F.struct("year", "lo", "mid", "hi", "ref"))).alias("s"))  # a row a year
+    part = lambda c: F.transform("s", lambda x: x[c])
+    short = lambda c: F.when(F.col("scenario") == "P", F.slice(part(c), 2, 1000)).otherwise(part(c))
+    bands = F.create_map(*[x for k in rd.PERCENTILE_KEYS for x in (F.lit(k), short("hi") if k == "p95" else part({"p05": "lo"}.get(k, "mid")))])
+    era = F.filter("s", lambda x: x["year"] <= 1998)
+    body = F.struct(part("year").alias("years"), bands.alias("percentiles"), F.struct(F.transform(era, lambda x: x["year"]).alias("years"), F.transform(era, lambda x: x["ref"]).alias("values")).alias("era5"))
+    path = scratch_folder(spark, "payloads")
+    rd.write_payloads(s.select("variable", "scenario", body.alias("payload")), path)
+    rows, seen = rd.read_payload_lines(spark, path)
+    stored = written_once(rows, "payload-rows")
+    counts = seen.get
+    return stored.withColumns({c: F.lit(counts[c]) for c in ("payloads_seen", "payloads_dropped")})
+
+
 @query("src_08_metric_views", "metrickey:s version_tag:s n:i", f"""
 WITH {METRICS} SELECT 'GOFNN_SO' AS metrickey, version_tag, count(*) AS n FROM metrics WHERE version_tag = 'v101' GROUP BY 2 UNION ALL SELECT 'GOFNN_SC', version_tag, count(*) FROM metrics WHERE version_tag <> 'v101' GROUP BY 2""")
 def src_08(spark, sf_dir):
@@ -170,6 +214,21 @@ def snk_01_overwrite(spark, sf_dir):
     return upserted(spark, sf_dir, True)
 
 
+@query("snk_01_stored_table", "row_key:s value:d version_tag:s", f"""
+WITH {KEYED}, old AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY event_id) AS k FROM keyed WHERE event_id % 2 = 0), new AS (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY event_id DESC) AS k FROM keyed WHERE event_id % 2 = 1 AND version_tag = 'v101'),
+o AS (SELECT row_key, value, version_tag FROM old WHERE k = 1), n AS (SELECT row_key, value, version_tag FROM new WHERE k = 1)
+SELECT row_key, coalesce(n.value, o.value) AS value, coalesce(n.version_tag, o.version_tag) AS version_tag FROM o FULL JOIN n USING (row_key)""")
+def snk_01_stored(spark, sf_dir):
+    """A metric table on files, upserted in one version's partitions only and read back."""
+    k = keyed(spark, sf_dir)
+    path = scratch_folder(spark, "metrics")
+    st.write_metrics(st.deduplicate(k.where("event_id % 2 = 0"), "row_key", ["event_id"]), path)
+    touched = spark.read.parquet(path).where("version_tag = 'v101'").select(*k.columns)
+    merged = st.upsert(touched, k.where("event_id % 2 = 1 AND version_tag = 'v101'"), "row_key", ["event_id"], overwrite=True)
+    st.write_metrics(written_once(merged, "merged-metrics"), path, "overwrite")
+    return spark.read.parquet(path)
+
+
 @query("snk_02_merge_rows", "event_type:s user_id:i status:s", """
 SELECT event_type, user_id, CASE WHEN max(event_id) FILTER (event_id % 3 = 0) IS NOT NULL THEN 'new-' || max(event_id) FILTER (event_id % 3 = 0) ELSE 'old-' || min(event_id) END AS status FROM events GROUP BY 1, 2""")
 def snk_02(spark, sf_dir):
@@ -190,6 +249,18 @@ def snk_03(spark, sf_dir):
     return fresh.groupBy("forcing", "run_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("snk_03_stored_runs", "forcing:s run_id:i n:i", """
+WITH o AS (SELECT o_orderstatus AS forcing, o_custkey AS run_id, o_orderkey % 4 = 0 AS old FROM orders), h AS (SELECT DISTINCT forcing, run_id FROM o WHERE old)
+SELECT forcing, run_id, count(*) AS n FROM o LEFT JOIN (SELECT *, true AS held FROM h) h USING (forcing, run_id) WHERE old OR held IS NULL GROUP BY 1, 2""")
+def snk_03_stored(spark, sf_dir):
+    """A store on files that takes only runs it does not hold; the second append of the same runs adds nothing."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderstatus").alias("forcing"), F.col("o_custkey").alias("run_id"), "o_orderkey")
+    path = scratch_folder(spark, "runs")
+    for load in (o.where("o_orderkey % 4 = 0"), o, o):
+        st.append_runs(load, path, ["forcing"])
+    return spark.read.parquet(path).groupBy("forcing", "run_id").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("snk_04_plotted_sample", "model:s scenario:s variable:s month_idx:i", f"""
 WITH {PREDICTIONS}, h AS (SELECT *, ('0x' || substr(sha256(concat_ws('|', model, scenario, variable, month_idx)), 1, 8))::BIGINT AS h, concat_ws('|', model, scenario, variable, month_idx) AS t FROM pred)
 SELECT * FROM h QUALIFY h % 64 = 0 OR (NOT bool_or(h % 64 = 0) OVER (PARTITION BY model, scenario, is_test, variable) AND row_number() OVER (PARTITION BY model, scenario, is_test, variable ORDER BY h, t) = 1)""")

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -81,13 +82,8 @@ def read_text_csv(spark: SparkSession, path: str, schema: T.StructType, columns:
     return df.select(*columns) if columns else df
 
 
-def clean_predictions(raw: DataFrame, exclude: list[str] = (), variables: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """(clean rows, drop counters) of a prediction table read as text.
-
-    Rows with a missing field or a number that does not parse are malformed;
-    scenarios can be excluded and variables chosen. The counters come from the
-    same scan by conditional sums.
-    """
+def _judged_predictions(raw: DataFrame, exclude: list[str], variables: list[str] | None) -> tuple[DataFrame, dict[str, Column], Column]:
+    """Rows with parsed numbers, the counters as aggregates, and the condition of the rows that stay."""
     required = PREDICTION_TEXT.fieldNames()
     numbers = {f"_{c}": F.col(c).try_cast("double") for c in RANGE_COLUMNS}
     empty = F.lit(False)
@@ -97,17 +93,36 @@ def clean_predictions(raw: DataFrame, exclude: list[str] = (), variables: list[s
     for c in RANGE_COLUMNS:
         bad = bad | F.col(f"_{c}").isNull() | F.isnan(F.col(f"_{c}"))
     staged = raw.withColumns(numbers).withColumns({"_bad": empty | bad, "_out": F.col("scenario").isin(*exclude) if exclude else F.lit(False)})
-    one = lambda c: F.sum(F.when(c, 1).otherwise(0))
+    one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     picked = F.lit(True) if variables is None else F.col("variable").isin(*variables)
     good = ~F.col("_bad") & ~F.col("_out")
-    counters = staged.agg(
-        F.count(F.lit(1)).alias("rows_seen"), one(F.col("_bad")).alias("rows_dropped_malformed"),
-        one(~F.col("_bad") & F.col("_out")).alias("rows_excluded_scenario"), one(good & picked).alias("rows_after_filter"),
-    )
-    clean = staged.where(good & picked).select(
-        "model", "scenario", truth(F.col("is_test")).alias("is_test"), "variable", *[F.col(f"_{c}").alias(c) for c in RANGE_COLUMNS]
-    )
-    return clean, counters
+    counters = {
+        "rows_seen": F.count(F.lit(1)), "rows_dropped_malformed": one(F.col("_bad")),
+        "rows_excluded_scenario": one(~F.col("_bad") & F.col("_out")), "rows_after_filter": one(good & picked),
+    }
+    return staged, counters, good & picked
+
+
+def _clean_columns(staged: DataFrame, stays: Column) -> DataFrame:
+    return staged.where(stays).select("model", "scenario", truth(F.col("is_test")).alias("is_test"), "variable", *[F.col(f"_{c}").alias(c) for c in RANGE_COLUMNS])
+
+
+def clean_predictions(raw: DataFrame, exclude: list[str] = (), variables: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(clean rows, drop counters) of a prediction table read as text.
+
+    Rows with a missing field or a number that does not parse are malformed;
+    scenarios can be excluded and variables chosen. The counters are an
+    aggregation of their own; ``observed_predictions`` has them from one scan.
+    """
+    staged, counters, stays = _judged_predictions(raw, exclude, variables)
+    return _clean_columns(staged, stays), staged.agg(*[c.alias(name) for name, c in counters.items()])
+
+
+def observed_predictions(raw: DataFrame, exclude: list[str] = (), variables: list[str] | None = None) -> tuple[DataFrame, Observation]:
+    """Clean rows as ``clean_predictions``, and an observation that holds the counters after the rows have been written once."""
+    staged, counters, stays = _judged_predictions(raw, exclude, variables)
+    seen = Observation("predictions")
+    return _clean_columns(staged.observe(seen, *[c.alias(name) for name, c in counters.items()]), stays), seen
 
 
 # Percentile keys of a payload
@@ -141,6 +156,26 @@ def read_payloads(spark: SparkSession, path: str) -> DataFrame:
     return payload_rows(raw, ["variable", "scenario"])
 
 
+def write_payloads(payloads: DataFrame, path: str) -> None:
+    """Payload structs, one a row, as JSON lines in a folder for each variable and scenario."""
+    payloads.select("variable", "scenario", F.to_json("payload").alias("value")).write.partitionBy("variable", "scenario").text(path)
+
+
+def read_payload_lines(spark: SparkSession, path: str) -> tuple[DataFrame, Observation]:
+    """Rows of payloads written by ``write_payloads``, and the observed counts of payloads read and dropped.
+
+    Variable and scenario are folder names, so a filter on them prunes files. A
+    line that is no payload, or whose percentiles don't have a value for every
+    year, is dropped.
+    """
+    raw = spark.read.schema(payload_schema().add("_corrupt", T.StringType())).option("columnNameOfCorruptRecord", "_corrupt").json(path)
+    sizes = [F.size(F.col("percentiles")[k]) == F.size("years") for k in PERCENTILE_KEYS]
+    whole = F.coalesce(F.col("_corrupt").isNull() & reduce(lambda a, b: a & b, sizes), F.lit(False))
+    seen = Observation("payloads")
+    counted = raw.withColumn("_whole", whole).observe(seen, F.count(F.lit(1)).alias("payloads_seen"), F.coalesce(F.sum(F.when(~F.col("_whole"), 1).otherwise(0)), F.lit(0)).alias("payloads_dropped"))
+    return payload_rows(counted.where("_whole"), ["variable", "scenario"]), seen
+
+
 def metric_view(metrics: DataFrame, metrickey: str, side_tag: str = "v101") -> DataFrame:
     """Rows of one metric key; the two NN views split by version tag."""
     tag = F.lower(F.coalesce("version_tag", F.lit("")))
