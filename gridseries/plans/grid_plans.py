@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions import healpix
 from gridseries.operators import filters as flt
+from gridseries.operators import polygons
 from gridseries.operators import spatial as sp
 from gridseries.plans.healpix_sql import corners_sql, nested_sql, place_sql, ring_centre_sql
 from gridseries.plans.registry import query
@@ -241,6 +242,39 @@ def join_11(spark, sf_dir):
     return sp.polygon_mask(points(spark, sf_dir), edges, min_cells=3)
 
 
+#: Trapezoids with a hole, some of them across the seam of longitudes: offsets and sizes of the outer ring, share of the inner.
+RINGS = [(0.0, 1.0), (0.3, 0.4)]
+
+
+def ring_corners(x0, y0, size, inset, share):
+    x, y, s = x0 + inset * size, y0 + inset * size, share * size
+    ring = [(x, y), (x + s, y), (x + s * 0.5, y + s), (x + s * 0.25, y + s), (x, y)]
+    return list(zip(ring, ring[1:], strict=False))
+
+
+def _sql_edges():
+    parts = []
+    for inset, share in RINGS:
+        x, y, s = f"(x0 + {inset} * sz)", f"(y0 + {inset} * sz)", f"({share} * sz)"
+        ring = [(x, y), (f"({x} + {s})", y), (f"({x} + {s} * 0.5)", f"({y} + {s})"), (f"({x} + {s} * 0.25)", f"({y} + {s})"), (x, y)]
+        parts += [f"SELECT region_id, {a[0]} AS x1, {a[1]} AS y1, {b[0]} AS x2, {b[1]} AS y2 FROM e" for a, b in zip(ring, ring[1:], strict=False)]
+    return " UNION ALL ".join(parts)
+
+
+@query("join_11_polygon_cover", "region_id:s point_id:i", f"""
+WITH {POINTS}, e AS (SELECT 'n' || n_nationkey AS region_id, 10.3 + n_nationkey * 13 AS x0, -58.2 + n_nationkey AS y0, 60.0 + n_nationkey * 2 AS sz FROM nation),
+edges AS ({_sql_edges()}), turned AS (SELECT point_id, lat, lon + t AS lon FROM points, (VALUES (0), (360), (-360)) v(t)),
+hit AS (SELECT region_id, point_id, lon, count(*) AS n FROM turned JOIN edges ON lat >= least(y1, y2) AND lat < greatest(y1, y2) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2, 3)
+SELECT DISTINCT region_id, point_id FROM hit WHERE n % 2 = 1""")
+def join_11_cover(spark, sf_dir):
+    """Points inside polygons with holes, some across the seam, by a quadtree cover."""
+    k = F.col("n_nationkey")
+    x0, y0, size = 10.3 + k * 13, -58.2 + k, 60.0 + k * 2
+    sides = [F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")) for inset, share in RINGS for a, b in ring_corners(x0, y0, size, inset, share)]
+    edges = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("region_id"), F.inline(F.array(*sides)))
+    return polygons.locate(points(spark, sf_dir), edges, cell=2.0)
+
+
 @query("join_12_neighbourhood", "i:i j:i group_mean:d group_size:i", f"""
 WITH {POINTS}, g AS (SELECT CAST(floor((lat + 60) / 10) AS BIGINT) AS i, CAST(floor(lon / 20) AS BIGINT) AS j, avg(lat + lon / 3) AS v FROM points GROUP BY 1, 2)
 SELECT a.i, a.j, avg(b.v) AS group_mean, count(b.v) AS group_size FROM g a JOIN g b ON abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 GROUP BY 1, 2""")
