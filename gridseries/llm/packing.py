@@ -187,42 +187,51 @@ def token_bytes(tokenizer_file: str):
     parts are tokenised once while they stay in the cache.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
+    from tokenizers import Tokenizer, normalizers
 
     tokenizer = Tokenizer.from_file(tokenizer_file)
+    # Letters and marks in lower case are normal already, so their tokenizer can do without the normaliser.
+    bare = Tokenizer.from_file(tokenizer_file)
+    bare.normalizer = normalizers.Sequence([])
+    probe = " ".join(bytes(range(33, 127)).decode()) + " " + " ".join(map(chr, range(0xC0, 0x100)))
+    if bare.encode(probe.lower(), add_special_tokens=False).ids != tokenizer.encode(probe, add_special_tokens=False).ids:
+        bare = tokenizer
     vocabulary = tokenizer.get_vocab()
     ends = np.zeros(max(vocabulary.values()) + 1, bool)
     ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
     cache: dict[bytes, bytes] = {b"": b""}
 
-    def ids(text: bytes) -> np.ndarray:
-        return np.array(tokenizer.encode(text.decode(), add_special_tokens=False).ids, "<u4")
+    def ids(text: str, by: Tokenizer) -> np.ndarray:
+        # without the offsets that encode() works out
+        return np.array(by.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
     def learn(words: set[bytes]) -> None:
-        whole, other, parts = [], [], set()
+        """Ids of words that the cache lacks; the words are in lower case as far as ASCII goes."""
+        plain, marked, other = [], [], []
         for word in words:
             stem = word.rstrip(MARKS)
             if stem.isalpha() or LETTERS.fullmatch(stem):
-                whole.append((word, low := stem.lower(), marks := word[len(stem) :]))
-                parts.add(low)
-                parts.add(marks)
+                if len(stem) == len(word):
+                    plain.append(word)
+                else:
+                    marked.append((word, stem, word[len(stem) :]))
             else:
                 other.append(word)
-        parts = list(parts - cache.keys())
-        code = ids(b" ".join(parts))  # each part is one word to the tokenizer, and a word's last token says so
-        cuts = np.flatnonzero(ends[code]) + 1
+        ends_of_words = {p for _, stem, mark in marked for p in (stem, mark)}
+        ends_of_words.difference_update(plain)
+        parts = plain + [p for p in ends_of_words if p not in cache]
+        code = ids(b" ".join(parts).decode().lower(), bare)  # each part is one word to the tokenizer, and a word's last token says so
+        cuts = 4 * (np.flatnonzero(ends[code]) + 1)
         if len(cuts) != len(parts):
             raise ValueError("the tokenizer does not mark the ends of words")
-        data, begin = code.tobytes(), 0
-        for part, end in zip(parts, (4 * cuts).tolist(), strict=True):
-            cache[part] = data[begin:end]
-            begin = end
-        cache.update([(w, cache[a] + cache[b]) for w, a, b in whole])
-        cache.update([(w, ids(w).tobytes()) for w in other])
+        data, stops = code.tobytes(), cuts.tolist()
+        cache.update(zip(parts, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=False))
+        cache.update([(w, cache[a] + cache[b]) for w, a, b in marked])
+        cache.update([(w, ids(w.decode(), tokenizer).tobytes()) for w in other])
 
     def encode(texts: list[bytes]) -> Iterator[bytes]:
         for at in range(0, len(texts), TEXTS):
-            split = [t.split() for t in texts[at : at + TEXTS]]
+            split = [t.lower().split() for t in texts[at : at + TEXTS]]
             words = set().union(*split)
             new = words - cache.keys()
             if len(cache) + 2 * len(new) > CACHED:
