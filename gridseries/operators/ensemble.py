@@ -172,40 +172,48 @@ def median_anchored(runs: DataFrame, group: list[str], run: str, value: str, siz
     """Subset of ``size`` runs per group that keeps the median.
 
     Two runs around the median are fixed; equally many are drawn below and
-    above, at random (hash order) or evenly spaced. One row per run enters, so
-    the windows hold the runs of one ensemble.
+    above, at random (hash order) or evenly spaced. Places in the order of values
+    are counted over range partitions, and the draws of a side are its ``k`` rows
+    of smallest hash, which Spark limits before the shuffle, so no task holds a
+    group.
     """
     if size < 2 or size % 2:
         raise ValueError("the subset size must be even")
     if strategy not in ("random", "stratified"):
         raise ValueError(f"unknown strategy {strategy!r}")
     k = size // 2 - 1
-    w = Window.partitionBy(*group)
-    ordered = w.orderBy(value, run)
-    base = runs.withColumns({"_r": F.row_number().over(ordered) - 1, "_n": F.count(F.lit(1)).over(w),
-                             "_lag": F.lag(value).over(ordered), "_lead": F.lead(value).over(ordered)})
+    placed = row_numbers(runs, group, [value, run], "_r", "_n")
     mid = F.floor(F.col("_n") / 2)
-    v = F.col(value)
-    lower_closer = (F.col("_lead").isNull()) | (F.abs((F.col("_lag") + v) / 2 - v) <= F.abs((v + F.col("_lead")) / 2 - v))
-    at_mid = F.max(F.when(F.col("_r") == mid, F.when(lower_closer, 1).otherwise(0))).over(w)
-    lo = F.when((F.col("_n") % 2 == 0) | (at_mid == 1), mid - 1).otherwise(mid)
-    staged = base.withColumn("_lo", lo).withColumn("_side", F.when(F.col("_r") < F.col("_lo"), -1).when(F.col("_r") > F.col("_lo") + 1, 1).otherwise(0))
-    pool = Window.partitionBy(*group, "_side")
-    staged = staged.withColumns({"_m": F.count(F.lit(1)).over(pool), "_i": F.row_number().over(pool.orderBy("_r")) - 1})
-    short = (F.col("_n") < size) | ((F.col("_side") != 0) & (F.col("_m") < k))
+    at = lambda step: F.max(F.when(F.col("_r") == mid + step, F.col(value)))
+    middle = placed.groupBy(*group).agg(at(-1).alias("_lag"), at(0).alias("_v"), at(1).alias("_lead"))
+    middle = middle.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], "_lag", "_v", "_lead")
+    same = F.lit(True)
+    for i, g in enumerate(group):
+        same &= F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    v = F.col("_v")
+    lower_closer = F.coalesce(F.col("_lead").isNull() | (F.abs((F.col("_lag") + v) / 2 - v) <= F.abs((v + F.col("_lead")) / 2 - v)), F.lit(False))
+    lo = F.when((F.col("_n") % 2 == 0) | lower_closer, mid - 1).otherwise(mid)
+    staged = placed.join(broadcast_if_small(middle), same).withColumn("_lo", lo)
+    above = F.col("_n") - F.col("_lo") - 2
+    short = (F.col("_n") < size) | (F.col("_lo") < k) | (above < k)
     enough = F.when(short, F.raise_error(F.lit("not enough runs around the median")).cast("boolean")).otherwise(True)
+    staged = staged.withColumns({
+        "_side": F.when(F.col("_r") < F.col("_lo"), -1).when(F.col("_r") > F.col("_lo") + 1, 1).otherwise(0),
+        "_i": F.when(F.col("_r") < F.col("_lo"), F.col("_r")).otherwise(F.col("_r") - F.col("_lo") - 2),
+        "_m": F.when(F.col("_r") < F.col("_lo"), F.col("_lo")).otherwise(above),
+    }).where(enough)
+    fixed, pool = staged.where("_side = 0"), staged.where("_side <> 0")
     if strategy == "random":
         key = hash32(key_text(seed, *[F.col(g) for g in group], F.col(run)))
-        staged = staged.withColumn("_h", F.row_number().over(pool.orderBy(key, run)))
-        drawn = F.col("_h") <= k
+        drawn = pool.withColumn("_h", F.row_number().over(Window.partitionBy(*group, "_side").orderBy(key, run))).where(F.col("_h") <= k)
     elif k == 0:
-        drawn = F.lit(False)
+        drawn = pool.where(F.lit(False))
     elif k == 1:
-        drawn = F.col("_i") == 0
+        drawn = pool.where("_i = 0")
     else:
         picks = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.bround(i * (F.col("_m") - 1) / F.lit(k - 1)))
-        drawn = F.array_contains(picks, F.col("_i").cast("double"))
-    return staged.where(enough & ((F.col("_side") == 0) | drawn)).select(*runs.columns)
+        drawn = pool.where(F.array_contains(picks, F.col("_i").cast("double")))
+    return fixed.select(*runs.columns).unionByName(drawn.select(*runs.columns))
 
 
 def random_search(runs: DataFrame, group: list[str], run: str, value: str, size: int, attempts: int, seed: str = "0") -> DataFrame:
