@@ -25,6 +25,8 @@ from gridseries.session import scratch_folder
 
 #: A monolithic archive is closed beyond so many bytes (before compression) or records.
 FILE_BYTES, FILE_RECORDS = 16_000_000, 20_000
+#: Tasks that archives are dealt to at most; beyond it a task takes several archives, one after another.
+MOST_TASKS = 20_000
 CHUNK = 1 << 20
 GZIP = 31  # zlib's window bits for gzip framing
 RECORD_SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
@@ -184,10 +186,15 @@ def normalise(decided: DataFrame, source: str, target: str) -> DataFrame:
 
     store, place = file_system(target)
     store.create_dir(place, recursive=True)
-    files = decided.groupBy("file").agg(F.collect_list(F.struct("ordinal", "owner_id")).alias("decisions"))
+    files = decided.repartition(tasks_for(decided), "file").groupBy("file").agg(F.collect_list(F.struct("ordinal", "owner_id")).alias("decisions"))
     return stage(files.mapInArrow(rewrite, INDEX), "warc-index")
 
 
+def tasks_for(rows: DataFrame) -> int:
+    """A task for each file, up to MOST_TASKS; a stated number is not coalesced, however few bytes a file's rows have."""
+    return max(1, min(MOST_TASKS, rows.select("file").distinct().count()))
+
+
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Read records by their offsets: rows of ``RECORDS``. Digests of responses are taken from the payload read."""
 
@@ -214,7 +221,7 @@ def read_records(index: DataFrame, folder: str) -> DataFrame:
         if opened is not None:
             opened.close()
 
-    return index.repartition("file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
+    return index.repartition(tasks_for(index), "file").sortWithinPartitions("file", "offset").mapInArrow(read, RECORDS)
 
 
 def archive_pages(pages: DataFrame, folder: str | None = None, least_bytes: int = 0) -> DataFrame:
