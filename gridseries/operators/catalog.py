@@ -166,6 +166,22 @@ def partner_blocks(df: DataFrame, group: list[str], item: str, block: int = 1000
     return left.join(right, [*group, "block_b"])
 
 
+def partner_block_ids(df: DataFrame, group: list[str], item: str, block: int = 1000) -> tuple[DataFrame, DataFrame]:
+    """Members (group, item, block) and pairs (group, block_a <= block_b) that together stand for all unordered partners.
+
+    Items are stored once, with the number of their block; a job on a pair of
+    blocks joins the members it needs. Blocks hold about ``block`` items, dealt
+    by hash.
+    """
+    items = df.select(*group, item).distinct()
+    n = items.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("_nb"))
+    number = F.pmod(F.xxhash64(item), F.col("_nb")).cast("int")
+    members = items.join(broadcast_if_small(n), group).select(*group, item, number.alias("block"))
+    first = n.withColumn("block_a", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1)))
+    pairs = first.select(*group, "block_a", F.explode(F.sequence(F.col("block_a"), F.col("_nb") - 1)).alias("block_b"))
+    return members, pairs
+
+
 def job_matrix(
     pairs: DataFrame, files: DataFrame, recipes: list[str], member_limit: int = 1, model_limit: int = 5,
     emulated: DataFrame | None = None, emulated_limit: int = 1, observation: str | None = None, historical: tuple[str, ...] = ("historical",),

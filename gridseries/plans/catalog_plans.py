@@ -142,6 +142,20 @@ def join_03_blocks(spark, sf_dir):
     return b.groupBy("source_id", "experiment_id").agg(F.sum(n).alias("n_pairs"))
 
 
+@query("join_03_block_ids", "source_id:s experiment_id:s n_pairs:i n_items:i", f"""
+WITH {CATALOGUE} SELECT source_id, experiment_id, count(DISTINCT path) * (count(DISTINCT path) - 1) // 2 AS n_pairs, count(DISTINCT path) AS n_items FROM cat GROUP BY 1, 2""")
+def join_03_block_ids(spark, sf_dir):
+    """All partners as pairs of block numbers, items stored once with theirs."""
+    members, pairs = ct.partner_block_ids(catalogue(spark, sf_dir), ["source_id", "experiment_id"], "path", block=4)
+    sizes = members.groupBy("source_id", "experiment_id", "block").agg(F.count(F.lit(1)).alias("n"))
+    key = ["source_id", "experiment_id"]
+    a, b = sizes.toDF(*key, "block_a", "na"), sizes.toDF(*key, "block_b", "nb")
+    both = pairs.join(a, [*key, "block_a"]).join(b, [*key, "block_b"])
+    n = F.when(F.col("block_a") == F.col("block_b"), F.col("na") * (F.col("na") - 1) / 2).otherwise(F.col("na") * F.col("nb"))
+    own = F.when(F.col("block_a") == F.col("block_b"), F.col("na")).otherwise(0)
+    return both.groupBy(*key).agg(F.sum(n).alias("n_pairs"), F.sum(own).alias("n_items"))
+
+
 @query("join_03_other_models", "path:s partner_source:s partner_path:s", f"""
 WITH {CATALOGUE}, one AS (SELECT experiment_id, source_id, min(path) AS partner_path FROM cat GROUP BY 1, 2),
 r AS (SELECT c.file_id, c.path, o.source_id AS partner_source, partner_path, row_number() OVER (PARTITION BY c.file_id ORDER BY o.source_id) AS k FROM cat c JOIN one o ON c.experiment_id = o.experiment_id AND c.source_id <> o.source_id)
