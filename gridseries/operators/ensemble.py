@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from gridseries.functions.hashing import hash32, hash_mod, key_text
 from gridseries.functions.quantiles import broadcast_if_small, grouped_percentiles
 from gridseries.functions.ranks import row_numbers, running_sums
+from gridseries.session import cut_lineage
 
 
 def anomalies(df: DataFrame, series: list[str], value: str, out: str, clim: str) -> DataFrame:
@@ -76,9 +77,12 @@ def exceedance(reference: DataFrame, samples: DataFrame, ref_value: str, value:
     """Share of samples <= reference for each reference row, samples matched on ``keys``.
 
     Counts of distinct sample values and the reference values go through one
-    running count in value order, so no sample meets every reference.
+    running count in value order, so no sample meets every reference. Reference
+    rows are stored once: they are found again by their value, and a mean that is
+    computed anew may differ in its last digit.
     """
     ref = reference.where(F.col(ref_value).isNotNull()).select(*id_cols, *[k for k in keys if k not in id_cols], F.col(ref_value).cast("double").alias("_v"))
+    ref = cut_lineage(ref)
     counts = samples.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v"), F.lit(1).cast("bigint").alias("_c"))
     marks = counts.unionByName(ref.select(*keys, "_v", F.lit(0).cast("bigint").alias("_c"))).groupBy(*keys, "_v").agg(F.sum("_c").alias("_c"))
     ranked = running_sums(marks, keys, "_v", "_c", "_upto", "_all").where("_all > 0").select(*keys, "_v", (F.col("_upto") / F.col("_all")).alias("p"))
