@@ -82,7 +82,8 @@ def locate(points: DataFrame, edges: DataFrame, cell: float = CELL, levels: int
     """(region_id, point_id, tested) of points (point_id, lat, lon) inside polygons; ``tested`` where edges were met.
 
     Points on a western or southern edge count as inside, on an eastern or
-    northern one as outside. Points without a position are in no polygon.
+    northern one as outside. Points without a position are in no polygon. Edges
+    may be decimals, whose differences are exact, or doubles.
     """
     inside, border, rows = cover(edges, cell, levels)
     turns = F.array(F.lit(0.0), F.lit(360.0), F.lit(-360.0))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import functions as F
 
 from gridseries.functions import healpix
@@ -246,9 +248,9 @@ def join_11(spark, sf_dir):
 RINGS = [(0.0, 1.0), (0.3, 0.4)]
 
 
-def ring_corners(x0, y0, size, inset, share):
+def ring_corners(x0, y0, size, inset, share, number=float):
     x, y, s = x0 + inset * size, y0 + inset * size, share * size
-    ring = [(x, y), (x + s, y), (x + s * 0.5, y + s), (x + s * 0.25, y + s), (x, y)]
+    ring = [(x, y), (x + s, y), (x + s * number(0.5), y + s), (x + s * number(0.25), y + s), (x, y)]
     return list(zip(ring, ring[1:], strict=False))
 
 
@@ -267,10 +269,14 @@ edges AS ({_sql_edges()}), turned AS (SELECT point_id, lat, lon + t AS lon FROM
 hit AS (SELECT region_id, point_id, lon, count(*) AS n FROM turned JOIN edges ON lat >= least(y1, y2) AND lat < greatest(y1, y2) AND lon < x1 + (lat - y1) * (x2 - x1) / (y2 - y1) GROUP BY 1, 2, 3)
 SELECT DISTINCT region_id, point_id FROM hit WHERE n % 2 = 1""")
 def join_11_cover(spark, sf_dir):
-    """Points inside polygons with holes, some across the seam, by a quadtree cover."""
-    k = F.col("n_nationkey")
-    x0, y0, size = 10.3 + k * 13, -58.2 + k, 60.0 + k * 2
-    sides = [F.struct(a[0].alias("x1"), a[1].alias("y1"), b[0].alias("x2"), b[1].alias("y2")) for inset, share in RINGS for a, b in ring_corners(x0, y0, size, inset, share)]
+    """Points inside polygons with holes, some across the seam, by a quadtree cover.
+
+    Corners are decimals, as in the SQL, so that positions on an edge fall on the same side.
+    """
+    k, number = F.col("n_nationkey"), lambda x: F.lit(Decimal(str(x)))
+    x0, y0, size = number(10.3) + k * 13, number(-58.2) + k, number(60.0) + k * 2
+    corners = [pair for inset, share in RINGS for pair in ring_corners(x0, y0, size, number(inset), number(share), number)]
+    sides = [F.struct(*[c.cast("decimal(18,6)").alias(n) for c, n in zip((*a, *b), ("x1", "y1", "x2", "y2"), strict=True)]) for a, b in corners]
     edges = table(spark, sf_dir, "nation").select(F.concat(F.lit("n"), k.cast("string")).alias("region_id"), F.inline(F.array(*sides)))
     return polygons.locate(points(spark, sf_dir), edges, cell=2.0)
 
