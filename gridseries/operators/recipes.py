@@ -22,6 +22,7 @@ from gridseries.operators.metrics import CENTILES
 from gridseries.operators.predictors import apply_offsets, radiation_offsets
 from gridseries.operators.spatial import weighted_mean
 from gridseries.operators.spectral import power_udf
+from gridseries.operators.timeseries import apply_to_series
 from gridseries.session import cut_lineage
 
 RECIPES: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {}
@@ -275,9 +276,9 @@ def member_series(values: DataFrame, baseline: tuple[int, int]) -> DataFrame:
     return kept.select("source", "forcing", F.col("method").alias("pet_method"), F.dense_rank().over(w).alias("member_index"), "year", F.col("value").alias("december_spei48"))
 
 
-def fit_series(df: DataFrame, series: list[str], fn, schema: str) -> DataFrame:
-    """User function on the pandas rows of one series (bounded by its months)."""
-    return df.groupBy(*series).applyInPandas(fn, schema)
+def fit_series(df: DataFrame, series: list[str], fn, schema: str, many: bool = False) -> DataFrame:
+    """User function on the pandas rows of one series (bounded by its months), or with ``many`` of many whole series at once."""
+    return apply_to_series(df, series, fn, schema, many=many)
 
 
 __all__ = [

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridseries.functions.calendar import month_of, year_of
 from gridseries.functions.quantiles import broadcast_if_small
@@ -409,12 +410,60 @@ def loess(df: DataFrame, series: list[str], value: str, out: str, period_years:
     return local_lines.loess(df, series, value, out, period_years * 12, chunk=chunk)
 
 
-def chunked_apply(df: DataFrame, series: list[str], fn, schema: str, chunk: int, context: int) -> DataFrame:
+def _starts(pdf: pd.DataFrame, keys: list[str]) -> np.ndarray:
+    """Places where a series begins in rows that are sorted by ``keys``; null equals null."""
+    fresh = np.zeros(len(pdf), bool)
+    for k in keys:
+        here, last = pdf[k], pdf[k].shift()
+        fresh |= ((here != last) & ~(here.isna() & last.isna())).to_numpy(bool)
+    fresh[:1] = True
+    return np.flatnonzero(fresh)
+
+
+def apply_to_series(df: DataFrame, keys: list[str], fn, schema: str, order: tuple[str, ...] = (), many: bool = False) -> DataFrame:
+    """``fn(pandas) -> pandas`` on whole series, in the order of ``order``.
+
+    Series come to Python in batches of many, so that a short one costs no batch
+    of its own. With ``many`` the function gets a batch of whole series at once, one
+    after the other, for functions that work on all of them by vectors; otherwise
+    it gets one series at a time. A task holds a batch and one series.
+    """
+    names = T.StructType.fromDDL(schema).names
+
+    def run(batches):
+        def out(parts):
+            rows = pd.concat(parts, ignore_index=True) if len(parts) > 1 else parts[0].reset_index(drop=True)
+            if many:
+                return fn(rows)[names]
+            ends = [*_starts(rows, keys), len(rows)]
+            return pd.concat([fn(rows.iloc[a:b].reset_index(drop=True))[names] for a, b in zip(ends, ends[1:], strict=False)], ignore_index=True)
+
+        held = []  # rows of the last series, which may go on in the next batch
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            if held and len(_starts(pd.concat([held[-1].iloc[-1:], pdf.iloc[:1]], ignore_index=True), keys)) > 1:
+                yield out(held)
+                held = []
+            last = _starts(pdf, keys)[-1]
+            if last:
+                yield out([*held, pdf.iloc[:last]])
+                held = []
+            held.append(pdf.iloc[last:])
+        if held:
+            yield out(held)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def chunked_apply(df: DataFrame, series: list[str], fn, schema: str, chunk: int, context: int, many: bool = False) -> DataFrame:
     """Apply ``fn(pandas) -> pandas`` to chunks of a series with warm-up rows.
 
     Each row goes to its own chunk and, as context, to the following chunks that
     need it; rows before the chunk start are dropped after the call. The output
-    must carry month_idx.
+    must carry month_idx. With ``many`` the function gets many chunks at once, one
+    after the other and told apart by series and ``_start``, the first month of the
+    chunk; its rows keep the index of their input rows.
     """
     w = Window.partitionBy(*series)
     pos = F.col("month_idx") - F.min("month_idx").over(w)
@@ -422,12 +471,15 @@ def chunked_apply(df: DataFrame, series: list[str], fn, schema: str, chunk: int,
     own = F.floor(pos / chunk)
     reach = F.least(F.floor((pos + context) / chunk), F.floor(last / chunk))
     staged = df.withColumns({"_own": own, "_reach": reach, "_origin": F.min("month_idx").over(w)})
-    copies = staged.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), F.col("_reach")))).drop("_own", "_reach")
+    copies = staged.withColumn("_chunk", F.explode(F.sequence(F.col("_own"), F.col("_reach"))))
     user_cols = [c for c in df.columns]
+    copies = copies.select(*user_cols, (F.col("_origin") + F.col("_chunk") * chunk).alias("_start"))
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        start = pdf["_origin"].iloc[0] + pdf["_chunk"].iloc[0] * chunk
-        res = fn(pdf.sort_values("month_idx")[user_cols].reset_index(drop=True))
-        return res[res["month_idx"] >= start]
+        if many:
+            res = fn(pdf)
+            return res[res["month_idx"].to_numpy() >= pdf["_start"].loc[res.index].to_numpy()]
+        res = fn(pdf[user_cols])
+        return res[res["month_idx"] >= pdf["_start"].iloc[0]]
 
-    return copies.groupBy(*series, "_chunk").applyInPandas(one, schema)
+    return apply_to_series(copies, [*series, "_start"], one, schema, ("month_idx",), many)
