@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.hashing import hash32, hash_mod, key_text
 from gridseries.functions.quantiles import broadcast_if_small
-from gridseries.session import cut_lineage
+from gridseries.session import cut_lineage, task_count
 from gridseries.functions.ranks import row_numbers
 
 # Variables a member file must hold for the drought protocol
@@ -601,8 +601,11 @@ def append_missing(existing: DataFrame, candidates: DataFrame, keys: list[str])
 def expected_records(jobs: DataFrame, scales: list[int], kinds: list[str], regional: list[str], regions: list[str], windows: str = "windows") -> DataFrame:
     """Expected metric types of each job: scales x windows x kinds, and regions.
 
-    A fixed number of rows per job, made by explode; no join.
+    A fixed number of rows per job, made by explode; no join. Jobs are dealt out
+    first, since a small table of them, in a task or two, becomes many rows.
     """
+    jobs = jobs.repartition(task_count(jobs.sparkSession))
+
     def lits(xs):
         return F.array(*[F.lit(x) for x in xs])
 

@@ -56,6 +56,11 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def task_count(spark: SparkSession) -> int:
+    """Partitions for work that its bytes do not show, which adaptive execution would put into few tasks."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
+
+
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """New folder below the shared folder; its owner removes it or leaves it to the folder's retention."""
     return f"{shared_folder(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
