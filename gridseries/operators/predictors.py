@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from gridseries.functions.quantiles import broadcast_if_small
 from gridseries.operators.timeseries import edge_trend_mean, fill_gaps
+from gridseries.session import task_count
 
 MAX_HOLD_MONTHS = 24
 
@@ -127,14 +128,16 @@ def consolidate(parts: dict[str, DataFrame], keys: list[str], axis: DataFrame) -
     """Wide monthly table of several variables on one time axis.
 
     ``parts`` maps a column name to (keys, month_idx, value) rows. All parts go
-    through one union and one groupBy instead of a chain of joins.
+    through one union and one groupBy instead of a chain of joins. Rows are
+    partitioned before they are grouped: a row meets no other of its key before,
+    and a task that makes a part would hold all its keys once more.
     """
     long = None
     for name, df in parts.items():
         one = df.select(*keys, "month_idx", F.lit(name).alias("_name"), F.col("value").cast("double").alias("_v"))
         long = one if long is None else long.unionByName(one)
     on_axis = axis.select(*keys, "month_idx").distinct().withColumns({"_name": F.lit(None).cast("string"), "_v": F.lit(None).cast("double")})
-    both = long.unionByName(on_axis)
+    both = long.unionByName(on_axis).repartition(task_count(axis.sparkSession), *keys, "month_idx")
     agg = both.groupBy(*keys, "month_idx").agg(
         F.max(F.col("_name").isNull()).alias("_axis"), *[F.max(F.when(F.col("_name") == n, F.col("_v"))).alias(n) for n in parts]
     )
