@@ -207,6 +207,30 @@ def box(lat: Column, lon: Column, lat_min: float, lat_max: float, lon_min: float
     return lat.between(lat_min, lat_max) & inside
 
 
+#: Sources that the mean source may have in its first cell, and the least side of a cell in degrees.
+CROWD, SMALLEST_CELL = 8.0, 0.01
+
+
+def _grid_cell(size: float, n_lon: int):
+    """Row and column of a position in cells of ``size`` degrees, ``n_lon`` of them in a row."""
+    return (
+        lambda c: F.floor((F.col(c) + 90.0) / size),
+        lambda c: F.least(F.floor(F.col(c) / (360.0 / n_lon)), F.lit(n_lon - 1)),
+    )
+
+
+def first_cell(sources: DataFrame, size: float) -> float:
+    """``size``, or a quarter of it as often as needed for the mean source to share its cell with few."""
+    while size > SMALLEST_CELL:
+        row, column = _grid_cell(size, max(1, int(360.0 // size)))
+        n = F.col("n").cast("double")
+        shared = sources.groupBy(row("_lat"), column("_lon")).agg(F.count(F.lit(1)).alias("n")).agg((F.sum(n * n) / F.sum(n)).alias("n")).first()["n"]
+        if (shared or 0) <= CROWD:
+            break
+        size /= 4.0
+    return size
+
+
 def nearest_on_grid(df: DataFrame, template: DataFrame, step: float, lat: str = "lat", lon: str = "lon") -> DataFrame:
     """Source point nearest to each template point in latitude and longitude, for any grid origin.
 
@@ -214,15 +238,16 @@ def nearest_on_grid(df: DataFrame, template: DataFrame, step: float, lat: str =
     meets the nine cells around it, across the 0/360 seam as well. A nearest
     point farther than a cell may not be the nearest; such template points are
     tried again with four times the cell, so every one is answered. Ties go to
-    the smaller point.
+    the smaller point, so of points at one position only that one is a source.
+    The first cell is ``step`` or narrower, so that a source shares it with few.
     """
-    sources = df.select("point_id", F.col(lat).alias("_lat"), F.pmod(F.col(lon), F.lit(360.0)).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL").distinct()
+    sources = df.select("point_id", F.col(lat).alias("_lat"), F.pmod(F.col(lon), F.lit(360.0)).alias("_lon")).where("_lat IS NOT NULL AND _lon IS NOT NULL")
+    sources = cut_lineage(sources.groupBy("_lat", "_lon").agg(F.min("point_id").alias("point_id")))
     open_ = template.select("template_id", F.col(lat).alias("_tlat"), F.pmod(F.col(lon), F.lit(360.0)).alias("_tlon")).where("_tlat IS NOT NULL AND _tlon IS NOT NULL").distinct()
-    out, size = None, float(step)
+    out, size = None, first_cell(sources, float(step))
     while True:
         n_lon = max(1, int(360.0 // size))
-        row = lambda c: F.floor((F.col(c) + 90.0) / size)  # noqa: B023, E731
-        column = lambda c: F.least(F.floor(F.col(c) / (360.0 / n_lon)), F.lit(n_lon - 1))  # noqa: B023, E731
+        row, column = _grid_cell(size, n_lon)
         around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in sorted({k % n_lon for k in (-1, 0, 1)})])
         asked = open_.withColumns({"_ti": row("_tlat"), "_tj": column("_tlon")}).withColumn("_o", F.explode(around))
         asked = asked.select("template_id", "_tlat", "_tlon", (F.col("_ti") + F.col("_o.i")).alias("_i"), F.pmod(F.col("_tj") + F.col("_o.j"), F.lit(n_lon)).alias("_j"))
@@ -231,7 +256,7 @@ def nearest_on_grid(df: DataFrame, template: DataFrame, step: float, lat: str =
         near = asked.join(sources.withColumns({"_i": row("_lat"), "_j": column("_lon")}), ["_i", "_j"]).withColumn("_d", d2)
         best = near.groupBy("template_id").agg(F.min(F.struct(F.round("_d", 9).alias("d"), "point_id")).alias("_b"))
         best = cut_lineage(best.select("template_id", F.col("_b.d").alias("_d"), F.col("_b.point_id").alias("point_id")))
-        done = best.where((F.col("_d") <= size * size) | F.lit(size >= 360.0))
+        done = best.where((F.col("_d") <= size * size - 1e-9) | F.lit(size >= 360.0))  # rounded distances tie
         out = done if out is None else out.unionByName(done)
         if size >= 360.0:
             break
