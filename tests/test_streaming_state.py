@@ -44,3 +44,15 @@ def test_expired_key_stands_anew(spark, tmp_path):
 def test_unknown_rule():
     with pytest.raises(ValueError):
         state.StandingRow("version", "ts", "best", 0)
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_of_one_bucket(spark, tmp_path, buckets):
+    """Keys that share a state stand, expire and come anew each by its own rows."""
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+    for batch in [[("a", 3, 1), ("b", 5, 1), ("c", 2, 19)], [("c", 1, 20), ("d", 7, 20)], [("c", 9, 25)], [("a", 1, 26), ("b", 2, 27), ("c", 4, 26)]]:
+        feed(spark, src, batch)
+        stream = spark.readStream.schema(SCHEMA).parquet(src)
+        state.run_available(state.standing_rows(stream, "k", "version", "ts", "1 day", "first", 3 * 86_400_000, buckets), out, str(tmp_path / "check"))
+    rows = sorted((r["k"], r["version"]) for r in spark.read.parquet(out).collect())
+    assert rows == [("a", 1), ("a", 3), ("b", 2), ("b", 5), ("c", 2), ("d", 7)]
