@@ -23,7 +23,10 @@ from gridseries.operators.predictors import apply_offsets, radiation_offsets
 from gridseries.operators.spatial import weighted_mean
 from gridseries.operators.spectral import power_udf
 from gridseries.operators.timeseries import apply_to_series
-from gridseries.session import cut_lineage
+from gridseries.session import cut_lineage, tasks_for
+
+#: Rows (by month, side, window and scale) that a task of the index sorts, of up to 1 KB each in its stacked windows.
+INDEX_ROWS = 250_000
 
 RECIPES: dict[str, Callable[[DataFrame, DataFrame, dict], DataFrame]] = {}
 #: By recipe: the records that a table of jobs will give, without running it.
@@ -106,7 +109,9 @@ def index_comparison(a: DataFrame, b: DataFrame, cfg: dict) -> DataFrame:
     keep = ["point_id", "year", "month", "month_idx", "wb"]
     both = cut_lineage(a.select(F.lit("a").alias("side"), *keep).unionByName(b.select(F.lit("b").alias("side"), *keep)))
     spans = F.array(*[F.struct(F.lit(s).alias("w0"), F.lit(e).alias("w1")) for s, e in windows])
-    rows = both.withColumn("_w", F.explode(spans)).where(F.col("year").between(F.col("_w.w0"), F.col("_w.w1")))
+    # Windows and scales multiply the rows after they are dealt out, which their bytes don't show.
+    dealt = both.repartition(tasks_for(both.sparkSession, both.count() * len(windows) * len(scales), INDEX_ROWS), "point_id")
+    rows = dealt.withColumn("_w", F.explode(spans)).where(F.col("year").between(F.col("_w.w0"), F.col("_w.w1")))
     rows = rows.select("side", *keep, F.col("_w.w0").alias("w0"), F.col("_w.w1").alias("w1"))
     series = ["side", "w0", "w1", "point_id"]
     for k in scales:

@@ -61,6 +61,11 @@ def task_count(spark: SparkSession) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
 
 
+def tasks_for(spark: SparkSession, rows: int, held: int) -> int:
+    """Partitions of at most about ``held`` of ``rows`` rows, one for each core at least."""
+    return max(spark.sparkContext.defaultParallelism, -(-rows // held))
+
+
 def scratch_folder(spark: SparkSession, prefix: str) -> str:
     """New folder below the shared folder; its owner removes it or leaves it to the folder's retention."""
     return f"{shared_folder(spark).rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

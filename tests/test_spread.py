@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridseries.operators import catalog as ct
 from gridseries.operators import predictors as pd_
+from gridseries.operators import recipes as rc
 from gridseries.operators import spatial as sp
 from gridseries.session import task_count
 
@@ -40,3 +41,23 @@ def test_consolidated_rows_are_partitioned_before_grouping(spark):
     wide = pd_.consolidate({"a": axis, "b": axis.where("p < 10")}, ["p"], axis)
     assert wide.select(F.spark_partition_id()).distinct().count() == task_count(spark)
     assert wide.where("a IS NOT NULL").count() == 2000 and wide.where("b IS NOT NULL").count() == 10
+
+
+def test_index_rows_are_dealt_by_their_number(spark, monkeypatch):
+    """No task of the index holds more rows than its share, whatever their bytes."""
+    held, rolling = [], rc.rolling_sum
+
+    def watched(*args):
+        out = rolling(*args)
+        placed = out.select(F.spark_partition_id().alias("task"), args[-1]).groupBy("task").agg(F.count(F.lit(1)).alias("n"), F.sum(args[-1]))
+        held.append(placed.sort(F.desc("n")).first()["n"])
+        return out
+
+    monkeypatch.setattr(rc, "rolling_sum", watched)
+    monkeypatch.setattr(rc, "INDEX_ROWS", 500, raising=False)
+    months = spark.range(100 * 48).select(F.floor(F.col("id") / 48).alias("point_id"), (F.col("id") % 48 + 24000).cast("int").alias("month_idx"))
+    rows = months.select("point_id", F.floor(F.col("month_idx") / 12).cast("int").alias("year"), (F.col("month_idx") % 12 + 1).alias("month"), "month_idx", F.rand(1).alias("wb"))
+    out = rc.index_comparison(rows, rows.withColumn("wb", F.col("wb") + F.rand(2)), {"windows": [(2000, 2003)], "scales": [1, 3]})
+    assert out.count() == 14 and len(held) == 2
+    # 9,600 rows by two scales: 39 tasks, whose share of the 100 points varies.
+    assert max(held) <= 960
