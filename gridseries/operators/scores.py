@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,24 +51,44 @@ def _pair_distances(a, b, length: int, same: bool) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0)
 
 
+def _on_pairs(pairs: DataFrame, keys: list[str], found: Callable[..., list[pa.Array]], columns: dict[str, T.DataType], more: tuple[str, ...] = ()) -> DataFrame:
+    """``keys`` and the ``columns`` that ``found(distances, *more)`` gives for each pair of blocks.
+
+    Blocks are views of the Arrow batch, and what a pair gives leaves at once: a
+    Python worker holds a batch (64 MB by Spark's default, however many pairs its
+    task has) and the distances of one pair.
+    """
+    rows = pairs.select(*keys, "_m", "_m2", "_len", (F.col("_b") == F.col("_other")).alias("_same"), *more)
+    schema = T.StructType([rows.schema[k] for k in keys] + [T.StructField(name, kind) for name, kind in columns.items()])
+    names = schema.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (at, x), (at2, y) = [(c.offsets.to_numpy(), c.values.to_numpy(zero_copy_only=False)) for c in (batch.column("_m"), batch.column("_m2"))]
+            lengths, same = batch.column("_len").to_pylist(), batch.column("_same").to_pylist()
+            for i in range(batch.num_rows):
+                d = _pair_distances(x[at[i]: at[i + 1]], y[at2[i]: at2[i + 1]], lengths[i], same[i])
+                given = found(d, *[batch.column(c)[i].as_py() for c in more])
+                own = pa.array([i] * len(given[0]), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(k).take(own) for k in keys], *given], names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def mean_pair_distance(vectors: DataFrame, keys: list[str], id_col: str, vec: str, block: int = BLOCK) -> DataFrame:
     """Mean distance over all unordered pairs of a group (zero for a single vector)."""
-    @F.pandas_udf("sum double, n long")
-    def partial(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series) -> pd.DataFrame:
-        found = [_pair_distances(p, q, n, s) for p, q, n, s in zip(a, b, length, same, strict=True)]
-        return pd.DataFrame({"sum": [d.sum() for d in found], "n": [len(d) for d in found]})
+    def partial(d: np.ndarray) -> list[pa.Array]:
+        return [pa.array([d.sum()], pa.float64()), pa.array([len(d)], pa.int64())]
 
     pairs = _block_pairs(vectors, keys, id_col, vec, block)
-    part = pairs.select(*keys, partial("_m", "_m2", "_len", F.col("_b") == F.col("_other")).alias("_p"))
-    agg = part.groupBy(*keys).agg(F.sum("_p.sum").alias("_s"), F.sum("_p.n").alias("n_pairs"))
+    part = _on_pairs(pairs, keys, partial, {"_sum": T.DoubleType(), "_pairs": T.LongType()})
+    agg = part.groupBy(*keys).agg(F.sum("_sum").alias("_s"), F.sum("_pairs").alias("n_pairs"))
     return agg.select(*keys, "n_pairs", F.when(F.col("n_pairs") > 0, F.col("_s") / F.col("n_pairs")).otherwise(0.0).alias("mean_distance"))
 
 
 #: Bins of a pass over implicit pairs, and values of an interval that are looked at one by one.
 PAIR_BINS, PAIR_VALUES = 1024, 4096
 
-COUNTED = T.ArrayType(T.StructType([T.StructField("target", T.IntegerType()), T.StructField("bin", T.IntegerType()), T.StructField("n", T.LongType()), T.StructField("lo", T.DoubleType()), T.StructField("hi", T.DoubleType())]))
-
 
 def bin_counts(d: np.ndarray, lo: float, hi: float, bins: int) -> list[tuple[int, int, float, float]]:
     """(bin, count, smallest, largest) of the values in [lo, hi], for bins that hold any."""
@@ -89,41 +111,36 @@ def pair_distance_median(vectors: DataFrame, keys: list[str], label: list[str],
     absent.
     """
     pairs = cut_lineage(_block_pairs(vectors, keys, id_col, vec, block))
-    same = F.col("_b") == F.col("_other")
-
-    @F.pandas_udf("n long, lo double, hi double")
-    def extent(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series) -> pd.DataFrame:
-        found = [d[d > 0] for d in (_pair_distances(*row) for row in zip(a, b, length, same, strict=True))]
-        return pd.DataFrame({"n": [len(d) for d in found], "lo": [d.min() if len(d) else None for d in found], "hi": [d.max() if len(d) else None for d in found]})
-
-    @F.pandas_udf(COUNTED)
-    def counted(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series, targets: pd.Series) -> pd.Series:
-        rows = []
-        for p, q, n, s, wanted in zip(a, b, length, same, targets, strict=True):
-            d = _pair_distances(p, q, n, s)
-            d = d[d > 0]
-            rows.append([{"target": t["target"], "bin": k, "n": c, "lo": x, "hi": y} for t in wanted for k, c, x, y in bin_counts(d, t["lo"], t["hi"], bins)])
-        return pd.Series(rows)
-
-    @F.pandas_udf("array<struct<target:int, value:double>>")
-    def listed(a: pd.Series, b: pd.Series, length: pd.Series, same: pd.Series, targets: pd.Series) -> pd.Series:
-        rows = []
-        for p, q, n, s, wanted in zip(a, b, length, same, targets, strict=True):
-            d = _pair_distances(p, q, n, s)
-            rows.append([{"target": t["target"], "value": v} for t in wanted for v in d[(d >= t["lo"]) & (d <= t["hi"]) & (d > 0)].tolist()])
-        return pd.Series(rows)
+
+    def extent(d: np.ndarray) -> list[pa.Array]:
+        d = d[d > 0]
+        ends = (d.min(), d.max()) if len(d) else (None, None)
+        return [pa.array([len(d)], pa.int64()), *[pa.array([end], pa.float64()) for end in ends]]
+
+    def counted(d: np.ndarray, targets: list[dict]) -> list[pa.Array]:
+        d = d[d > 0]
+        rows = [(t["target"], *row) for t in targets for row in bin_counts(d, t["lo"], t["hi"], bins)]
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.float64(), pa.float64())
+        return [pa.array([row[k] for row in rows], kind) for k, kind in enumerate(kinds)]
+
+    def listed(d: np.ndarray, targets: list[dict]) -> list[pa.Array]:
+        rows = [(t["target"], v) for t in targets for v in d[(d >= t["lo"]) & (d <= t["hi"]) & (d > 0)].tolist()]
+        return [pa.array([t for t, _ in rows], pa.int32()), pa.array([v for _, v in rows], pa.float64())]
+
+    number, whole, real = T.IntegerType(), T.LongType(), T.DoubleType()
 
     def by_label(left: DataFrame, right: DataFrame) -> DataFrame:
         return left.join(broadcast_if_small(right), label) if label else left.join(F.broadcast(right))  # one row without a label
 
-    sizes = pairs.select(*label, extent("_m", "_m2", "_len", same).alias("_e")).groupBy(*label).agg(F.sum("_e.n").alias("_n"), F.min("_e.lo").alias("lo"), F.max("_e.hi").alias("hi")).where("_n > 0")
+    ends = _on_pairs(pairs, label, extent, {"n": whole, "lo": real, "hi": real})
+    sizes = ends.groupBy(*label).agg(F.sum("n").alias("_n"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("_n > 0")
     ranks = F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))
     # A target is a rank (from 0) and the interval that holds it: values below it, and values in it.
     state = sizes.select(*label, F.posexplode(ranks).alias("target", "rank"), "lo", "hi", F.lit(0).cast("bigint").alias("below"), F.col("_n").alias("inside"))
     state = cut_lineage(state)
     while not state.where((F.col("inside") > values) & (F.col("lo") < F.col("hi"))).isEmpty():
         wide = state.groupBy(*label).agg(F.collect_list(F.struct("target", "lo", "hi")).alias("_t"))
-        hist = by_label(pairs, wide).select(*label, F.explode(counted("_m", "_m2", "_len", same, "_t")).alias("_c")).select(*label, "_c.*")
+        hist = _on_pairs(by_label(pairs, wide), label, counted, {"target": number, "bin": number, "n": whole, "lo": real, "hi": real}, ("_t",))
         hist = hist.groupBy(*label, "target", "bin").agg(F.sum("n").alias("n"), F.min("lo").alias("blo"), F.max("hi").alias("bhi"))
         upto = Window.partitionBy(*label, "target").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)  # at most ``bins`` rows
         hist = hist.withColumn("earlier", F.coalesce(F.sum("n").over(upto), F.lit(0)))
@@ -134,7 +151,7 @@ def pair_distance_median(vectors: DataFrame, keys: list[str], label: list[str],
     fixed = state.where("lo = hi").select(*label, "target", F.col("lo").alias("value"))
     open_ = state.where("lo < hi")
     wide = open_.groupBy(*label).agg(F.collect_list(F.struct("target", "lo", "hi")).alias("_t"))
-    few = by_label(pairs, wide).select(*label, F.explode(listed("_m", "_m2", "_len", same, "_t")).alias("_v")).select(*label, "_v.target", "_v.value")
+    few = _on_pairs(by_label(pairs, wide), label, listed, {"target": number, "value": real}, ("_t",))
     ordered = few.withColumn("_k", F.row_number().over(Window.partitionBy(*label, "target").orderBy("value")) - 1)  # at most ``values`` rows
     picked = ordered.join(open_, [*label, "target"]).where(F.col("_k") == F.col("rank") - F.col("below")).select(*label, "target", "value")
     return fixed.unionByName(picked).groupBy(*label).agg(F.avg("value").alias(out))
@@ -161,6 +178,7 @@ def normalised_scores(es: DataFrame, truth: DataFrame, scenario: list[str], labe
 
 def score_summary(scores: DataFrame, keys: list[str]) -> DataFrame:
     """n, median, quartiles and IQR of S."""
+    scores = cut_lineage(scores)  # read twice; all pairs are behind it
     q = grouped_percentiles(scores, keys, "s", [0.25, 0.5, 0.75], ["q1", "median_s", "q3"])
     return q.withColumn("iqr", F.col("q3") - F.col("q1"))
 
